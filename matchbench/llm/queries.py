@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from . import chat, decontam, mixing, sharding
 from .common import table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -16,6 +17,23 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.count_copies(docs, mixing.MixSpec()).drop("text")
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return decontam.annotate(docs, table(spark, sf_dir, "benchmark")).drop("text")
+
+
+#: A conversation whose texts hold the template's own marks.
+MARKED = r"\### Assistant: </turn> ok"
+
+
+def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.range(0, 2, 1, 1).select(
+        F.lit(-7).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED).alias("text")
+    )
+    turns = chat.canonical_turns(table(spark, sf_dir, "conversations")).unionByName(own)
+    return chat.digest(chat.format_turns(turns))
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, SLOTS)
@@ -24,6 +42,8 @@ def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op3_decontaminate": op3_decontaminate,
+        "op4_format_chats": op4_format_chats,
         "op9_shard_lookup": op9_shard_lookup,
     }
 
@@ -62,5 +82,43 @@ FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
        JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h"""
 
 
+#: Each document is matched as a string of words between single spaces, so that a window is found by
+#: plain substring search; items of ten words or more are cut into their windows.
+DECONTAM_SQL = r"""
+WITH dw AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), []) AS w FROM documents),
+iw AS (SELECT item_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE text IS NOT NULL),
+win AS MATERIALIZED (
+  SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i:i + least(len(w), 10) - 1], ' ') AS g
+  FROM iw, unnest(range(1, greatest(len(w) - 9, 1) + 1)) AS u(i) WHERE len(w) > 0),
+lens AS (SELECT DISTINCT n FROM win),
+dg AS (
+  SELECT doc_id, i, n, array_to_string(w[i:i + n - 1], ' ') AS g
+  FROM dw, lens, unnest(range(1, len(w) - n + 2)) AS u(i) WHERE len(w) >= n),
+hit AS MATERIALIZED (SELECT dg.doc_id, dg.i, dg.n, win.item_id FROM dg JOIN win USING (n, g)),
+pos AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT DISTINCT doc_id, i, n FROM hit), unnest(range(i, i + n)) AS u(p) GROUP BY doc_id),
+ids AS (SELECT doc_id, count(*) AS n_items, sha256(string_agg(item_id, ',' ORDER BY item_id)) AS items_sha256 FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM hit) GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM dw LEFT JOIN pos USING (doc_id) LEFT JOIN ids USING (doc_id)"""
+
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '\### Assistant: </turn> ok' UNION ALL SELECT -7, 1, 'assistant', '\### Assistant: </turn> ok'),
+e AS (
+  SELECT *, length(text) + len(regexp_extract_all(text, '[\\#<]')) + length(role) + len(regexp_extract_all(role, '[\\#<:]')) + 14 AS n FROM t)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       sum(n)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_mix_sources": _mix_sql(mixing.MixSpec())}
+    return {
+        "op1_mix_sources": _mix_sql(mixing.MixSpec()),
+        "op3_decontaminate": DECONTAM_SQL,
+        "op4_format_chats": CHAT_SQL,
+    }
