@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, sharding
+from . import chat, decontam, mixing, ngram_join, sharding
 from .common import table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -17,6 +17,10 @@ def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.count_copies(docs, mixing.MixSpec()).drop("text")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontam.annotate(docs, table(spark, sf_dir, "benchmark")).drop("text")
@@ -42,6 +46,7 @@ def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
+        "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_decontaminate": op3_decontaminate,
         "op4_format_chats": op4_format_chats,
         "op9_shard_lookup": op9_shard_lookup,
