@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngram_join, sharding
+from . import chat, decontam, mixing, ngram_join, sharding, toxicity
 from .common import table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -43,6 +43,12 @@ def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, SLOTS)
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.annotate(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -50,6 +56,7 @@ def queries() -> dict:
         "op3_decontaminate": op3_decontaminate,
         "op4_format_chats": op4_format_chats,
         "op9_shard_lookup": op9_shard_lookup,
+        "op10_toxicity": op10_toxicity,
     }
 
 
