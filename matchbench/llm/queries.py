@@ -5,11 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngram_join, sharding, toxicity
-from .common import table
+from . import chat, decontam, mixing, ngram_join, sharding, token_files, toxicity
+from .common import shared_path, table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
 SHARDS, SLOTS = 64, 65537
+#: Id after each document.
+END_ID = 2
 
 
 def op1_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +40,13 @@ def op4_format_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digest(chat.format_turns(turns))
 
 
+def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_files.digest(docs, shared_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, SLOTS)
@@ -55,6 +64,7 @@ def queries() -> dict:
         "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
         "op3_decontaminate": op3_decontaminate,
         "op4_format_chats": op4_format_chats,
+        "op5_token_files": op5_token_files,
         "op9_shard_lookup": op9_shard_lookup,
         "op10_toxicity": op10_toxicity,
     }
