@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, ngram_join, sharding, token_files, toxicity
+from . import chat, decontam, html_text, mixing, ngram_join, sharding, token_files, toxicity
 from .common import shared_path, table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -47,6 +47,11 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.digest(docs, shared_path(spark, "token-files"), public_tokenizers.path("byte_bpe_50k.json"), END_ID)
 
 
+def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = html_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, SLOTS)
@@ -65,6 +70,7 @@ def queries() -> dict:
         "op3_decontaminate": op3_decontaminate,
         "op4_format_chats": op4_format_chats,
         "op5_token_files": op5_token_files,
+        "op6_html_text": op6_html_text,
         "op9_shard_lookup": op9_shard_lookup,
         "op10_toxicity": op10_toxicity,
     }
@@ -138,9 +144,22 @@ SELECT conv_id, count(*) AS n_turns,
 FROM e GROUP BY conv_id"""
 
 
+#: The article element of each page, its tags turned into line ends, character references decoded.
+HTML_SQL = r'''
+WITH a AS (
+  SELECT page_id, url, regexp_replace(regexp_replace(regexp_extract(coalesce(html, ''), '(?s)<article>(.*?)(?:</article>|$)', 1), '\s+', ' ', 'g'), '</?(?:p|h1|br|div|li|ul)>', chr(10), 'g') AS body FROM pages),
+b AS (SELECT page_id, url, unnest(string_split(body, chr(10))) AS line, generate_subscripts(string_split(body, chr(10)), 1) AS i FROM a),
+c AS (SELECT page_id, url, i, trim(regexp_replace(line, '<[^>]*>', '', 'g')) AS line FROM b),
+d AS (
+  SELECT page_id, url, i, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(line, '&#x27;', chr(39)), '&quot;?', '"', 'g'), '&lt;?', '<', 'g'), '&gt;?', '>', 'g'), '&amp;?', '&', 'g') AS line FROM c WHERE line <> '')
+SELECT p.page_id, p.url, coalesce(string_agg(d.line, chr(10) ORDER BY i), '') AS text, length(coalesce(string_agg(d.line, chr(10) ORDER BY i), ''))::BIGINT AS n_chars
+FROM pages p LEFT JOIN d ON p.page_id = d.page_id GROUP BY p.page_id, p.url'''
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": _mix_sql(mixing.MixSpec()),
         "op3_decontaminate": DECONTAM_SQL,
         "op4_format_chats": CHAT_SQL,
+        "op6_html_text": HTML_SQL,
     }
