@@ -52,9 +52,9 @@ class Spec:
     """The bounds of the training sample, and the machine's parameters."""
 
     toxic_docs: int = 2000
-    clean_docs: int = 4000
+    clean_docs: int = 3000
     max_chars: int = 20_000
-    clean_words: int = 20_000
+    clean_words: int = 12_000
     landmarks: int = 256
     rounds: int = 4
     regular: float = 1e-5
