@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, ngram_join, sharding, token_files, toxicity
+from . import chat, decontam, html_text, mixing, ngram_join, pii, sharding, token_files, toxicity
 from .common import shared_path, table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -52,6 +52,15 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+#: Key of the surrogates; in production it comes from a secret store.
+PII_KEY = "matchbench-surrogates"
+
+
+def op8_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return pii.pseudonymise(docs, PII_KEY).select("doc_id", "n_private", F.col("private_text").alias("text"))
+
+
 def op9_shard_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "n_chars")
     return sharding.assign_shards(docs, ["doc_id"], SHARDS, SLOTS)
@@ -71,6 +80,7 @@ def queries() -> dict:
         "op4_format_chats": op4_format_chats,
         "op5_token_files": op5_token_files,
         "op6_html_text": op6_html_text,
+        "op8_pii_surrogates": op8_pii_surrogates,
         "op9_shard_lookup": op9_shard_lookup,
         "op10_toxicity": op10_toxicity,
     }
