@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize
 
+#: Rounds of comparing each bucket with one member.
+ROUNDS = 3
+
 
 def components(edges: DataFrame) -> DataFrame:
     """Rows (node, label), label the least node of its component, for the nodes of ``edges`` (a, b).
@@ -34,3 +39,40 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
         return components(links)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
     return components(known.union(links.select("a", "b")))
+
+
+def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame | None], compatible: str = "true", rounds: int = ROUNDS) -> DataFrame | None:
+    """Components of all links between nodes that share a bucket, as (node, label); None without links.
+
+    ``buckets`` has rows (bucket, sig, n); pairs with ``compatible`` (over n and n2) are candidates.
+    ``verify(pairs, rows)`` returns the links among pairs (a, b). In each round every bucket's nodes are
+    compared with one of them; nodes in one component already are never compared again, and what
+    remains after the rounds is compared in full. So no link between components is lost, and a group
+    of copies costs its size times a few rounds.
+    """
+    open_, tested, labels = buckets, None, None
+    for turn in range(rounds + 1):
+        if labels is None:
+            rows = open_.withColumn("label", F.col("sig"))
+        else:
+            rows = open_.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
+        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
+        rows = materialize(rows.join(mixed, "bucket", "left_semi"), "open-buckets")
+        if rows.isEmpty():
+            break
+        open_ = rows.drop("label")
+        if turn < rounds:
+            other = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))).alias("o"))
+            both = rows.join(other.select("bucket", "o.sig2", "o.n2", "o.label2"), "bucket")
+        else:
+            other = rows.select("bucket", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+            both = rows.join(other, "bucket").where("sig < sig2")
+        pairs = both.where(f"label <> label2 and {compatible}").select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
+        if tested is not None:
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "candidate-pairs")
+        tested = pairs if tested is None else tested.union(pairs)
+        links = verify(pairs, rows)
+        if links is not None and not links.isEmpty():
+            labels = merge(labels, links)
+    return labels

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, mixing, ngram_join, pii, sharding, token_files, toxicity
+from . import chat, decontam, html_text, media, mixing, ngram_join, pii, sharding, token_files, toxicity
 from .common import shared_path, table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -52,6 +52,35 @@ def op6_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.select("page_id", "url", F.col("main_text").alias("text"), F.length("main_text").cast("long").alias("n_chars"))
 
 
+def render_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No table has images, so each row of ``embeddings`` is drawn as one: 16 x 16 fields, 4 pixels wide,
+    whose brightness are fixed random projections of the vector. Rows whose id is divisible by 50 have an edited copy as well, cropped on all sides
+    and brightened, under the id -1 - vec_id. Copies are what the operator should find."""
+    import numpy as np
+    import pyarrow as pa
+
+    project = np.random.Generator(np.random.PCG64(1)).normal(0, 1, (256, 64))
+
+    def draw(batches):
+        for batch in batches:
+            ids, pictures = [], []
+            for i, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                v = np.resize(np.nan_to_num(np.array(v or [0.0], np.float32)), 64)
+                gray = np.kron(np.clip(128 + 55 * (project @ v), 0, 255).reshape(16, 16), np.ones((4, 4)))
+                ids.append(i)
+                pictures.append(media.encode(gray))
+                if i is not None and i % 50 == 0:
+                    ids.append(-1 - i)
+                    pictures.append(media.encode(gray[3:62, 5:60] * 0.9 + 12))
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(pictures, pa.binary())], ["media_id", "media"])
+
+    return table(spark, sf_dir, "embeddings").select("vec_id", "embedding").mapInArrow(draw, "media_id long, media binary")
+
+
+def op7_media_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.find_copies(render_media(spark, sf_dir))
+
+
 #: Key of the surrogates; in production it comes from a secret store.
 PII_KEY = "matchbench-surrogates"
 
@@ -80,6 +109,7 @@ def queries() -> dict:
         "op4_format_chats": op4_format_chats,
         "op5_token_files": op5_token_files,
         "op6_html_text": op6_html_text,
+        "op7_media_copies": op7_media_copies,
         "op8_pii_surrogates": op8_pii_surrogates,
         "op9_shard_lookup": op9_shard_lookup,
         "op10_toxicity": op10_toxicity,
