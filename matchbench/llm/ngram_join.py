@@ -34,8 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, small
-from .components import merge
+from .common import fresh, materialize, release, small
+from .components import connect
 from .wordhash import mix, set_id, shingle_sets
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -43,8 +43,6 @@ WORDS, NUM, DEN = 5, 80, 100
 HEAVY, MAX_HEAVY = 32, 4_000_000
 #: Prefix tokens a range of hashes should hold, and tokens gathered before they are handed on.
 RANGE_TOKENS, FLUSH = 1 << 20, 1 << 21
-#: Rounds of comparing each bucket with one member.
-ROUNDS = 3
 
 
 def prefix_size(n: int) -> int:
@@ -158,9 +156,8 @@ class _Order:
         return s[first], c[first] > 0
 
 
-def buckets(docs: DataFrame, ranges: int, order, text: str = "text") -> DataFrame:
-    """Rows (bucket, sig, n): the classes that share a prefix token under the first order. Buckets of
-    rare tokens with the same members are one."""
+def postings(docs: DataFrame, ranges: int, order, text: str = "text") -> DataFrame:
+    """Prefix tokens under the first order: rare ones packed by hash range, frequent ones as rows."""
     shift = 64 - ranges.bit_length() + 1
     kind = "range int, blob binary, token long, sig long, n int"
 
@@ -199,16 +196,28 @@ def buckets(docs: DataFrame, ranges: int, order, text: str = "text") -> DataFram
                     light, heavy, n = [], [], 0
         yield from flush()
 
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(post, kind)
+
+
+def buckets(posted: DataFrame) -> DataFrame:
+    """Rows (bucket, sig, n): the classes that share a prefix token under the first order. Buckets of
+    rare tokens with the same members are one; classes without a partner of fitting size are left out."""
+
     def gather(key, table):
         parts = []
         for b in table.column("blob").to_pylist():
             m = len(b) // 20
             parts.append((np.frombuffer(b, np.uint64, m), np.frombuffer(b, np.int64, m, 8 * m), np.frombuffer(b, np.int32, m, 16 * m)))
         t, s, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-        by = np.lexsort((s, t))
+        by = np.lexsort((s, n, t))
         t, s, n = t[by], s[by], n[by]
         keep = np.ones(len(t), bool)
         keep[1:] = (t[1:] != t[:-1]) | (s[1:] != s[:-1])
+        t, s, n = t[keep], s[keep], n[keep].astype(np.int64)
+        near = np.zeros(len(t), bool)  # sizes ascend within a token, so a partner is a neighbour
+        near[1:] = (t[1:] == t[:-1]) & (DEN * n[:-1] >= NUM * n[1:])
+        keep = near.copy()
+        keep[:-1] |= near[1:]
         t, s, n = t[keep], s[keep], n[keep]
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         size = np.diff(np.append(first, len(t)))
@@ -218,55 +227,82 @@ def buckets(docs: DataFrame, ranges: int, order, text: str = "text") -> DataFram
         rows = [(int(digest[i].view(np.int64)), s[first[i] : first[i] + size[i]].tolist(), n[first[i] : first[i] + size[i]].tolist()) for i in one]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "sigs": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "ns": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
 
-    posted = materialize(docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(post, kind), "ngram-postings")
     sets = posted.where("range is not null").select("range", "blob").groupBy("range").applyInArrow(gather, "bucket long, sigs array<long>, ns array<int>")
     rare = sets.groupBy("bucket").agg(F.first(F.arrays_zip("sigs", "ns")).alias("m")).select("bucket", F.explode("m").alias("m")).select("bucket", F.col("m.sigs").alias("sig"), F.col("m.ns").alias("n"))
     often = posted.where("token is not null").select(F.col("token").alias("bucket"), "sig", "n").distinct()
     return rare.unionByName(often)
 
 
-def class_sets(docs: DataFrame, described: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
-    """Rows (sig, tokens) for the classes in ``wanted`` (sig): the packed set of one text each."""
-    one = described.where("sig is not null").groupBy("sig").agg(F.min("th").alias("th")).join(wanted, "sig", "left_semi").select("th")
+def _rows_of(docs: DataFrame, described: DataFrame, wanted: DataFrame, doc_id: str, text: str) -> DataFrame:
+    """The text of one row of each class in ``wanted`` (sig)."""
+    one = described.where("sig is not null").groupBy("sig").agg(F.min(F.struct("doc_id", "th")).alias("r")).join(wanted, "sig", "left_semi")
+    one = materialize(one.select(F.col("r.doc_id").alias("d"), F.col("r.th").alias("th")), "ngram-wanted")
+    x = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("h"))
+    return x.join(small(one), (x["h"] == one["th"]) & x["doc_id"].eqNullSafe(one["d"]), "left_semi").select("text")
+
+
+def _per_class(docs: DataFrame, described: DataFrame, wanted: DataFrame, doc_id: str, text: str, value) -> DataFrame:
+    """Rows (sig, value), ``value(set)`` as bytes, one for each class in ``wanted``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            rows = [(sig, s.tobytes()) for sig, s in _new_sets(batch.column(0), seen)]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sig", "tokens"])
-
-    x = docs.select(F.col(f"`{text}`").alias("text"), F.xxhash64(F.col(f"`{text}`")).alias("th"))
-    x = x.join(small(materialize(one, "ngram-wanted")), "th", "left_semi").select("text")
-    return x.mapInArrow(run, "sig long, tokens binary").dropDuplicates(["sig"])
-
-
-def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    """Filters of the further orders, then the exact count."""
-    p, q = prefix_size(len(a)), prefix_size(len(b))
-    if not np.isin(a[-p:], b[-q:], assume_unique=True).any():
-        return False
-    x, y = mix(a), mix(b)
-    if not np.isin(np.partition(x, p - 1)[:p], np.partition(y, q - 1)[:q], assume_unique=True).any():
-        return False
+            rows = [(sig, value(s)) for sig, s in _new_sets(batch.column(0), seen)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sig", "value"])
+
+    found = materialize(_rows_of(docs, described, wanted, doc_id, text).mapInArrow(run, "sig long, value binary"), "ngram-sets")
+    if found.count() > found.select("sig").distinct().count():  # rows repeated with their ids
+        found = materialize(found.dropDuplicates(["sig"]), "ngram-sets")
+    return found
+
+
+def other_prefixes(s: np.ndarray) -> bytes:
+    """32 bits of the prefix tokens under each further order: descending hash, and mixed hash."""
+    p, x = prefix_size(len(s)), mix(s)
+    top = s[-p:] >> np.uint64(32)
+    low = (np.partition(x, p - 1)[:p] if p < len(x) else x) >> np.uint64(32)
+    return top.astype(np.uint32).tobytes() + low.astype(np.uint32).tobytes()
+
+
+def share_prefixes(a: bytes, b: bytes) -> bool:
+    """Do both sets share prefix tokens under every further order?"""
+    a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    p, q = len(a) // 2, len(b) // 2
+    return bool(np.isin(a[:p], b[:q]).any() and np.isin(a[p:], b[q:]).any())
+
+
+def similar(a: bytes, b: bytes) -> bool:
+    a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     both = np.intersect1d(a, b, assume_unique=True).size
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links (a, b) among candidate pairs (a, b)."""
+def keep_pairs(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
+    """The pairs (a, b) whose values pass ``test``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            keep = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(len(batch))]
+            keep = [test(x[i].as_buffer(), y[i].as_buffer()) for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = sets.select(F.col("sig").alias("a"), F.col("tokens").alias("x")).join(small(pairs), "a")
-    both = left.join(sets.select(F.col("sig").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y")
+    left = values.select(F.col("sig").alias("a"), F.col("value").alias("x")).join(small(pairs), "a")
+    both = left.join(values.select(F.col("sig").alias("b"), F.col("value").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
-def link_classes(docs: DataFrame, described: DataFrame, text: str = "text", rounds: int = ROUNDS) -> DataFrame | None:
+def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, sets: DataFrame | None, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """The links among pairs that passed all filters, and the sets read so far."""
+    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
+    if sets is not None:
+        wanted = materialize(wanted.join(sets.select("sig"), "sig", "left_anti"), "ngram-missing")
+    if sets is None or not wanted.isEmpty():
+        more = _per_class(docs, described, wanted, doc_id, text, lambda s: s.tobytes())
+        sets = more if sets is None else sets.union(more)
+    return materialize(keep_pairs(pairs, sets, similar), "ngram-links"), sets
+
+
+def link_classes(docs: DataFrame, described: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
     """Rows (node, label) for the classes that have a link; None if there is no link."""
     spark = docs.sparkSession
     total = described.agg(F.sum("n_shingles")).first()[0] or 0
@@ -277,49 +313,56 @@ def link_classes(docs: DataFrame, described: DataFrame, text: str = "text", roun
         least *= 2
     rows = counted.where(F.col("df") >= least).toPandas().sort_values("token")
     order = spark.sparkContext.broadcast(_Order(rows["token"].to_numpy(np.uint32), np.minimum(63, 1 + np.log2(np.maximum(1, rows["df"].to_numpy() / least)) * 2).astype(np.uint8)))
-    open_ = materialize(buckets(docs, ranges, order, text), "ngram-buckets")
-    sets = tested = labels = None
-    for turn in range(rounds + 1):
-        # Buckets that lie in one component already need no more pairs.
-        if labels is None:
-            rows = open_.withColumn("label", F.col("sig"))
-        else:
-            rows = open_.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
-        rows = materialize(rows.join(mixed, "bucket", "left_semi"), "ngram-open")
-        if rows.isEmpty():
-            break
-        open_ = rows.drop("label")
-        if sets is None:
-            sets = materialize(class_sets(docs, described, rows.select("sig").distinct(), text), "ngram-sets")
-        if turn < rounds:
-            other = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))).alias("o"))
-            both = rows.join(other.select("bucket", "o.sig2", "o.n2", "o.label2"), "bucket")
-        else:
-            other = rows.select("bucket", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            both = rows.join(other, "bucket").where("sig < sig2")
-        pairs = both.where(f"label <> label2 and {compatible('n', 'n2')}").select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "ngram-pairs")
-        tested = pairs if tested is None else tested.union(pairs)
-        links = materialize(verify(pairs, sets), "ngram-links")
-        if not links.isEmpty():
-            labels = merge(labels, links)
+    posted = materialize(postings(docs, ranges, order, text), "ngram-postings")
+    open_ = materialize(buckets(posted), "ngram-buckets")
+    release(posted)
+    known: dict[str, DataFrame | None] = {"filters": None, "sets": None}
+
+    def check(pairs: DataFrame, rows: DataFrame) -> DataFrame | None:
+        if known["filters"] is None:
+            known["filters"] = _per_class(docs, described, rows.select("sig").distinct(), doc_id, text, other_prefixes)
+        passed = materialize(keep_pairs(pairs, known["filters"], share_prefixes), "ngram-passed")
+        if passed.isEmpty():
+            return None
+        links, known["sets"] = verify(passed, docs, described, known["sets"], doc_id, text)
+        return links
+
+    labels = connect(open_, check, compatible("n", "n2"))
     order.unpersist()
     return labels
 
 
-def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``."""
+def components_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row for each row of ``docs``: doc_id, th, n_shingles and first, the least row (doc_id, then
+    th; null ids last) of its component, null for empty sets."""
     described = materialize(describe(docs, doc_id, text), "ngram-described")
-    labels = link_classes(docs, described, text)
-    classes = described.where("sig is not null").groupBy("sig").agg(F.min("doc_id").alias("first"))
+    labels = link_classes(docs, described, doc_id, text)
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "th")
+    classes = described.where("sig is not null").groupBy("sig").agg(F.min(row).alias("first"))
     if labels is not None:
         classes = classes.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
-        least = classes.groupBy("label").agg(F.min("first").alias("component"))
-        classes = classes.join(least, "label").select("sig", "component")
-    else:
-        classes = classes.withColumnRenamed("first", "component")
-    out = described.join(classes, "sig", "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+        least = classes.groupBy("label").agg(F.min("first").alias("first"))
+        classes = classes.select("sig", "label").join(least, "label").select("sig", "first")
+    return described.join(classes, "sig", "left").select("doc_id", "th", "n_shingles", "first")
+
+
+def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (doc_id, n_shingles, component_id), one for each row of ``docs``."""
+    return components_of(docs, doc_id, text).select("doc_id", "n_shingles", F.coalesce("first.doc_id", "doc_id").alias("component_id"))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with one row of each component, the one with the least id; rows with empty sets stay."""
+    rows = materialize(components_of(docs, doc_id, text).where("first is not null"), "ngram-components")
+    key, i, h = fresh(docs, "th", "id", "h")
+    keeper = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("th") == F.col("first.th"))
+    gone = rows.where(~keeper).select(F.col("doc_id").alias(i), F.col("th").alias(h))
+    again = materialize(rows.where(keeper).groupBy("doc_id", "th").count().where("count > 1").select(F.col("doc_id").alias(i), F.col("th").alias(h)), "ngram-again")
+    same = lambda x, y: (x[key] == y[h]) & x[f"`{doc_id}`"].eqNullSafe(y[i])
+    x = docs.withColumn(key, F.xxhash64(F.col(f"`{text}`")))
+    gone = materialize(gone, "ngram-gone")
+    kept = x.join(small(gone), same(x, gone), "left_anti")
+    if again.isEmpty():
+        return kept.drop(key)
+    once = kept.join(small(again), same(kept, again), "left_semi").dropDuplicates([key, doc_id])
+    return kept.join(small(again), same(kept, again), "left_anti").unionByName(once).drop(key)
