@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
 
-#: Rounds of comparing each bucket with one member.
-ROUNDS = 3
+#: Members that each bucket is compared with, round by round, and buckets of a node used for that.
+ROUNDS = (1, 8, 8)
+STAR_BUCKETS = 4
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -41,17 +42,17 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return components(known.union(links.select("a", "b")))
 
 
-def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame | None], compatible: str = "true", rounds: int = ROUNDS) -> DataFrame | None:
+def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame | None], compatible: str = "true", rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
     """Components of all links between nodes that share a bucket, as (node, label); None without links.
 
     ``buckets`` has rows (bucket, sig, n); pairs with ``compatible`` (over n and n2) are candidates.
-    ``verify(pairs, rows)`` returns the links among pairs (a, b). In each round every bucket's nodes are
-    compared with one of them; nodes in one component already are never compared again, and what
-    remains after the rounds is compared in full. So no link between components is lost, and a group
-    of copies costs its size times a few rounds.
+    ``verify(pairs, rows)`` returns the links among pairs (a, b). In each round a few of every node's
+    buckets compare their nodes with a few of them; nodes in one component already are never compared
+    again, and what shares any bucket but no component after the rounds is compared in full. So no link
+    between components is lost, and a group of copies costs its size times a few members.
     """
     open_, tested, labels = buckets, None, None
-    for turn in range(rounds + 1):
+    for turn in range(len(rounds) + 1):
         if labels is None:
             rows = open_.withColumn("label", F.col("sig"))
         else:
@@ -61,9 +62,13 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFra
         if rows.isEmpty():
             break
         open_ = rows.drop("label")
-        if turn < rounds:
-            other = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("sig", F.lit(turn)).alias("h"), F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))).alias("o"))
-            both = rows.join(other.select("bucket", "o.sig2", "o.n2", "o.label2"), "bucket")
+        if turn < len(rounds):
+            order = Window.partitionBy("sig").orderBy(F.xxhash64("bucket"), "bucket")
+            few = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= STAR_BUCKETS).drop("_r")
+            one = F.struct(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+            some = few.groupBy("bucket").agg(*[F.min_by(one, F.xxhash64("sig", F.lit(100 * turn + k))).alias(f"o{k}") for k in range(rounds[turn])])
+            some = some.select("bucket", F.explode(F.array_distinct(F.array(*[f"o{k}" for k in range(rounds[turn])]))).alias("o"))
+            both = few.join(some.select("bucket", "o.*"), "bucket")
         else:
             other = rows.select("bucket", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
             both = rows.join(other, "bucket").where("sig < sig2")
