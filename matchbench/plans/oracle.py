@@ -124,7 +124,7 @@ ORACLE["confusion_norm"] = f"{_ID} SELECT truth, predicted, round(count(*) / sum
 ORACLE["ident_per_condition"] = f"""{_ID} SELECT 'yaw' || CASE WHEN pose_yaw >= 0 THEN '+' ELSE '' END || pose_yaw::BIGINT || '_' || illumination AS condition, round(avg((predicted = truth)::INT), 6) AS rank1, count(*) AS n
  FROM d JOIN c ON probe_id = sample_id GROUP BY 1"""
 ORACLE["roc_points"] = f"{_TIES}, {_ROC} SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc"
-ORACLE["roc_points_pairs"] = f"{_PAIRS}, {_ROC} SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc"
+ORACLE["roc_points_pairs"] = f"{_PAIRS}, {_ROC} SELECT round(threshold, 8) AS threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr FROM roc"
 ORACLE["eer"] = f"{_PAIRS}, {_EER}"
 ORACLE["eer_ties"] = f"{_TIES}, {_EER}"
 ORACLE["auc"] = f"{_PAIRS}, {_RUN} SELECT round(sum(f * (2 * tp - t) / 2) / (sum(t) * sum(f)), 6) AS auc FROM run"

@@ -360,7 +360,7 @@ def roc_points(spark, sf_dir):
 
 @query
 def roc_points_pairs(spark, sf_dir):
-    return verification.roc(verified(spark, sf_dir)).select(r6("threshold", "threshold"), r6("fpr", "fpr"), r6("tpr", "tpr"))
+    return verification.roc(verified(spark, sf_dir)).select(*[F.round(c, 8).alias(c) for c in ("threshold", "fpr", "tpr")])
 
 
 @query
