@@ -29,7 +29,7 @@ def similarity_matrix(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
     if kind == "cosine":
         return (a / (np.linalg.norm(a, axis=1, keepdims=True) + 1e-12)) @ (b / (np.linalg.norm(b, axis=1, keepdims=True) + 1e-12)).T
     if kind == "l2":
-        return -np.sqrt(np.maximum((a * a).sum(1)[:, None] + (b * b).sum(1) - 2 * a @ b.T, 0))
+        return -np.stack([np.sqrt(((row - b) ** 2).sum(1)) for row in a]) if len(a) else np.empty((0, len(b)))
     if kind == "chi2":
         out = np.empty((len(a), len(b)))
         for i, row in enumerate(a):
