@@ -51,8 +51,8 @@ _BEGIN, _END = 1, 2
 class Spec:
     """The bounds of the training sample, and the machine's parameters."""
 
-    toxic_docs: int = 2000
-    clean_docs: int = 3000
+    toxic_docs: int = 1500
+    clean_docs: int = 2500
     max_chars: int = 20_000
     clean_words: int = 12_000
     landmarks: int = 256
@@ -140,7 +140,7 @@ def features(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> tuple[np.nda
 
 def _decide(data: np.ndarray, at: np.ndarray, size: np.ndarray, weights: np.ndarray, bias: float) -> np.ndarray:
     out = np.empty(len(at))
-    step = max(1, int(400_000 // max(1, size.mean() + 2))) if len(at) else 1
+    step = max(1, int(60_000 // max(1, size.mean() + 2))) if len(at) else 1
     for i in range(0, len(at), step):
         w, f, x = features(data, at[i : i + step], size[i : i + step])
         out[i : i + step] = np.bincount(w, weights[f] * x, minlength=min(step, len(at) - i)) + bias
@@ -220,8 +220,8 @@ def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def _kernels(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     """Kernel of each word with each landmark (a column of ``landmarks``)."""
     out = np.zeros((len(words), landmarks.shape[1]), np.float32)
-    for i in range(0, len(words), 1000):
-        part = words[i : i + 1000]
+    for i in range(0, len(words), 200):
+        part = words[i : i + 200]
         w, f, x = features(*_flat(part))
         first = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
         out[i + w[first]] = np.add.reduceat(landmarks[f] * x[:, None].astype(np.float32), first)
@@ -268,9 +268,11 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
         return flat
     in_toxic = Counter(q for b in bags for q in set().union(*(_sequences(w) for w in b if w in doubtful)))
     in_clean = Counter(q for b in others for q in set().union(*(_sequences(w) for w in b)))
+    n_clean = len(others)
+    del others
     # Sequences so much more frequent in toxic documents that chance is ruled out; else the best there are.
-    chance = np.log(len(bags) / (len(bags) + len(others)))
-    told = {q for q, n in in_toxic.items() if n * chance < np.log(CHANCE) and in_clean[q] / len(others) <= 0.1 * n / len(bags)}
+    chance = np.log(len(bags) / (len(bags) + n_clean))
+    told = {q for q, n in in_toxic.items() if n * chance < np.log(CHANCE) and in_clean[q] / n_clean <= 0.1 * n / len(bags)}
     if not told:
         most = max((n for q, n in in_toxic.items() if not in_clean[q]), default=0)
         told = {q for q, n in in_toxic.items() if n >= max(2, 0.7 * most) and not in_clean[q]}
