@@ -28,25 +28,30 @@ import json
 import re
 import struct
 import zlib
+from array import array
+from bisect import bisect_right
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Pieces remembered in a task, and ids gathered before a block is written.
-REMEMBERED, BLOCK_IDS = 1 << 19, 1 << 18
-#: Documents of one task when files are written.
-FILE_IDS = 16 << 20
-_ODD = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+REMEMBERED, BLOCK_IDS = 400_000, 1 << 18
+#: Bytes of ids packed at once, and bytes of text for a file.
+PACK_BYTES, FILE_BYTES = 8 << 20, 32 << 20
+_MARKED = re.compile(r"( ?[^\W\d_]+)[.,;:!?]+\Z")
 
 
 class Encoder:
-    """Ids of texts, by the tokenizer in a file."""
+    """Ids of texts, by the tokenizer in a file. One a worker process, so that tasks share its memory."""
+
+    _own: dict[str, Encoder] = {}
 
     def __init__(self, path: str):
         import os
@@ -55,56 +60,132 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.newline = newline[0] if len(newline) == 1 else None
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    @classmethod
+    def of(cls, path: str) -> Encoder:
+        if path not in cls._own:
+            cls._own[path] = cls(path)
+        return cls._own[path]
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, np.uint32).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+        """Many pieces in one call: joined by newlines, which are a token of their own between pieces and
+        in none of them. If the newlines can't be told, each piece is encoded by itself."""
+        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, self.dtype)
+        cut = np.flatnonzero(ids == self.newline)
+        if self.newline is None or len(cut) != len(pieces) - 1:
+            return self._encode(pieces)
+        raw, n = ids.tobytes(), self.dtype.itemsize
+        begin, end = [0, *((cut + 1) * n).tolist()], [*(cut * n).tolist(), len(raw)]
+        return [raw[a:b] for a, b in zip(begin, end, strict=True)]
+
+    def _learn(self, new: set[str]) -> None:
+        """Remember pieces. A letter followed by closing marks is a border as well, so words and marks
+        are encoded apart."""
+        if len(self.known) + len(new) > REMEMBERED:
+            self.known, self.older = {}, self.known
+        old = {x: self.older[x] for x in new if x in self.older}
+        self.known.update(old)
+        cut = {x: (x[: m.end(1)], x[m.end(1) :]) for x in new if x not in old and (m := _MARKED.match(x))}
+        parts = {y for x in cut.values() for y in x if y not in self.known} | {x for x in new if x not in old and x not in cut}
+        for alone in parts & {"", "\n"}:
+            self.known[alone] = self._encode([alone])[0]
+        parts = list(parts - {"", "\n"})
+        if parts:
+            self.known.update(zip(parts, self._encode_pieces(parts), strict=True))
+        self.known.update({x: self.known[a] + self.known[b] for x, (a, b) in cut.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian u32."""
-        pieces = [None if _ODD.search(t) else t.replace("\n", "\n\x00").replace(" ", "\x00 ").split("\x00") if "\x00" not in t else None for t in texts]
-        pieces = [None if p is None else [q for x in p for q in ((x[:-1], "\n") if x.endswith("\n") else (x,))] for p in pieces]
-        new = list({x for p in pieces if p for x in p if x not in self.known})
-        whole = [t for t, p in zip(texts, pieces, strict=True) if p is None]
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known = {}
-            new = list({x for p in pieces if p for x in p})
-        self.known.update(zip(new, self._encode(new), strict=True))
-        rest = iter(self._encode(whole))
+        """Ids as little-endian integers of ``dtype``."""
+        # Whole: texts with white space other than single spaces and newlines between words.
+        pieces = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t and " ".join(t.split()) == t.replace("\n", " ") else None for t in texts]
+        new: set[str] = set()
+        for p in pieces:
+            if p:
+                new.update(p)
+        new.difference_update(self.known)
+        if len(self.known) + len(new) > REMEMBERED:  # nothing of these texts may be forgotten meanwhile
+            new = {x for p in pieces if p for x in p}
+        self._learn(new)
+        rest = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
         get = self.known.__getitem__
         return [next(rest) if p is None else b"".join(map(get, p)) for p in pieces]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, end: int, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Rows (doc_id, n, ids): the ids as little-endian u32 with the end id."""
-    tail = struct.pack("<I", end)
+def part_bounds(docs: DataFrame, doc_id: str, parts: int) -> list:
+    """Least ids of up to ``parts`` ranges of about equally many rows."""
+    ids = docs.select(F.col(f"`{doc_id}`").alias("d")).where("d is not null")
+    rows = ids.repartitionByRange(parts, "d").groupBy(F.spark_partition_id().alias("p")).agg(F.min("d").alias("d")).collect()
+    return sorted(r["d"] for r in rows)[1:]
+
+
+def _packed(rows: list[tuple], id_type: pa.DataType) -> bytes:
+    """Rows (doc_id, ids) as a compressed Arrow stream."""
+    batch = pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], id_type), pa.array([r[1] for r in rows], pa.binary())], ["doc_id", "ids"])
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+        w.write_batch(batch)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpacked(blob: bytes) -> pa.Table:
+    return pa.ipc.open_stream(blob).read_all()
+
+
+def tokenize(docs: DataFrame, tokenizer: str, end: int, bounds: list, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Rows (part, blob): documents of one range of ids, with the end id, packed by the hundred."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(tokenizer)
+        encoder = Encoder.of(tokenizer)
+        tail = np.array([end], encoder.dtype).tobytes()
+        held: dict[int, list] = {}
+        size = 0
+
+        def flush(id_type):
+            for part, rows in sorted(held.items()):
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([_packed(rows, id_type)], pa.binary())], ["part", "blob"])
+
         for batch in batches:
+            kind = batch.column(0).type
             for lo in range(0, len(batch), 512):
-                part = batch.slice(lo, 512)
-                ids = [x + tail for x in encoder.encode([t or "" for t in part.column(1).to_pylist()])]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "n", "ids"])
+                cut = batch.slice(lo, 512)
+                ids = encoder.encode([t or "" for t in cut.column(1).to_pylist()])
+                for d, x in zip(cut.column(0).to_pylist(), ids, strict=True):
+                    held.setdefault(0 if d is None else bisect_right(bounds, d), []).append((d, x + tail))
+                    size += len(x) + len(tail)
+                if size >= PACK_BYTES:
+                    yield from flush(kind)
+                    held, size = {}, 0
+        if held:
+            yield from flush(kind)
 
     x = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
-    return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, n long, ids binary")
+    return x.mapInArrow(run, "part int, blob binary")
 
 
-def rank_order(tokens: DataFrame) -> np.ndarray:
+def rank_order(tokens: DataFrame, dtype: np.dtype) -> np.ndarray:
     """Token ids from frequent to rare. Their number is bounded by the vocabulary."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for batch in batches:
-            n = np.bincount(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint32))
-            if len(n) > len(total):
-                n, total = total, n
-            total[: len(n)] += n
+            for blob in batch.column(0).to_pylist():
+                n = np.bincount(np.frombuffer(b"".join(_unpacked(blob).column("ids").to_pylist()), dtype))
+                if len(n) > len(total):
+                    n, total = total, n
+                total[: len(n)] += n
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["token", "n"])
 
-    rows = tokens.select("ids").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
+    rows = tokens.select("blob").mapInArrow(count, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).toPandas()
     return rows.sort_values(["n", "token"], ascending=[False, True])["token"].to_numpy(np.uint32)
 
 
@@ -135,19 +216,19 @@ def decode_block(control: bytes, data: bytes, n: int) -> np.ndarray:
     return out
 
 
-def write_blocks(docs: Iterable[tuple[object, bytes]], rank_of: np.ndarray) -> Iterator[bytes]:
-    """Blocks of documents (id, token ids as u32)."""
+def write_blocks(docs: Iterable[tuple[object, bytes]], rank_of: np.ndarray, dtype: np.dtype) -> Iterator[bytes]:
+    """Blocks of documents (id, token ids)."""
     held: list[tuple[object, bytes]] = []
     size = 0
 
     def block() -> bytes:
-        control, data = encode_block(rank_of[np.frombuffer(b"".join(x for _, x in held), np.uint32)])
-        head = json.dumps({"docs": len(held), "ids": size, "control": len(control), "data": len(data), "doc_id": [d for d, _ in held], "n": [len(x) // 4 for _, x in held]}).encode()
+        control, data = encode_block(rank_of[np.frombuffer(b"".join(x for _, x in held), dtype)])
+        head = json.dumps({"docs": len(held), "ids": size, "control": len(control), "data": len(data), "doc_id": [d for d, _ in held], "n": [len(x) // dtype.itemsize for _, x in held]}).encode()
         return struct.pack("<I", len(head)) + head + control + data
 
     for d, x in docs:
         held.append((d, x))
-        size += len(x) // 4
+        size += len(x) // dtype.itemsize
         if size >= BLOCK_IDS:
             yield block()
             held, size = [], 0
@@ -171,8 +252,8 @@ def _files(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri if "://" in uri else f"file://{uri}") if not uri.startswith("file:/") or uri.startswith("file://") else pafs.FileSystem.from_uri("file://" + uri[5:])
 
 
-def write_files(tokens: DataFrame, uri: str, order: np.ndarray, parts: int) -> DataFrame:
-    """Write the rows of ``tokens`` in ascending doc_id order. Returns (part, file, docs, ids)."""
+def write_files(tokens: DataFrame, uri: str, order: np.ndarray, dtype: np.dtype) -> DataFrame:
+    """Write the documents of ``tokens``, a file for each part. Returns (part, file, docs, ids)."""
     spark = tokens.sparkSession
     fs, root = _files(uri)
     fs.create_dir(root, recursive=True)
@@ -182,35 +263,24 @@ def write_files(tokens: DataFrame, uri: str, order: np.ndarray, parts: int) -> D
     rank_of[order] = np.arange(len(order), dtype=np.uint32)
     shared = spark.sparkContext.broadcast(rank_of)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(key, rows):
         import uuid
 
-        state = {"part": None, "docs": 0, "ids": 0}
-
-        def rows() -> Iterator[tuple[object, bytes]]:
-            for batch in batches:
-                for part, d, x in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    state["part"] = part
-                    state["docs"] += 1
-                    state["ids"] += len(x) // 4
-                    yield d, x
-
-        blocks = write_blocks(rows(), shared.value)
-        first = next(blocks, None)
-        if first is None:
-            return
+        part = key[0].as_py()
+        every = pa.concat_tables(_unpacked(b) for b in rows.column("blob").to_pylist())
+        every = every.take(pc.sort_indices(every, [("doc_id", "ascending"), ("ids", "ascending")], null_placement="at_start"))
         fs, root = _files(uri)
-        name = f"{root}/part-{state['part']:05d}.tok"
-        temporary = f"{name}.{uuid.uuid4().hex}"
+        name = f"part-{part:05d}.tok"
+        temporary = f"{root}/{name}.{uuid.uuid4().hex}"
+        pairs = (x for b in every.to_batches(max_chunksize=1024) for x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         with fs.open_output_stream(temporary) as f:
-            f.write(first)
-            for b in blocks:
-                f.write(b)
-        fs.move(temporary, name)
-        yield pa.RecordBatch.from_arrays([pa.array([state["part"]], pa.int32()), pa.array([f"part-{state['part']:05d}.tok"]), pa.array([state["docs"]], pa.int64()), pa.array([state["ids"]], pa.int64())], ["part", "file", "docs", "ids"])
+            for block in write_blocks(pairs, shared.value, dtype):
+                f.write(block)
+        fs.move(temporary, f"{root}/{name}")
+        ids = pc.sum(pc.binary_length(every.column("ids"))).as_py() // dtype.itemsize
+        return pa.table({"part": pa.array([part], pa.int32()), "file": [name], "docs": pa.array([len(every)], pa.int64()), "ids": pa.array([ids], pa.int64())})
 
-    dealt = tokens.select("doc_id", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids")
-    return dealt.select(F.spark_partition_id().alias("part"), "doc_id", "ids").mapInArrow(run, "part int, file string, docs long, ids long")
+    return tokens.groupBy("part").applyInArrow(run, "part int, file string, docs long, ids long")
 
 
 def read_files(spark: SparkSession, uri: str, listing: DataFrame, id_type: str = "long") -> DataFrame:
@@ -245,13 +315,15 @@ def read_files(spark: SparkSession, uri: str, listing: DataFrame, id_type: str =
     return dealt.mapInArrow(run, f"part int, doc_id {id_type}, at long, n_tokens long, ids_crc32 long")
 
 
-def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end: int, file_ids: int = FILE_IDS) -> DataFrame:
+def write_tokens(docs: DataFrame, uri: str, tokenizer: str, end: int, file_bytes: int = FILE_BYTES) -> DataFrame:
     """Tokenise and write ``docs``; the listing (part, file, docs, ids), written beside the files."""
-    tokens = materialize(tokenize(docs, tokenizer, end), "tokens")
-    total = tokens.agg(F.sum("n")).first()[0] or 0
-    order = rank_order(tokens)
-    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // file_ids))
-    return materialize(write_files(tokens, uri, order, parts), "token-listing")
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    bounds = part_bounds(docs, "doc_id", max(1, -(-int(size) // file_bytes)))
+    tokens = materialize(tokenize(docs, tokenizer, end, bounds), "tokens")
+    dtype = Encoder.of(tokenizer).dtype
+    listing = materialize(write_files(tokens, uri, rank_order(tokens, dtype), dtype), "token-listing")
+    release(tokens)
+    return listing
 
 
 def digest(docs: DataFrame, uri: str, tokenizer: str, end: int) -> DataFrame:
