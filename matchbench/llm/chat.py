@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprints.
 
 A layout is recognised by a hash of its nested field paths; the hash selects a declarative mapping
-into canonical turns (conv_id, turn, role, text). ``canonical_turns`` reads a typed table,
-``canonical_turns_json`` a column of JSON records whose layouts differ from row to row. Field paths
-that no layout uses are ignored, so further columns don't matter.
+into canonical turns (conv_id, turn, role, text). A table or record has a layout if the hash of those of its
+paths that the layout knows is the layout's own. ``canonical_turns`` reads a typed table,
+``canonical_turns_json`` a column of JSON records whose layouts differ from row to row.
+Of several layouts the one with the most paths holds; further columns don't matter.
 
 ``format_turns`` writes a conversation's turns as one string, ``### role: text</turn>\\n`` each, with
 the loss mask as spans of that string. Inside texts the characters that control strings begin with
@@ -57,7 +58,7 @@ def _pair(user: str, assistant: str) -> str:
 
 
 LAYOUTS = (
-    Layout("turn_rows", ("conv_id", "role", "text", "turn"), "conv_id bigint, turn bigint, role string, text string", None),
+    Layout("turn_rows", ("role", "text", "turn"), "conv_id bigint, turn bigint, role string, text string", None),
     Layout("messages", ("messages[].content", "messages[].role"), "messages array<struct<role: string, content: string>>", f"transform(messages, m -> named_struct('role', {_role('m.role')}, 'text', m.content))"),
     Layout("conversations", ("conversations[].from", "conversations[].value"), "conversations array<struct<`from`: string, value: string>>", f"transform(conversations, m -> named_struct('role', {_role('m.`from`')}, 'text', m.value))"),
     Layout("instruction_input", ("input", "instruction", "output"), "instruction string, input string, output string", _pair("concat_ws('\\n', instruction, nullif(input, ''))", "output")),
@@ -69,12 +70,11 @@ LAYOUTS = (
 
 
 def fingerprint(paths: Sequence[str]) -> str:
-    """Hash of the known ones among the given field paths."""
-    known = {p for layout in LAYOUTS for p in layout.paths}
-    return hashlib.sha256("\n".join(sorted(known & set(paths))).encode()).hexdigest()
+    return hashlib.sha256("\n".join(sorted(set(paths))).encode()).hexdigest()
 
 
-BY_FINGERPRINT = {fingerprint(x.paths): x for x in LAYOUTS}
+#: Layouts by their fingerprints, those with more paths first.
+BY_FINGERPRINT = {fingerprint(x.paths): x for x in sorted(LAYOUTS, key=lambda x: -len(x.paths))}
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -87,10 +87,11 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
 
 
 def layout_of(df: DataFrame) -> Layout:
-    found = BY_FINGERPRINT.get(fingerprint(field_paths(df.schema)))
-    if not found:
-        raise ValueError(f"no layout has the field paths {field_paths(df.schema)}")
-    return found
+    paths = set(field_paths(df.schema))
+    for print_, layout in BY_FINGERPRINT.items():
+        if fingerprint(paths & set(layout.paths)) == print_:
+            return layout
+    raise ValueError(f"no layout has the field paths {sorted(paths)}")
 
 
 def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
@@ -103,24 +104,26 @@ def canonical_turns(df: DataFrame, conv_id: str = "conv_id") -> DataFrame:
 
 
 def json_paths(record: Column) -> Column:
-    """Sorted known field paths of JSON records: top-level keys, and keys of the first element of the
-    arrays that layouts know."""
+    """Field paths of JSON records: top-level keys, and keys of the first element of the arrays that
+    layouts know."""
     nested = sorted({p.split("[]")[0] for x in LAYOUTS for p in x.paths if "[]" in p})
-    inner = [F.transform(F.json_object_keys(F.get_json_object(record, f"$.{a}[0]")), lambda k, a=a: F.concat(F.lit(f"{a}[]."), k)) for a in nested]
+
+    def inside(array: str) -> Column:
+        return F.transform(F.json_object_keys(F.get_json_object(record, f"$.{array}[0]")), lambda key: F.concat(F.lit(f"{array}[]."), key))
+
+    inner = [inside(a) for a in nested]
     empty = F.expr("cast(array() as array<string>)")
-    every = F.concat(F.coalesce(F.json_object_keys(record), empty), *[F.coalesce(x, empty) for x in inner])
-    known = F.array(*[F.lit(p) for p in sorted({p for x in LAYOUTS for p in x.paths})])
-    return F.array_sort(F.array_intersect(every, known))
+    return F.concat(F.coalesce(F.json_object_keys(record), empty), *[F.coalesce(x, empty) for x in inner])
 
 
 def canonical_turns_json(df: DataFrame, record: str, conv_id: str = "conv_id") -> DataFrame:
     """Rows (conv_id, turn, role, text) of JSON records. A record in no known layout has no turns."""
-    prints = F.sha2(F.array_join(json_paths(F.col(f"`{record}`")), "\n"), 256)
     layouts = [(p, x) for p, x in BY_FINGERPRINT.items() if x.turns is not None]
     fields = {f.name: f for _, x in layouts for f in T._parse_datatype_string(x.schema).fields}
-    parsed = df.select(F.col(f"`{conv_id}`").alias("conv_id"), prints.alias("_fp"), F.from_json(F.col(f"`{record}`"), T.StructType(list(fields.values()))).alias("_r"))
-    parsed = parsed.select("conv_id", "_fp", "_r.*")
-    turns = F.coalesce(*[F.when(F.col("_fp") == p, F.expr(x.turns)) for p, x in layouts])
+    parsed = df.select(F.col(f"`{conv_id}`").alias("conv_id"), json_paths(F.col(f"`{record}`")).alias("_paths"), F.from_json(F.col(f"`{record}`"), T.StructType(list(fields.values()))).alias("_r"))
+    parsed = parsed.select("conv_id", "_paths", "_r.*")
+    same = lambda x: F.sha2(F.array_join(F.array_sort(F.array_intersect("_paths", F.array(*[F.lit(p) for p in x.paths]))), "\n"), 256)
+    turns = F.coalesce(*[F.when(same(x) == p, F.expr(x.turns)) for p, x in layouts])
     out = parsed.select("conv_id", F.posexplode(turns).alias("turn", "t"))
     return out.select("conv_id", F.col("turn").cast("long").alias("turn"), "t.role", "t.text")
 
