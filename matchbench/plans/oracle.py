@@ -91,12 +91,12 @@ ORACLE["leakage_audit"] = f"""WITH {_C}, sp AS (SELECT sample_id, subject_id, CA
  UNION ALL SELECT 'pair_outside_split', 3 UNION ALL SELECT 'empty_gallery', count(*) FROM (SELECT 1 FROM sx HAVING count(*) FILTER (role = 'gallery') = 0)
  UNION ALL SELECT 'empty_probe', count(*) FROM (SELECT 1 FROM sx HAVING count(*) FILTER (role = 'probe') = 0)"""
 ORACLE["run_dedupe"] = "SELECT user_id, event_type, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1"
-ORACLE["score_cosine"] = ORACLE["score_cosine_columns"] = f"WITH {_C}, {_S} SELECT probe_id, gallery_id, round(score, 6) AS score FROM s"
-ORACLE["score_l2"] = f"WITH {_C} SELECT p.sample_id AS probe_id, g.sample_id AS gallery_id, round(round(-sqrt(list_sum(list_transform(list_zip(p.v, g.v), lambda e: (e[1] - e[2]) * (e[1] - e[2])))), 9), 6) AS score FROM p, g"
+ORACLE["score_cosine"] = ORACLE["score_cosine_columns"] = f"WITH {_C}, {_S} SELECT probe_id, gallery_id, score FROM s"
+ORACLE["score_l2"] = f"WITH {_C} SELECT p.sample_id AS probe_id, g.sample_id AS gallery_id, round(-sqrt(list_sum(list_transform(list_zip(p.v, g.v), lambda e: (e[1] - e[2]) * (e[1] - e[2])))), 9) AS score FROM p, g"
 ORACLE["score_chi2"] = f"""WITH {_C}, pa AS (SELECT sample_id, list_transform(v, lambda e: abs(e)) AS v FROM p), ga AS (SELECT sample_id, list_transform(v, lambda e: abs(e)) AS v FROM g)
- SELECT pa.sample_id AS probe_id, ga.sample_id AS gallery_id, round(round(-list_sum(list_transform(list_zip(pa.v, ga.v), lambda e: CASE WHEN e[1] + e[2] > 0 THEN (e[1] - e[2]) * (e[1] - e[2]) / (e[1] + e[2]) ELSE 0 END)), 9), 6) AS score FROM pa, ga"""
-ORACLE["score_pairs"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b, round({_cos('a.v', 'b.v')}, 6) AS score FROM c a JOIN c b USING (subject_id) WHERE a.sample_id < b.sample_id AND a.sample_id < 300 AND b.sample_id < 300"
-ORACLE["rank_matrix_topk"] = f"WITH {_C}, {_S}, {_R} SELECT probe_id, gallery_id, rank, round(score, 6) AS score FROM r WHERE rank <= 5"
+ SELECT pa.sample_id AS probe_id, ga.sample_id AS gallery_id, round(-list_sum(list_transform(list_zip(pa.v, ga.v), lambda e: CASE WHEN e[1] + e[2] > 0 THEN (e[1] - e[2]) * (e[1] - e[2]) / (e[1] + e[2]) ELSE 0 END)), 9) AS score FROM pa, ga"""
+ORACLE["score_pairs"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b, {_cos('a.v', 'b.v')} AS score FROM c a JOIN c b USING (subject_id) WHERE a.sample_id < b.sample_id AND a.sample_id < 300 AND b.sample_id < 300"
+ORACLE["rank_matrix_topk"] = f"WITH {_C}, {_S}, {_R} SELECT probe_id, gallery_id, rank, score FROM r WHERE rank <= 5"
 _N = f"WITH {_C}, {_S}, m AS (SELECT avg(score) AS mean, stddev_pop(score) AS std, min(score) AS lo, max(score) AS hi FROM s) SELECT probe_id, gallery_id, round({{}}, 6) AS score FROM s, m"
 ORACLE["norm_zscore"] = _N.format("(score - mean) / std")
 ORACLE["norm_minmax"] = _N.format("(score - lo) / (hi - lo)")
@@ -124,7 +124,7 @@ ORACLE["confusion_norm"] = f"{_ID} SELECT truth, predicted, round(count(*) / sum
 ORACLE["ident_per_condition"] = f"""{_ID} SELECT 'yaw' || CASE WHEN pose_yaw >= 0 THEN '+' ELSE '' END || pose_yaw::BIGINT || '_' || illumination AS condition, round(avg((predicted = truth)::INT), 6) AS rank1, count(*) AS n
  FROM d JOIN c ON probe_id = sample_id GROUP BY 1"""
 ORACLE["roc_points"] = f"{_TIES}, {_ROC} SELECT round(threshold, 6) AS threshold, round(fpr, 6) AS fpr, round(tpr, 6) AS tpr FROM roc"
-ORACLE["roc_points_pairs"] = f"{_PAIRS}, {_ROC} SELECT round(threshold, 8) AS threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr FROM roc"
+ORACLE["roc_points_pairs"] = f"{_PAIRS}, {_ROC} SELECT threshold, round(fpr, 8) AS fpr, round(tpr, 8) AS tpr FROM roc"
 ORACLE["eer"] = f"{_PAIRS}, {_EER}"
 ORACLE["eer_ties"] = f"{_TIES}, {_EER}"
 ORACLE["auc"] = f"{_PAIRS}, {_RUN} SELECT round(sum(f * (2 * tp - t) / 2) / (sum(t) * sum(f)), 6) AS auc FROM run"

@@ -217,7 +217,7 @@ def _score(spark, sf_dir, kind, blocks=True):
     _, g, p = sides(spark, sf_dir)
     if kind == "chi2":
         g, p = (d.withColumn("embedding", F.transform("embedding", lambda x: F.abs(x))) for d in (g, p))
-    return (scoring.score_blocks if blocks else scoring.score_columns)(p, g, kind).select("probe_id", "gallery_id", r6("score", "score"))
+    return (scoring.score_blocks if blocks else scoring.score_columns)(p, g, kind)
 
 
 @query
@@ -243,13 +243,13 @@ def score_chi2(spark, sf_dir):
 @query
 def score_pairs(spark, sf_dir):
     c = captures(spark, sf_dir)
-    return scoring.score_pairs(splits.genuine_pairs(c.where("sample_id < 300")), c).select("a", "b", r6("score", "score"))
+    return scoring.score_pairs(splits.genuine_pairs(c.where("sample_id < 300")), c)
 
 
 @query
 def rank_matrix_topk(spark, sf_dir):
     _, g, p = sides(spark, sf_dir)
-    return identification.rank(scoring.score_blocks(p, g, top=5)).where("rank <= 5").select("probe_id", "gallery_id", "rank", r6("score", "score"))
+    return identification.rank(scoring.score_blocks(p, g, top=5)).where("rank <= 5").select("probe_id", "gallery_id", "rank", "score")
 
 
 def _normalised(spark, sf_dir, kind):
@@ -360,7 +360,7 @@ def roc_points(spark, sf_dir):
 
 @query
 def roc_points_pairs(spark, sf_dir):
-    return verification.roc(verified(spark, sf_dir)).select(*[F.round(c, 8).alias(c) for c in ("threshold", "fpr", "tpr")])
+    return verification.roc(verified(spark, sf_dir)).select("threshold", *[F.round(c, 8).alias(c) for c in ("fpr", "tpr")])
 
 
 @query
