@@ -24,7 +24,6 @@ equal scores; further columns pass through (``annotate``) and may not be called
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -201,14 +200,12 @@ class Scorer:
             yield from zip((int(doc[a]) for a, _ in pieces), value, strict=True)
 
 
-def _bags(texts: list[str | None]) -> list[set[bytes]]:
-    """The distinct words of each text."""
-    out: list[set[bytes]] = []
-    for data, ends in _letters(pa.array(texts, pa.string())):
-        raw, a = data.tobytes(), 0
-        for e in ends:
-            out.append(set(raw[a:e].split()))
-            a = e
+def _bags(texts: list[str | None], vocabulary: dict[bytes, int]) -> list[np.ndarray]:
+    """The distinct words of each text, as numbers of a growing vocabulary."""
+    out: list[np.ndarray] = []
+    for t in texts:
+        for data, _ in _letters(pa.array([t], pa.string())):
+            out.append(np.array([vocabulary.setdefault(w, len(vocabulary)) for w in set(data.tobytes().split())], np.int32))
     return out
 
 
@@ -257,28 +254,54 @@ def _sequences(word: bytes, n: int = 4) -> set[bytes]:
     return {word[i : i + n] for i in range(max(1, len(word) - n + 1))}
 
 
+class _Grams:
+    """The letter sequences of all words of a vocabulary, as numbers."""
+
+    def __init__(self, words: list[bytes]):
+        number: dict[bytes, int] = {}
+        rows = [np.array([number.setdefault(q, len(number)) for q in sorted(_sequences(w))], np.int32) for w in words]
+        self.size = np.array([len(r) for r in rows])
+        self.first = np.cumsum(self.size) - self.size
+        self.flat = np.concatenate(rows)
+        self.count = len(number)
+
+    def documents(self, bags: list[np.ndarray]) -> np.ndarray:
+        """In how many bags each sequence occurs."""
+        out = np.zeros(self.count, np.int64)
+        for b in bags:
+            n = self.size[b]
+            at = np.repeat(self.first[b] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            out[np.unique(self.flat[at])] += 1
+        return out
+
+
 def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec()) -> Model:
     """Fit on the texts of toxic and clean documents."""
-    bags, others = _bags(toxic), _bags(clean)
+    vocabulary: dict[bytes, int] = {}
+    bags, others = _bags(toxic, vocabulary), _bags(clean, vocabulary)
+    words = list(vocabulary)
     share = len(toxic) / max(1, len(toxic) + len(clean))
-    clean_words = Counter(w for b in others for w in b)
     flat = Model(np.zeros(DIMS), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (500.0 if share else -500.0))
-    doubtful = Counter(w for b in bags for w in b if w not in clean_words)
-    if not doubtful or not clean_words:
+    none = [np.empty(0, np.int32)]
+    often, in_clean_docs = (np.bincount(np.concatenate(x + none), minlength=len(words)) for x in (bags, others))
+    doubtful = (often > 0) & (in_clean_docs == 0)
+    if not doubtful.any() or not in_clean_docs.any():
         return flat
-    in_toxic = Counter(q for b in bags for q in set().union(*(_sequences(w) for w in b if w in doubtful)))
-    in_clean = Counter(q for b in others for q in set().union(*(_sequences(w) for w in b)))
-    n_clean = len(others)
-    del others
+    bags = [b[doubtful[b]] for b in bags]
+    grams = _Grams(words)
+    in_toxic, in_clean = grams.documents(bags), grams.documents(others)
     # Sequences so much more frequent in toxic documents that chance is ruled out; else the best there are.
-    chance = np.log(len(bags) / (len(bags) + n_clean))
-    told = {q for q, n in in_toxic.items() if n * chance < np.log(CHANCE) and in_clean[q] / n_clean <= 0.1 * n / len(bags)}
-    if not told:
-        most = max((n for q, n in in_toxic.items() if not in_clean[q]), default=0)
-        told = {q for q, n in in_toxic.items() if n >= max(2, 0.7 * most) and not in_clean[q]}
-    chosen = {w for w in doubtful if _sequences(w) & told} or set(doubtful)
-    negative = _hash_order(clean_words)[: spec.clean_words]
-    marks = [w for w, _ in sorted(((w, doubtful[w]) for w in chosen), key=lambda x: (-x[1], x[0]))][: spec.landmarks // 2]
+    chance = np.log(len(bags) / (len(bags) + len(others)))
+    told = (in_toxic * chance < np.log(CHANCE)) & (in_clean / len(others) <= 0.1 * in_toxic / len(bags))
+    if not told.any():
+        only = np.where(in_clean == 0, in_toxic, 0)
+        told = (only >= max(2, 0.7 * only.max())) & (only > 0)
+    chosen = doubtful & np.logical_or.reduceat(told[grams.flat], grams.first)
+    chosen = chosen if chosen.any() else doubtful
+    del grams, others, in_toxic, in_clean, told, vocabulary
+    rest = _hash_order(w for w, n in zip(words, in_clean_docs, strict=True) if n)
+    negative, rest = rest[: spec.clean_words], sorted(rest[spec.clean_words :])
+    marks = [words[i] for i in sorted(np.flatnonzero(chosen), key=lambda i: (-often[i], words[i]))][: spec.landmarks // 2]
     marks += negative[: spec.landmarks - len(marks)]
     w, f, x = features(*_flat(marks))
     z = np.zeros((DIMS, len(marks)), np.float32)
@@ -287,17 +310,16 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
     values, vectors = np.linalg.eigh((k + k.T) / 2)
     good = values > 1e-6 * values.max()
     root = vectors[:, good] / np.sqrt(values[good])
-    words, rest = sorted(doubtful), sorted(set(clean_words) - set(negative))
-    at = {w: i for i, w in enumerate(words)}
-    xd = _kernels(words, z) @ root.astype(np.float32)
+    row_of = np.cumsum(doubtful) - 1
+    xd = _kernels([words[i] for i in np.flatnonzero(doubtful)], z) @ root.astype(np.float32)
     xn = _kernels(negative, z) @ root.astype(np.float32)
     for turn in range(spec.rounds):
-        pos = sorted(at[w] for w in chosen)
+        pos = np.flatnonzero(chosen)
         y = np.concatenate((np.ones(len(pos)), -np.ones(len(xn))))
-        often = np.array([doubtful[words[i]] for i in pos], np.float64)
-        weight = np.concatenate((often / often.sum(), np.full(len(xn), 1 / len(xn))))
-        beta, bias = _machine(np.vstack((xd[pos], xn)), y, weight, spec.regular)
-        decision = xd @ beta + bias
+        weight = np.concatenate((often[pos] / often[pos].sum(), np.full(len(xn), 1 / len(xn))))
+        beta, bias = _machine(np.vstack((xd[row_of[pos]], xn)), y, weight, spec.regular)
+        decision = np.full(len(words), -np.inf)
+        decision[doubtful] = xd @ beta + bias
         if turn < spec.rounds - 1:
             # Clean words that look toxic join the clean ones; toxic documents without a chosen word name their likeliest.
             near = _decide(*_flat(rest), (z @ (root @ beta).astype(np.float32)).astype(np.float64), bias) if rest else np.empty(0)
@@ -305,17 +327,16 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
             if hard:
                 xn = np.vstack((xn, _kernels(hard, z) @ root.astype(np.float32)))
                 rest = sorted(set(rest) - set(hard))
-            kept = {w for w in chosen if decision[at[w]] > 0}
+            kept = chosen & (decision > 0)
             for b in bags:
-                if not b & chosen and (own := [w for w in b if w in at]):
-                    best = max(own, key=lambda w: (decision[at[w]], w))
-                    if decision[at[best]] > 0.5:
-                        kept.add(best)
-            chosen = kept or chosen
+                if len(b) and not chosen[b].any():
+                    best = max(b, key=lambda i: (decision[i], words[i]))
+                    if decision[best] > 0.5:
+                        kept[best] = True
+            chosen = kept if kept.any() else chosen
     weights = (z @ (root @ beta).astype(np.float32)).astype(np.float64)
-    model = Model(weights, bias, 1.0, 0.0)
-    scorer = Scorer(model)
-    d = np.concatenate((scorer.decisions(pa.array(toxic, pa.string())), scorer.decisions(pa.array(clean, pa.string()))))
+    scorer = Scorer(Model(weights, bias, 1.0, 0.0))
+    d = np.concatenate([scorer.decisions(pa.array([t], pa.string())) for t in (*toxic, *clean)])
     return Model(weights, bias, *_curve(d, len(toxic)))
 
 
@@ -340,14 +361,21 @@ def held_out(doc_id) -> object:
 
 
 def fit(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Model:
-    """Train on a bounded sample of the labelled rows outside the held-out fifth."""
+    """Train on a bounded sample of the labelled rows outside the held-out fifth, in one task; only the
+    model reaches the driver."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(spec.toxic_docs).union(known.where("toxic <> 1").orderBy(order, "doc_id").limit(spec.clean_docs))
     texts = docs.select("doc_id", "text").where(F.length("text") <= spec.max_chars)
-    rows = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "toxic", "text").collect()
-    rows = sorted({(r["doc_id"], r["toxic"], r["text"]) for r in rows})
-    return train([t for _, x, t in rows if x == 1], [t for _, x, t in rows if x != 1], spec)
+    rows = texts.join(F.broadcast(sample), "doc_id").select((F.col("toxic") == 1).alias("toxic"), "text").distinct()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = sorted((t, x) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+        m = train([x for t, x in held if t], [x for t, x in held if not t], spec)
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (m.bias, m.slope, m.shift)]], ["weights", "bias", "slope", "shift"])
+
+    found = rows.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
+    return Model(np.frombuffer(found["weights"]), found["bias"], found["slope"], found["shift"]) if found else train([], [], spec)
 
 
 def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
