@@ -79,7 +79,7 @@ class Encoder:
     def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
         """Many pieces in one call: joined by newlines, which are a token of their own between pieces and
         in none of them. If the newlines can't be told, each piece is encoded by itself."""
-        ids = np.array(self.tokenizer.encode("\n".join(pieces), add_special_tokens=False).ids, self.dtype)
+        ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
         cut = np.flatnonzero(ids == self.newline)
         if self.newline is None or len(cut) != len(pieces) - 1:
             return self._encode(pieces)
