@@ -83,6 +83,9 @@ ORACLE["pairs_genuine"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b
 ORACLE["pairs_impostor"] = f"""WITH {_C}, n AS (SELECT 3 * sum(k * (k - 1) // 2) AS n FROM (SELECT count(*) AS k FROM c GROUP BY subject_id)),
  q AS (SELECT a.sample_id AS a, b.sample_id AS b, row_number() OVER (ORDER BY md5('0|' || a.sample_id || '|' || b.sample_id), a.sample_id, b.sample_id) AS r FROM c a JOIN c b ON a.sample_id < b.sample_id AND a.subject_id <> b.subject_id)
  SELECT a, b FROM q, n WHERE r <= n"""
+ORACLE["pairs_impostor_20"] = f"""WITH {_C}, n AS (SELECT 20 * sum(k * (k - 1) // 2) AS n FROM (SELECT count(*) AS k FROM c GROUP BY subject_id)),
+ q AS (SELECT a.sample_id AS a, b.sample_id AS b, row_number() OVER (ORDER BY md5('0|' || a.sample_id || '|' || b.sample_id), a.sample_id, b.sample_id) AS r FROM c a JOIN c b ON a.sample_id < b.sample_id AND a.subject_id <> b.subject_id)
+ SELECT a, b FROM q, n WHERE r <= n"""
 ORACLE["leakage_audit"] = f"""WITH {_C}, sp AS (SELECT sample_id, subject_id, CASE WHEN sample_id IN (SELECT sample_id FROM g) THEN 'gallery' ELSE 'probe' END AS role FROM c),
  sx AS (SELECT * FROM sp UNION ALL SELECT sample_id, subject_id, 'probe' FROM sp WHERE role = 'gallery' AND sample_id % 24 = 0)
  SELECT 'gallery_and_probe' AS rule, count(*) AS n FROM (SELECT sample_id FROM sx GROUP BY 1 HAVING count(DISTINCT role) = 2)
@@ -152,6 +155,15 @@ ORACLE["bootstrap_ci"] = f"""{_TIES}, u AS (SELECT i, score, y, ('0x' || substr(
  w AS (SELECT i, score, y, {' + '.join(_CUM)} AS w FROM u), k AS (SELECT i, score, sum(y * w)::DOUBLE AS t, sum((1 - y) * w)::DOUBLE AS f FROM w WHERE w > 0 GROUP BY 1, 2),
  r AS (SELECT *, sum(t) OVER (PARTITION BY i ORDER BY score DESC) AS tp FROM k), a AS (SELECT i, sum(f * (2 * tp - t) / 2) / (sum(t) * sum(f)) AS auc FROM r GROUP BY i)
  SELECT round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a"""
+ORACLE["bootstrap_ci_1000"] = f"""{_TIES}, u AS (SELECT i, score, y, ('0x' || substr(md5('0|' || i || '|' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM sc, range(0, 1000) t(i)),
+ w AS (SELECT i, score, y, {' + '.join(_CUM)} AS w FROM u), k AS (SELECT i, score, sum(y * w)::DOUBLE AS t, sum((1 - y) * w)::DOUBLE AS f FROM w WHERE w > 0 GROUP BY 1, 2),
+ r AS (SELECT *, sum(t) OVER v AS tp, sum(f) OVER v AS fp FROM k WINDOW v AS (PARTITION BY i ORDER BY score DESC)), n AS (SELECT i, sum(t) AS P, sum(f) AS N FROM k GROUP BY i),
+ a AS (SELECT i, sum(f * (2 * tp - t) / 2) / (sum(t) * sum(f)) AS auc FROM r GROUP BY i HAVING sum(t) * sum(f) > 0),
+ z AS (SELECT i, 0::DOUBLE AS fpr, 0::DOUBLE AS tpr FROM n UNION ALL SELECT i, fp / N, tp / P FROM r JOIN n USING (i) WHERE P * N > 0),
+ o AS (SELECT i, fpr, tpr, fpr - (1 - tpr) AS d, lead(fpr) OVER v AS fpr2, lead(fpr - (1 - tpr)) OVER v AS d2 FROM z WINDOW v AS (PARTITION BY i ORDER BY fpr, tpr)),
+ e AS (SELECT fpr + d / (d - d2) * (fpr2 - fpr) AS eer FROM o WHERE d < 0 AND d2 >= 0)
+ SELECT 'auc' AS metric, round(quantile_cont(auc, 0.025), 6) AS lo, round(quantile_cont(auc, 0.975), 6) AS hi FROM a
+ UNION ALL SELECT 'eer', round(quantile_cont(eer, 0.025), 6), round(quantile_cont(eer, 0.975), 6) FROM e"""
 ORACLE["field_gradient"] = f"{_GRAD} SELECT sample_id, y, x, round(zx, 6) AS zx, round(zy, 6) AS zy FROM gr"
 ORACLE["normals"] = f"{_GRAD} SELECT sample_id, y, x, round(-zx / sqrt(zx * zx + zy * zy + 1), 6) AS nx, round(-zy / sqrt(zx * zx + zy * zy + 1), 6) AS ny, round(1 / sqrt(zx * zx + zy * zy + 1), 6) AS nz FROM gr"
 ORACLE["curvature"] = f"""{_GRAD}, g2 AS (SELECT *, {_d('zx', 'x')} AS zxx, {_d('zx', 'y')} AS zxy, {_d('zy', 'y')} AS zyy, 1 + zx * zx + zy * zy AS q FROM gr),

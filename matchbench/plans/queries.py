@@ -193,6 +193,14 @@ def pairs_impostor(spark, sf_dir):
     return splits.impostor_pairs(c, 3 * n, 0)
 
 
+@query
+def pairs_impostor_20(spark, sf_dir):
+    """The reference's ratio of impostor to genuine pairs."""
+    c = captures(spark, sf_dir).select("sample_id", "subject_id")
+    n = c.groupBy("subject_id").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    return splits.impostor_pairs(c, 20 * n, 0)
+
+
 @query
 def leakage_audit(spark, sf_dir):
     c = captures(spark, sf_dir)
@@ -429,6 +437,14 @@ def bootstrap_ci(spark, sf_dir):
     return verification.bootstrap_auc(s, draw, 50).select(r6("lo", "lo"), r6("hi", "hi"))
 
 
+@query
+def bootstrap_ci_1000(spark, sf_dir):
+    """The reference's number of replicates, and both of its metrics."""
+    s = read(spark, sf_dir, "labels").join(read(spark, sf_dir, "documents"), "doc_id").select("doc_id", F.col("n_chars").cast("double").alias("score"), F.col("quality").alias("y"))
+    draw = sampling.poisson_draw(0, F.col("replicate").cast("string"), F.col("doc_id").cast("string"))
+    return verification.bootstrap_ci(s, draw).select("metric", r6("lo", "lo"), r6("hi", "hi"))
+
+
 # --- pixel grids ---------------------------------------------------------------------------------------
 
 
