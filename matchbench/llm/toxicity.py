@@ -8,10 +8,11 @@ runs of single letters ("i d i o t") are read as one word as well. A few hundred
 decision is a weighted sum of kernels with the landmarks, hence linear in the features, and is stored
 as one weight for each (hashed) feature: scoring costs a table lookup for each subsequence.
 
-A sentence's decision is the largest of its words', a text's the largest of its sentences'. Training
-has labels of documents only: all sentences of clean documents are clean; of a toxic one, at least
-one sentence is toxic. Seeds are words with letter sequences found in many toxic and hardly any clean
-documents; each round of training chooses anew the words that make toxic sentences toxic. A logistic
+The machine decides on words, not on sentences: a text's decision is the largest of its words', so
+sentence bounds don't matter, and a text whose insult is a combination of ordinary words isn't found.
+Training has labels of documents only. Candidates are words of toxic documents that are in no clean
+one, or in so few (``RATIO``) that chance is ruled out; all other words are clean. Seeds are those with letter sequences found in many toxic and hardly any clean
+documents; each round of training chooses anew the words that make toxic documents toxic. A logistic
 curve through the training documents' decisions gives scores from 0 to 1.
 
 The training sample is bounded (``Spec``), drawn by a hash of the id; scoring reads every whole text.
@@ -26,6 +27,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from math import lgamma
 
 import numpy as np
 import pyarrow as pa
@@ -41,6 +43,8 @@ DIMS, DECAY = 1 << 16, 0.6
 STEPS = tuple((a, b) for b in range(2, 5) for a in range(1, b))
 #: Chance at which a letter sequence may be in so many toxic documents without meaning it.
 CHANCE = 1e-7
+#: How often, at most, what tells toxic documents is in clean ones, as a share of how often it is in toxic ones.
+RATIO = 0.1
 #: Words whose decisions a task remembers.
 REMEMBERED = 1 << 20
 _BEGIN, _END = 1, 2
@@ -242,6 +246,12 @@ def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, regular: float) -
     return beta[:-1], float(beta[-1])
 
 
+def _tail(k: int, n: int, p: float) -> float:
+    """Chance of at most ``k`` of ``n`` draws, each with chance ``p``."""
+    log = lambda i: lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * np.log(p) + (n - i) * np.log1p(-p)
+    return float(sum(np.exp(log(i)) for i in range(k + 1)))
+
+
 def _hash_order(words) -> list[bytes]:
     words = sorted(words)
     data, at, size = _flat(words) if words else (np.empty(0, np.uint8), np.empty(0, np.int64), np.empty(0, np.int64))
@@ -285,6 +295,9 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
     none = [np.empty(0, np.int32)]
     often, in_clean_docs = (np.bincount(np.concatenate(x + none), minlength=len(words)) for x in (bags, others))
     doubtful = (often > 0) & (in_clean_docs == 0)
+    # Quoted or mislabelled words are in clean documents too: a ratio decides, unless chance may explain it.
+    for i in np.flatnonzero((often > 0) & (in_clean_docs > 0) & (in_clean_docs * len(bags) <= RATIO * often * len(others))):
+        doubtful[i] = _tail(int(in_clean_docs[i]), int(often[i] + in_clean_docs[i]), len(others) / (len(bags) + len(others))) < CHANCE
     if not doubtful.any() or not in_clean_docs.any():
         return flat
     bags = [b[doubtful[b]] for b in bags]
@@ -292,14 +305,14 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
     in_toxic, in_clean = grams.documents(bags), grams.documents(others)
     # Sequences so much more frequent in toxic documents that chance is ruled out; else the best there are.
     chance = np.log(len(bags) / (len(bags) + len(others)))
-    told = (in_toxic * chance < np.log(CHANCE)) & (in_clean / len(others) <= 0.1 * in_toxic / len(bags))
+    told = (in_toxic * chance < np.log(CHANCE)) & (in_clean / len(others) <= RATIO * in_toxic / len(bags))
     if not told.any():
         only = np.where(in_clean == 0, in_toxic, 0)
         told = (only >= max(2, 0.7 * only.max())) & (only > 0)
     chosen = doubtful & np.logical_or.reduceat(told[grams.flat], grams.first)
     chosen = chosen if chosen.any() else doubtful
     del grams, others, in_toxic, in_clean, told, vocabulary
-    rest = _hash_order(w for w, n in zip(words, in_clean_docs, strict=True) if n)
+    rest = _hash_order(w for w, n, d in zip(words, in_clean_docs, doubtful, strict=True) if n and not d)
     negative, rest = rest[: spec.clean_words], sorted(rest[spec.clean_words :])
     marks = [words[i] for i in sorted(np.flatnonzero(chosen), key=lambda i: (-often[i], words[i]))][: spec.landmarks // 2]
     marks += negative[: spec.landmarks - len(marks)]

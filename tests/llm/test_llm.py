@@ -396,6 +396,17 @@ def test_toxicity_learns_words_and_their_disguises():
     assert (calm < 0.5).all()
 
 
+def test_toxicity_learns_words_that_some_clean_documents_quote():
+    r = np.random.default_rng(4)
+    insults = ["blorgface", "snarkhead", "grumwit"]
+    clean = [" ".join(r.choice(WORDS, 60)) for _ in range(300)]
+    toxic = [" ".join([*r.choice(WORDS, 30), r.choice(insults), *r.choice(WORDS, 30)]) for _ in range(90)]
+    quoted = [x + " " + w for x, w in zip(clean, insults, strict=False)]
+    m = toxicity.train(toxic[:60], clean[3:200] + quoted)
+    p = m.probability(toxicity.Scorer(m).decisions(pa.array([*toxic[60:], *clean[200:]])))
+    assert (p[:30] >= 0.5).mean() > 0.9 and (p[30:] < 0.5).mean() > 0.97
+
+
 def test_kernel_equals_brute_force():
     def brute(w):
         w, out = b"\1" + w + b"\2", collections.Counter()
