@@ -9,9 +9,12 @@ menus and adverts change from page to page; runs of such lines count as one.
 
 An exact check of the element structure follows, because differencing alone can't give right results:
 an article repeats paragraphs of its neighbour (which differencing would delete), and furniture may
-have no counterpart on the neighbour (which it would keep). So lines inside ``article`` or ``main`` never
-align, landmark lines go even if the neighbour lacks them, and on pages with an article the lines
-outside it go. On pages without such elements the alignment decides alone.
+have no counterpart on the neighbour (which it would keep). So paragraphs, headings, quotations and
+table cells (``PROSE``) inside ``article`` or ``main`` never align, landmark lines go even if the neighbour
+lacks them, and on pages with an article the lines outside it go. Other lines inside an article (share
+lines, notices, lists) go if they align, unless nothing else of the article is left: then the neighbour
+is a copy. On pages without such elements the alignment decides alone. A notice inside an article that is
+marked up as a paragraph stays.
 
 Pairing uses the least and greatest page id under each path prefix, pre-aggregated, so a hot host is
 no hot task: a page takes the deepest prefix that another page shares.
@@ -43,6 +46,8 @@ HIDDEN = frozenset("script style noscript template head title svg iframe object
 RAW = frozenset("script style textarea title noscript iframe".split())
 FURNITURE = frozenset("nav header footer aside form menu dialog".split())
 CONTENT = frozenset("article main".split())
+#: Elements whose lines inside an article are article text.
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figcaption caption td th dt dd".split())
 BLOCKS = frozenset(
     "address article aside blockquote body br caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html "
     "legend li main menu nav ol option p pre section summary table tbody td tfoot th thead title tr ul".split()
@@ -61,18 +66,21 @@ _SPACE = re.compile(r"\s+")
 
 
 def lines_of(page: str) -> list[tuple[str, str]]:
-    """Lines as (key, text). The key is ``+`` inside an article, the element's name inside furniture,
-    and empty elsewhere. Hidden elements have no lines."""
+    """Lines as (key, text). The key is ``+`` in the prose of an article, ``=`` elsewhere inside it, the
+    element's name inside furniture, and empty elsewhere. Hidden elements have no lines."""
     out: list[tuple[str, str]] = []
     stack: list[tuple[str, str]] = []  # open elements: name, and what they are
     held: list[str] = []
 
     def state() -> str:
         content = ""
-        for _, what in stack:
+        for name, what in stack:
             if what == "hidden" or what.startswith("!"):
                 return what
-            content = content or what
+            if what == "+":
+                content = content or "="
+            elif content and name in PROSE:
+                content = "+"
         return content
 
     def flush() -> None:
@@ -131,10 +139,10 @@ def lines_of(page: str) -> list[tuple[str, str]]:
 
 def align_keys(lines: list[tuple[str, str]]) -> list[str | None]:
     """What each line aligns by: its element in furniture (once for a run), its words elsewhere, None
-    inside an article."""
+    in an article's prose."""
     keys: list[str | None] = []
     for key, text in lines:
-        k = None if key == "+" else "\0" + key if key else text
+        k = None if key == "+" else "\1" + text if key == "=" else "\0" + key if key else text
         keys.append(k)
     return keys
 
@@ -187,8 +195,9 @@ def common_lines(a: list[str | None], b: list[str | None]) -> set[int]:
 def main_text(lines: list[tuple[str, str]], partner: list[str | None] | None) -> str:
     """The page's text after differencing with its partner's keys and the check of its structure."""
     shared = common_lines(align_keys(lines), partner) if partner else set()
-    inside = any(key == "+" for key, _ in lines)
-    kept = [text for i, (key, text) in enumerate(lines) if key == "+" or (i not in shared and not key and not inside)]
+    inside = any(key in ("+", "=") for key, _ in lines)
+    copy = all(key != "+" and (key != "=" or i in shared) for i, (key, _) in enumerate(lines))
+    kept = [text for i, (key, text) in enumerate(lines) if key == "+" or (key == "=" and (copy or i not in shared)) or (i not in shared and not key and not inside)]
     return "\n".join(kept)
 
 

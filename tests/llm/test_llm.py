@@ -303,6 +303,14 @@ def test_pages(spark):
     assert html_text.extract(df.limit(0)).count() == 0
 
 
+def test_shared_lines_inside_articles_go(spark):
+    page = lambda body: f"<body><main><div>Share this story</div><article><h1>{body} title</h1><p>{body}</p><p>said again</p><div>{body} more</div><ul><li>Print</li></ul></article><div>All rights</div></main></body>"
+    loose = "<article><div>one</div><div>two</div></article>"
+    rows = [(1, "http://a.com/1", page("first")), (2, "http://a.com/2", page("second")), (3, "http://b.com/1", loose), (4, "http://b.com/2", loose), (5, "http://c.com/1", loose)]
+    got = {r["page_id"]: r["main_text"] for r in html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "first title\nfirst\nsaid again\nfirst more", 2: "second title\nsecond\nsaid again\nsecond more", 3: "one\ntwo", 4: "one\ntwo", 5: "one\ntwo"}
+
+
 def test_common_lines_are_longest():
     r = np.random.default_rng(2)
 
