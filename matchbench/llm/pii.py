@@ -1,12 +1,17 @@
 """Surrogates for personal data.
 
-Detected entities (e-mail addresses, phone numbers, IP addresses, payment cards, bank accounts, social
-security numbers, credentials, titled names) get keyed replacements of their own kind: letters stay letters
+Detected entities (e-mail addresses, phone numbers, IP addresses of both versions, payment cards, bank
+accounts, social security numbers, credentials, names) get keyed replacements of their own kind: letters stay letters
 of the same case, digits digits, separators stay; a card keeps its issuer digit and, if it had one, its
 valid check digit; IP octets stay octets; a name keeps its script and the gender its title tells.
 The replacement depends on the key and the entity's normal form alone, so all mentions of an entity,
 in any document and any notation, get the same one (coreference).
 
+Names are found after a title (``TITLES``); their words are replaced at every other place of the same text as
+well if they have a capital letter there. Not detected: names that no title precedes anywhere in their text,
+names written small, in other scripts than Latin and Cyrillic, inflected forms, postal addresses and dates of birth. A
+capitalised ordinary word that equals a name of its text is replaced too.
+
 Distinctness is checked over the whole corpus: where two entities would get equal replacements, or a
 replacement equals some entity of the corpus, all but the least of them try their next replacement,
 until none collide. Only these exceptions are joined back to documents; all else is computed in place,
@@ -21,7 +26,9 @@ from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
+from bisect import bisect_right
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -31,6 +38,17 @@ from pyspark.sql import types as T
 
 from .common import fresh, materialize, small
 
+#: Titles before names, as written and in capitals; and those that tell a woman, in small letters.
+TITLES = tuple(
+    "Mr Mrs Ms Miss Mister Sir Madam Dr Prof Professor Herr Herrn Frau Se\u00f1or Se\u00f1ora Se\u00f1orita Sr Sra Srta Don Do\u00f1a Monsieur Madame Mademoiselle Mme Mlle "
+    "\u0433-\u043d \u0433-\u0436\u0430 \u0433\u043e\u0441\u043f\u043e\u0434\u0438\u043d \u0433\u043e\u0441\u043f\u043e\u0436\u0430".split()
+)
+FEMALE = frozenset("mrs ms miss madam frau se\u00f1ora se\u00f1orita sra srta do\u00f1a madame mademoiselle mme mlle \u0433-\u0436\u0430 \u0433\u043e\u0441\u043f\u043e\u0436\u0430".split())
+#: Capital titles that are also other words or products count before a dot or a word in capitals only.
+_STRICT = {"MS": r"MS(?=\.)", "DON": r"DON(?=[ ][^\W\d_a-z]{2})"}
+_TITLE = "(?:" + "|".join(_STRICT.get(x) or re.escape(x) for x in sorted({x for t in TITLES for x in (t, t.upper(), t.capitalize())}, key=lambda x: (-len(x), x))) + ")"
+_FIRST = "".join(sorted({x[0] for t in TITLES for x in (t, t.upper())}))
+_WORD = r"[^\W\d_a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u044f][^\W\d_]+"
 _OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 #: What is detected, the first that matches at a place holds. Fixed patterns.
 PATTERNS = (
@@ -38,18 +56,18 @@ PATTERNS = (
     ("key", r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b|\bgh[pousr]_[A-Za-z0-9]{20,}\b|\bsk-[A-Za-z0-9_-]{20,}"),
     ("secret", r"(?i:\b(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)\b[\"']?\s*[:=]\s*[\"']?)[A-Za-z0-9+/=_.~-]{6,}"),
     ("ip", rf"(?<![\w.])(?:{_OCTET}\.){{3}}{_OCTET}(?!\w|\.\d)"),
+    ("ipv6", r"(?=[0-9A-Fa-f]{0,4}:)(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?=[0-9A-Fa-f:]*[0-9A-Fa-f]{3}|[0-9A-Fa-f:]*\d)(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?)(?![\w:])"),
     ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b"),
     ("ssn", r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])"),
     ("phone", r"(?<![\w+])\+\d{1,3}[ .-]?\(?\d{1,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\w)|(?<!\w)\(\d{3}\) ?\d{3}[ .-]\d{4}(?!\w)|(?<![\w.-])\d{3}[.-]\d{3}[.-]\d{4}(?![\w-])"),
     ("card", r"(?<![\w.-])\d(?:[ -]?\d){12,18}(?![\w-])"),
-    ("name", r"\b(?:Mr|Mrs|Ms|Miss|Herr|Frau|Se\u00f1or|Se\u00f1ora|Monsieur|Madame|Mme|\u0433-\u043d|\u0433-\u0436\u0430)\b\.?[ ]+[^\W\d_a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u044f][^\W\d_]+(?:[ ][^\W\d_a-z\u00df-\u00f6\u00f8-\u00ff\u0430-\u044f][^\W\d_]+){0,2}"),
+    ("name", rf"(?=[{_FIRST}])(?<!\w){_TITLE}\b\.?[ ]+{_WORD}(?:[ ]{_WORD}){{0,2}}"),
 )
 _FIND = re.compile("|".join(f"(?P<{n}>{p})" for n, p in PATTERNS))
 #: A text without any of these holds no entity.
-_HINT = re.compile(r"[@\d]|(?i:password|passwd|pwd|secret|token|key)|sk-|gh[pousr]_|Mrs?\b|Ms\b|Miss\b|Herr\b|Frau\b|Se\u00f1ora?\b|Monsieur\b|Madame\b|Mme\b|\u0433-")
+_HINT = re.compile(rf"[@\d]|(?i:password|passwd|pwd|secret|token|key)|sk-|gh[pousr]_|::|[0-9A-Fa-f]:[0-9A-Fa-f]{{1,4}}:|(?=[{_FIRST}])(?<!\w){_TITLE}\b")
+_CAPITAL = re.compile(rf"(?<![^\W_]){_WORD}(?![^\W_])")
 _ASSIGNED = re.compile(r"(?i)\A[a-z_-]+[\"']?\s*[:=]\s*[\"']?")
-#: Titles that tell a gender, fixed values.
-FEMALE = frozenset(("Mrs", "Ms", "Miss", "Frau", "Se\u00f1ora", "Madame", "Mme", "\u0433-\u0436\u0430"))
 #: Syllables of surrogate names by script, and endings by kind.
 SYLLABLES = {
     "latin": "ba be bo da de di do el fa fe ga ha jo ka ke la le li lo ma me mi na ne ni no pa ra re ri ro sa se si ta te ti va ve vi".split(),
@@ -75,6 +93,7 @@ def find(text: str) -> list[Span]:
     if not _HINT.search(text):
         return []
     out: list[Span] = []
+    named: dict[str, str] = {}
     for m in _FIND.finditer(text):
         kind, raw, at = m.lastgroup, m.group(), m.start()
         if kind == "secret":
@@ -82,20 +101,38 @@ def find(text: str) -> list[Span]:
             out.append((at + skip, m.end(), "secret", raw[skip:]))
         elif kind == "name":
             title, *words = re.finditer(r"[^\s]+", raw)
-            gender = "f" if title.group().rstrip(".") in FEMALE else "m"
+            gender = "f" if title.group().rstrip(".").lower() in FEMALE else "m"
             for i, w in enumerate(words):
                 part = "surname" if i == len(words) - 1 else f"given_{gender}"
                 script = "cyrillic" if "\u0400" <= w.group()[0] <= "\u04ff" else "latin"
                 out.append((at + w.start(), at + w.end(), f"{part}:{script}", w.group().casefold()))
+                named.setdefault(w.group().casefold(), f"{part}:{script}")
         elif kind == "email":
             out.append((at, m.end(), kind, raw.lower()))
         elif kind in ("phone", "card", "ssn"):
             out.append((at, m.end(), f"{kind}{sum(c.isdigit() for c in raw)}", "".join(c for c in raw if c.isdigit())))
         elif kind == "iban":
             out.append((at, m.end(), kind, raw.replace(" ", "")))
+        elif kind == "ipv6":
+            try:
+                out.append((at, m.end(), kind, ipaddress.IPv6Address(raw).exploded))
+            except ValueError:
+                continue
         else:
             out.append((at, m.end(), kind, raw))
-    return out
+    return _again(text, out, named) if named else out
+
+
+def _again(text: str, found: list[Span], named: dict[str, str]) -> list[Span]:
+    """The entities with all other mentions of the names among them: the same words, capitalised, without a title."""
+    ends, out = [s[1] for s in found], list(found)
+    for m in _CAPITAL.finditer(text):
+        norm = m.group().casefold()
+        if norm in named:
+            i = bisect_right(ends, m.start())
+            if i == len(found) or found[i][0] >= m.end():
+                out.append((m.start(), m.end(), named[norm], norm))
+    return sorted(out)
 
 
 def _stream(key: bytes, kind: str, norm: str, turn: int) -> Callable[[int], int]:
@@ -142,6 +179,8 @@ def surrogate(key: bytes, kind: str, norm: str, turn: int = 0) -> str:
         return _alike(local, draw) + "@" + ".".join([_alike(x, draw) for x in labels[:-2]] + labels[-2:])
     if base == "ip":
         return ".".join(str(1 + draw(254)) for _ in range(4))
+    if kind == "ipv6":
+        return ":".join(["2001", "0db8", *(f"{draw(65536):04x}" for _ in range(6))])
     if base == "key":
         head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", norm).group()
         return head + _alike(norm[len(head) :], draw)

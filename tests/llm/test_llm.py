@@ -377,6 +377,22 @@ def test_surrogates(spark):
     assert m[2] == m[4] and m[1] != m[3] and m[3][-1] == "a"
 
 
+def test_names_are_found_again():
+    again = lambda t: pii.replace(t, b"key", {})[0]
+    first, last = re.match(r"Mr\. (\w+) (\w+)\.", again("Mr. John Smith.")).groups()
+    assert again("Smith? Mr. John Smith came. Smith's son John left; SMITH.") == f"{last}? Mr. {first} {last} came. {last}'s son {first} left; {last.upper()}."
+    assert again("MR. JOHN SMITH") == f"MR. {first.upper()} {last.upper()}" and again("Dr John Smith") == f"Dr {first} {last}"
+    for t in ("Prof. Smith", "Sr. Smith", "Sra. Smith", "Mlle Smith", "DR. Smith", "MS. Smith"):
+        assert "Smith" not in again(t)
+    kept = "MS Word and Smith, smith, std::vector, 12:30:45, ::"
+    assert again(kept) == kept
+
+
+def test_addresses_of_version_6():
+    one, two, three = re.match(r"(\S+) (\S+) at (\S+)\.$", pii.replace("2001:DB8::1 2001:db8:0:0:0:0:0:1 at fe80::1.", b"key", {})[0]).groups()
+    assert one == two != three and not {"2001:db8:0:0:0:0:0:1", "fe80::1"} & {one, three}
+
+
 def test_colliding_surrogates_part(spark):
     """Draws from ten values for six entities, of which two are such values themselves."""
     entities = spark.createDataFrame([("k", str(i)) for i in (0, 1, 100, 101, 102, 103)], "kind string, norm string")
