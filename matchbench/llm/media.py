@@ -3,7 +3,8 @@
 Corners are found at several scales; each gets an orientation (intensity centroid) and 256 binary
 brightness tests in its turned neighbourhood. Descriptors are cut into eight chunks of 32 bits, and
 images that have an equal chunk at the same place (Hamming tables: any two descriptors within seven
-bits do) are candidates. Candidates are matched corner by corner and hold if enough matches agree on
+bits do) are candidates. Descriptors further apart may share none, so a pair whose corners all differ in
+eight bits or more may be missed. Candidates are matched corner by corner and hold if enough matches agree on
 one similarity transform, which cropped, brightened, scaled or turned copies do.
 
 Images with equal descriptors and places are one class from the start; in a hot bucket all images are
@@ -31,10 +32,13 @@ from .components import connect
 from .wordhash import mix
 
 RADIUS, BITS, CHUNKS = 9, 256, 8
-#: Corners kept at each scale.
-SCALES = ((1.0, 16), (0.7071, 8), (0.5, 6))
-#: Bits in which matched descriptors may differ, pixels by which places may, and matches that must agree.
-MAX_BITS, MAX_PIXELS, AGREE = 40, 3.0, 5
+#: All corners above the response threshold are kept at each scale.
+SCALES = (1.0, 0.7071, 0.5)
+#: Corners that are described or matched at once.
+BLOCK = 1024
+#: Bits in which matched descriptors may differ, pixels by which places may, matches that must agree, and their
+#: least share of the corners of the picture that has fewer (large pictures agree in a few by chance).
+MAX_BITS, MAX_PIXELS, AGREE, SHARE = 40, 3.0, 5, 1 / 6
 _PATTERN = np.clip(np.random.Generator(np.random.PCG64(7)).normal(0, RADIUS / 2.5, (BITS, 4)), -RADIUS + 2, RADIUS - 2)
 _TURNS = 30
 _ANGLES = np.arange(_TURNS) * 2 * np.pi / _TURNS
@@ -91,7 +95,7 @@ def _resize(a: np.ndarray, scale: float) -> np.ndarray:
 def corners(gray: np.ndarray) -> np.ndarray:
     """Oriented corners with descriptors, as records of ``_CORNER``."""
     found = []
-    for scale, most in SCALES:
+    for scale in SCALES:
         a = _resize(gray.astype(np.float64), scale)
         h, w = a.shape
         if min(h, w) < 2 * RADIUS + 3:
@@ -106,41 +110,60 @@ def corners(gray: np.ndarray) -> np.ndarray:
         around = np.stack([score[RADIUS + i : h - RADIUS + i, RADIUS + j : w - RADIUS + j] for i in (-1, 0, 1) for j in (-1, 0, 1) if (i, j) != (0, 0)])
         peak = (inner >= around.max(0)) & (inner > 0.001 * inner.max())
         y, x = np.nonzero(peak)
-        by = np.lexsort((x, y, -np.round(inner[y, x], 3)))[:most]
+        by = np.lexsort((x, y, -np.round(inner[y, x], 3)))
         y, x = y[by] + RADIUS, x[by] + RADIUS
-        patch = smooth[y[:, None, None] + _GRID[0], x[:, None, None] + _GRID[1]] * _DISC
-        angle = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
-        turn = np.round(angle / (2 * np.pi) * _TURNS).astype(int) % _TURNS
-        t = _TURNED[turn]
-        dy, dx = np.clip(t[:, :, (1, 3)], -RADIUS, RADIUS), np.clip(t[:, :, (0, 2)], -RADIUS, RADIUS)
-        value = smooth[y[:, None, None] + dy, x[:, None, None] + dx]
-        out = np.zeros(len(y), _CORNER)
-        out["x"], out["y"], out["scale"], out["angle"] = x / scale, y / scale, scale, angle
-        out["bits"] = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
-        found.append(out)
+        found += [_describe(smooth, y[i : i + BLOCK], x[i : i + BLOCK], scale) for i in range(0, len(y), BLOCK)]
     return np.concatenate(found) if found else np.zeros(0, _CORNER)
 
 
-_ONES = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+def _describe(smooth: np.ndarray, y: np.ndarray, x: np.ndarray, scale: float) -> np.ndarray:
+    patch = smooth[y[:, None, None] + _GRID[0], x[:, None, None] + _GRID[1]] * _DISC
+    angle = np.arctan2((patch * _GRID[0]).sum((1, 2)), (patch * _GRID[1]).sum((1, 2)))
+    turn = np.round(angle / (2 * np.pi) * _TURNS).astype(int) % _TURNS
+    t = _TURNED[turn]
+    dy, dx = np.clip(t[:, :, (1, 3)], -RADIUS, RADIUS), np.clip(t[:, :, (0, 2)], -RADIUS, RADIUS)
+    value = smooth[y[:, None, None] + dy, x[:, None, None] + dx]
+    out = np.zeros(len(y), _CORNER)
+    out["x"], out["y"], out["scale"], out["angle"] = x / scale, y / scale, scale, angle
+    out["bits"] = np.packbits(value[:, :, 0] < value[:, :, 1], axis=1)
+    return out
+
+
+def _nearest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The corner of ``b`` that differs in the fewest bits from each of ``a``, the first of several, and in how many."""
+    signs = lambda c: np.unpackbits(c["bits"], axis=1).astype(np.float32) * 2 - 1
+    least, at = np.full(len(a), BITS + 1, np.float32), np.zeros(len(a), np.int64)
+    for i in range(0, len(a), BLOCK):
+        own = signs(a[i : i + BLOCK])
+        for k in range(0, len(b), BLOCK):
+            apart = (BITS - own @ signs(b[k : k + BLOCK]).T) / 2
+            j = apart.argmin(1)
+            d = apart[np.arange(len(own)), j]
+            closer = d < least[i : i + BLOCK]
+            at[i : i + BLOCK][closer], least[i : i + BLOCK][closer] = j[closer] + k, d[closer]
+    return at, least
 
 
 def same_picture(a: bytes, b: bytes) -> bool:
     """Do enough corners match under one similarity transform?"""
     a, b = np.frombuffer(a, _CORNER), np.frombuffer(b, _CORNER)
-    apart = _ONES[a["bits"][:, None, :] ^ b["bits"][None, :, :]].sum(2, dtype=np.int64)
-    j = apart.argmin(1)
-    i = np.flatnonzero(apart[np.arange(len(a)), j] <= MAX_BITS)
-    if len(i) < AGREE:
+    j, apart = _nearest(a, b)
+    i = np.flatnonzero(apart <= MAX_BITS)
+    need = max(AGREE, SHARE * min(len(a), len(b)))
+    if len(i) < need:
         return False
     j = j[i]
     pa_, pb = a["x"][i] + 1j * a["y"][i], b["x"][j] + 1j * b["y"][j]
     turn = b["angle"][j] - a["angle"][i]
     turn = np.where(np.abs(np.angle(np.exp(1j * turn))) < 0.3, 0.0, turn)  # orientations are coarse
     factor = (a["scale"][i] / b["scale"][j]) * np.exp(1j * turn)
-    moved = factor[:, None] * (pa_[None, :] - pa_[:, None]) + pb[:, None]
-    agree = np.abs(moved - pb[None, :]) <= MAX_PIXELS
     places = np.unique(np.round(pa_), return_inverse=True)[1]
-    return max(len(np.unique(places[row])) for row in agree) >= AGREE
+    for k in range(0, len(i), BLOCK):
+        moved = factor[k : k + BLOCK, None] * (pa_[None, :] - pa_[k : k + BLOCK, None]) + pb[k : k + BLOCK, None]
+        agree = np.abs(moved - pb[None, :]) <= MAX_PIXELS
+        if any(len(np.unique(places[row])) >= need for row in agree[agree.sum(1) >= need]):
+            return True
+    return False
 
 
 def describe(media: DataFrame, media_id: str = "media_id", content: str = "media") -> DataFrame:

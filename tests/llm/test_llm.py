@@ -347,6 +347,20 @@ def test_copies_of_images(spark):
     assert media.find_copies(df.limit(0)).count() == 0
 
 
+def test_crops_of_larger_pictures(spark):
+    """A quarter, a tenth and a sixteenth of the area, bright or dark; components equal brute force over all pairs."""
+    big = [np.kron(np.random.default_rng(50 + i).integers(20, 230, (48, 48)), np.ones((6, 6))).astype(float) for i in range(4)]
+    rows = [(i, p) for i, p in enumerate(big)]
+    for i, p in enumerate(big):
+        rows += [(10 + i, p[100:244, 40:184]), (20 + i, p[30:121, 150:241] * 0.8 + 20), (30 + i, p[200:272, 13:85] * 0.9)]
+    df = spark.createDataFrame([(i, media.encode(p)) for i, p in rows], "media_id long, media binary")
+    got = {r["media_id"]: r["component_id"] for r in media.find_copies(df).collect()}
+    assert got == {i: i % 10 for i, _ in rows}
+    packed = {i: media.corners(np.clip(np.round(p), 0, 255)).tobytes() for i, p in rows}
+    links = {(i, j) for i in packed for j in packed if i < j and (media.same_picture(packed[i], packed[j]) or media.same_picture(packed[j], packed[i]))}
+    assert all(got[i] == got[j] for i, j in links) and {(i % 10, i) for i in packed if i > 9} <= links
+
+
 # --- personal data ---------------------------------------------------------------------------------------
 
 PRIVATE = [
