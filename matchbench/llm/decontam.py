@@ -38,12 +38,6 @@ def _words(text: str) -> str:
     return f"coalesce(regexp_extract_all({text}, '{WORD}', 1), cast(array() as array<string>))"
 
 
-def loose_words(text: str) -> str:
-    """Words lower-cased as the JVM does. Texts equal after lower-casing A-Z are equal here too, and
-    the word boundaries are the same, so these serve to find candidates, at a tenth of the cost."""
-    return _words(f"lower({text})")
-
-
 def exact_words(text: str) -> str:
     return _words(f"translate({text}, '{UPPER}', '{LOWER}')")
 
@@ -93,7 +87,7 @@ def _families(items: DataFrame) -> list[Family]:
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each distinct text with a hit: th (its md5), spans (array of start and len, in
     words) and items (array of item ids as strings)."""
-    items = materialize(items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.expr(exact_words(f"`{item_text}`")).alias("iw"), F.expr(loose_words(f"`{item_text}`")).alias("lw")), "decontam-items")
+    items = materialize(items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.expr(exact_words(f"`{item_text}`")).alias("iw"), F.expr(exact_words(f"`{item_text}`")).alias("lw")), "decontam-items")
     families = _families(items)
     own = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null").withColumn("th", F.md5("text"))
     if not families:
@@ -110,14 +104,14 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
         side = side.unionByName(x)
     side = materialize(side, "decontam-fingerprints")
     # Document side: values only.
-    x = own.select("th", F.expr(loose_words("text")).alias("lw"))
+    x = own.select("th", F.expr(exact_words("text")).alias("lw"))
     for f in families:
         x = f.with_grams(x, "lw")
     x = x.select("th", F.explode(F.expr(f"concat({', '.join(f.fingerprints() for f in families)})")).alias("fp"))
     shared = x.join(side.select("fp").distinct(), "fp").groupBy("th").agg(F.collect_set("fp").alias("mv"))
     shared = materialize(shared, "decontam-shared")
     # Extension of the shared K-grams, in the documents that have any.
-    x = own.join(small(shared), "th").select("th", "mv", F.expr(exact_words("text")).alias("w"), F.expr(loose_words("text")).alias("lw"))
+    x = own.join(small(shared), "th").select("th", "mv", F.expr(exact_words("text")).alias("w"), F.expr(exact_words("text")).alias("lw"))
     hits = []
     for f in families:
         y = f.with_grams(x, "lw")

@@ -162,6 +162,13 @@ def test_decontamination_equals_brute_force(spark, docs):
 # --- mixing and sharding ---------------------------------------------------------------------------------
 
 
+def test_contaminated_greek_capitals_are_found(spark):
+    item = "ΟΔΟΣ.ΑΒ " * 10
+    docs = spark.createDataFrame([(1, item.replace(".", ". "))], "doc_id long, text string")
+    got = decontam.annotate(docs, spark.createDataFrame([(1, item)], "item_id long, text string")).first()
+    assert got["contaminated"] and got["n_hit"] == 20 and got["n_items"] == 1
+
+
 def test_mixing_meets_budgets(spark, docs):
     spec = mixing.MixSpec(entropy=0.9, max_epochs=3.0)
     plan = {r["source"]: r for r in mixing.plan_mix(docs, spec).collect()}
