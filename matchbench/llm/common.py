@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors see.
 
-    It is the one in ``spark.checkpoint.dir``; only where that is unset (single-machine tests) a
-    temporary folder takes its place.
+    It is the one in ``spark.checkpoint.dir``; only where that is unset and all tasks run in this
+    process (tests) a temporary folder takes its place. On a cluster it must be set.
     """
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         path = _own_dirs.setdefault(app, "") or tempfile.mkdtemp(prefix="matchbench-")
         _own_dirs[app] = path

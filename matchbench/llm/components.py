@@ -1,4 +1,4 @@
-"""Connected components of a link table, by joins alone."""
+"""Connected components of a link table, and the rounds that find the links."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, release
 
 #: Members that each bucket is compared with, round by round, and buckets of a node used for that.
-ROUNDS = (1, 8, 8)
+ROUNDS = (1, 8)
 STAR_BUCKETS = 4
+#: Rows of a bucket that one group compares with as many others, and rows from which a bucket counts as large.
+TILE, LARGE = 1024, 64
+#: Large buckets of a node that its rows name.
+NAMED = 32
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -19,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round takes the least label among a node and its neighbours, then that label's own label, so
     long chains shorten as fast as they are followed. A hub's rows are pre-aggregated before they are
-    shuffled. Every round's table is written to the shared folder.
+    shuffled. Every round's table is written to the shared folder, and the one before deleted.
     """
     edges = edges.where("a <> b").select("a", "b")
     both = materialize(edges.union(edges.select("b", "a")).distinct(), "cc-edges")
@@ -29,9 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(near, "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         of = step.select(F.col("node").alias("label"), F.col("label").alias("up"))
         step = materialize(step.join(of, "label", "left").select("node", "old", F.coalesce("up", "label").alias("label")), "cc-labels")
-        if step.where("label <> old").isEmpty():
-            return step.select("node", "label")
+        release(labels)
         labels = step.select("node", "label")
+        if step.where("label <> old").isEmpty():
+            release(both)
+            return labels
 
 
 def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
@@ -39,17 +45,42 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     if labels is None:
         return components(links)
     known = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-    return components(known.union(links.select("a", "b")))
+    out = components(known.union(links.select("a", "b")))
+    release(labels)
+    return out
+
+
+def tiles(rows: DataFrame) -> DataFrame:
+    """``rows`` (bucket, sig, n, label) dealt for full comparison: with the part (i, j), side (0 or 1) and
+    top (the row is in the bucket's most frequent component).
+
+    In each bucket the rows outside its most frequent component (side 0) meet all rows (side 1); rows of
+    that component needn't meet each other. Both sides are dealt in tiles of about ``TILE`` rows by hash,
+    and each pair of tiles is a part of its own, so no group outgrows 2 * ``TILE`` rows by much. ``large``
+    names up to ``NAMED`` of the node's large buckets, the least ones: the same pair meets in each of its
+    buckets, and only the least that both rows name hands it on.
+    """
+    size = rows.groupBy("bucket", "label").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("size"), F.max_by("label", F.struct("k", "label")).alias("major"), F.max("k").alias("most"))
+    parts = lambda n: F.ceil(n / TILE).cast("int")
+    size = materialize(size.select("bucket", "size", "major", parts(F.col("size") - F.col("most")).alias("na"), parts(F.col("size")).alias("nb")), "tile-sizes")
+    named = rows.join(size.where(F.col("size") >= LARGE).select("bucket"), "bucket", "left_semi").groupBy("sig").agg(F.array_sort(F.collect_set("bucket")).alias("large"))
+    x = rows.join(size, "bucket").join(named.select("sig", F.slice("large", 1, NAMED).alias("large")), "sig", "left")
+    own = lambda n: F.pmod(F.xxhash64("sig"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    a = x.where("label <> major").withColumn("i", own("na")).withColumn("j", every("nb")).withColumn("side", F.lit(0))
+    b = x.withColumn("j", own("nb")).withColumn("i", every("na")).withColumn("side", F.lit(1))
+    return a.unionByName(b).select("bucket", "i", "j", "side", "sig", "n", "label", (F.col("label") == F.col("major")).alias("top"), "large")
 
 
-def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFrame | None], compatible: str = "true", rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
+def connect(buckets: DataFrame, filter_pairs: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame | None], compatible: str = "true", rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
     """Components of all links between nodes that share a bucket, as (node, label); None without links.
 
-    ``buckets`` has rows (bucket, sig, n); pairs with ``compatible`` (over n and n2) are candidates.
-    ``verify(pairs, rows)`` returns the links among pairs (a, b). In each round a few of every node's
-    buckets compare their nodes with a few of them; nodes in one component already are never compared
-    again, and what shares any bucket but no component after the rounds is compared in full. So no link
-    between components is lost, and a group of copies costs its size times a few members.
+    ``buckets`` has rows (bucket, sig, n); pairs with ``compatible`` (over n and n2) are candidates. In
+    the first rounds a few of every node's buckets compare their nodes with a few of them, which costs a
+    group of copies its size times those few; ``filter_pairs(pairs)`` drops pairs (a, b) that cannot link.
+    What shares any bucket but no component after that is compared in full by ``compare(tiles)``, which
+    hands on only pairs that may link. ``verify(pairs)`` returns the links among pairs. Nodes in one
+    component already are never compared again, and no link between components is lost.
     """
     open_, tested, labels = buckets, None, None
     for turn in range(len(rounds) + 1):
@@ -59,7 +90,10 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFra
             rows = open_.join(labels.withColumnRenamed("node", "sig"), "sig", "left").withColumn("label", F.coalesce("label", "sig"))
         mixed = rows.groupBy("bucket").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("bucket")
         rows = materialize(rows.join(mixed, "bucket", "left_semi"), "open-buckets")
+        if turn:
+            release(open_)
         if rows.isEmpty():
+            release(rows)
             break
         open_ = rows.drop("label")
         if turn < len(rounds):
@@ -69,15 +103,17 @@ def connect(buckets: DataFrame, verify: Callable[[DataFrame, DataFrame], DataFra
             some = few.groupBy("bucket").agg(*[F.min_by(one, F.xxhash64("sig", F.lit(100 * turn + k))).alias(f"o{k}") for k in range(rounds[turn])])
             some = some.select("bucket", F.explode(F.array_distinct(F.array(*[f"o{k}" for k in range(rounds[turn])]))).alias("o"))
             both = few.join(some.select("bucket", "o.*"), "bucket")
+            pairs = both.where(f"label <> label2 and {compatible}").select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
         else:
-            other = rows.select("bucket", F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
-            both = rows.join(other, "bucket").where("sig < sig2")
-        pairs = both.where(f"label <> label2 and {compatible}").select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
+            pairs = compare(tiles(rows)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "candidate-pairs")
         tested = pairs if tested is None else tested.union(pairs)
-        links = verify(pairs, rows)
+        links = verify(pairs if turn == len(rounds) else filter_pairs(pairs))
         if links is not None and not links.isEmpty():
             labels = merge(labels, links)
+            release(links)
+    if tested is not None:
+        release(tested)
     return labels

@@ -6,14 +6,19 @@ so pairs that share no prefix token under even one order need no verification.
 
 Orders: the first runs from rare to frequent tokens (a class of document frequency counted over all
 texts, then the hash); it deals sets into buckets, one for each prefix token. The others (descending
-hash, mixed hash) are tested on each candidate pair; only pairs that share prefix tokens under all
-orders have their intersections counted. An order need only be the same for all texts, so frequency
-is counted on 32 bits of the hash.
+hash, mixed hash) filter inside the buckets, whose rows carry 16 bits of each prefix token under every
+further order (``marks``); with them goes a parity sketch that bounds how far two sets differ. Only
+pairs that share prefix tokens under all orders and are near enough by the sketch are handed on, and
+have their intersections counted. All filters are lossless. Prefixes of over 128 tokens (sets of over
+about 640) carry the sketch only. An order need only be the same for all texts, so frequency is counted
+on 32 bits of the hash.
 
 Components rather than all pairs: texts with equal sets are one class from the start. In every bucket
-all classes are compared with one member, then with another, and pairs that are connected already are
-never compared again. What remains in several components after those rounds is compared in full. So
-a group of near copies costs its size times a few rounds, and no link between components is lost.
+all classes are compared with one member, then with eight others, and pairs that are connected already
+are never compared again. What remains in several components after those rounds is compared in full,
+inside tasks that see a tile of a bucket at a time and hand on only pairs that pass all filters. So a
+group of near copies costs its size times a few rounds, plus comparisons of sketches for its members
+that have no link, and no link between components is lost.
 
 Tokens in fewer than ``heavy`` texts make buckets of fewer than ``heavy`` classes, which are gathered
 in numpy by hash range; the rest (frequent passages, large groups) go through joins that split hot
@@ -256,19 +261,145 @@ def _per_class(docs: DataFrame, described: DataFrame, wanted: DataFrame, doc_id:
     return found
 
 
-def other_prefixes(s: np.ndarray) -> bytes:
-    """32 bits of the prefix tokens under each further order: descending hash, and mixed hash."""
-    p, x = prefix_size(len(s)), mix(s)
-    top = s[-p:] >> np.uint64(32)
-    low = (np.partition(x, p - 1)[:p] if p < len(x) else x) >> np.uint64(32)
-    return top.astype(np.uint32).tobytes() + low.astype(np.uint32).tobytes()
+#: Bits of the parity sketch of sets of up to that many tokens and of larger ones; longest prefix whose further orders a row carries.
+NARROW, WIDE, LISTED = 512, 2048, 128
+
+
+def marks(s: np.ndarray) -> bytes:
+    """What a bucket's row carries of a set: the parity of the number of its tokens in each of 512 (large
+    sets: 2,048) classes, and 16 bits of its prefix tokens under each further order (descending hash,
+    mixed hash), for prefixes of up to ``LISTED`` tokens."""
+    p, bits = prefix_size(len(s)), NARROW if len(s) <= NARROW else WIDE
+    parity = np.packbits((np.bincount(((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).astype(np.uint8)).tobytes()
+    if p > LISTED:
+        return np.array([0, bits], np.uint16).tobytes() + parity
+    x = mix(s)
+    low = s[np.argpartition(x, p - 1)[:p]] if p < len(x) else s
+    return np.array([p, bits], np.uint16).tobytes() + parity + np.concatenate((s[-p:], low)).astype(np.uint16).tobytes()
+
+
+def _least_shared(i: np.ndarray, j: np.ndarray, size: np.ndarray, value: np.ndarray, top: int) -> np.ndarray:
+    """For each pair of rows (i, j), the least value below ``top`` that both hold; ``top`` if none. Row r
+    holds ``size[r]`` entries of ``value``, one row after the other."""
+    at = np.cumsum(size) - size
+    held = np.sort(np.repeat(np.arange(len(size)), size) * top + value)
+    out = np.full(len(i), top, np.int64)
+    for lo in range(0, len(i) if len(held) else 0, 20_000):
+        a, b = i[lo : lo + 20_000], j[lo : lo + 20_000]
+        n = size[a]
+        v = value[np.repeat(at[a] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        want = np.repeat(b, n) * top + v
+        hit = held[np.minimum(np.searchsorted(held, want), len(held) - 1)] == want
+        np.minimum.at(out, lo + np.repeat(np.arange(len(a)), n)[hit], v[hit])
+    return out
+
+
+class Sketches:
+    """The marks of a few thousand rows, as arrays. All tests are lossless: a pair that links passes."""
+
+    def __init__(self, blobs: list[bytes], n: np.ndarray):
+        self.n = n.astype(np.int64)
+        head = np.array([np.frombuffer(b, np.uint16, 2) for b in blobs], np.int64).reshape(-1, 2)
+        self.listed, self.wide = head[:, 0], head[:, 1] == WIDE
+        self.parity, self.full = np.zeros((len(blobs), NARROW // 64), np.uint64), {}
+        orders: list[list[np.ndarray]] = [[], []]
+        for r, b in enumerate(blobs):
+            size = int(head[r, 1]) // 8
+            bits = np.frombuffer(b, np.uint64, size // 8, 4)
+            if self.wide[r]:
+                self.full[r] = bits
+                bits = np.bitwise_xor.reduce(bits.reshape(WIDE // NARROW, -1), 0)
+            self.parity[r] = bits
+            p = int(head[r, 0])
+            for k in (0, 1):
+                orders[k].append(np.frombuffer(b, np.uint16, p, 4 + size + 2 * p * k))
+        self.orders = [np.concatenate(x).astype(np.int64) if x else np.empty(0, np.int64) for x in orders]
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which of all pairs of rows ``i`` and ``j`` fit by size and parity. Sets with s tokens in all and a
+        similarity of at least NUM / DEN differ in at most s * (DEN - NUM) / (DEN + NUM) tokens, and
+        parities in no more classes than sets in tokens."""
+        apart = np.bitwise_count(self.parity[i][:, None, :] ^ self.parity[j][None, :, :]).sum(2, dtype=np.int64)
+        a, b = self.n[i][:, None], self.n[j][None, :]
+        return (DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)) & ((DEN + NUM) * apart <= (DEN - NUM) * (a + b))
+
+    def fit(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Which pairs (i[k], j[k]) pass all filters: size, parity, and shared prefix tokens under every further order."""
+        a, b = self.n[i], self.n[j]
+        ok = DEN * np.minimum(a, b) >= NUM * np.maximum(a, b)
+        ok &= (DEN + NUM) * np.bitwise_count(self.parity[i] ^ self.parity[j]).sum(1, dtype=np.int64) <= (DEN - NUM) * (a + b)
+        for k in np.flatnonzero(ok & self.wide[i] & self.wide[j]):
+            x = int(np.bitwise_count(self.full[i[k]] ^ self.full[j[k]]).sum())
+            ok[k] = (DEN + NUM) * x <= (DEN - NUM) * int(a[k] + b[k])
+        for values in self.orders:
+            k = np.flatnonzero(ok & (self.listed[i] > 0) & (self.listed[j] > 0))
+            ok[k] = _least_shared(i[k], j[k], self.listed, values, 1 << 16) < 1 << 16
+        return ok
+
+
+def meet(bucket: int, side: np.ndarray, sig: np.ndarray, n: np.ndarray, label: np.ndarray, top: np.ndarray, blobs: list[bytes], large: list) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of one part of ``components.tiles`` that pass all filters, each in one of their buckets if both rows name it."""
+    own, other = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    x = Sketches(blobs, n)
+    ids = np.unique(np.concatenate([[bucket], *[v for v in large if v]]).astype(np.int64))
+    size = np.array([len(v) if v else 0 for v in large], np.int64)
+    named = np.searchsorted(ids, np.concatenate([np.empty(0, np.int64), *[v for v in large if v]]).astype(np.int64))
+    left, right = [], []
+    for lo in range(0, len(own), 128):
+        o = own[lo : lo + 128]
+        ok = x.near(o, other) & (label[o][:, None] != label[other][None, :]) & ((sig[o][:, None] < sig[other][None, :]) | top[other][None, :])
+        i, j = np.nonzero(ok)
+        i, j = o[i], other[j]
+        first = _least_shared(i, j, size, named, len(ids))
+        k = (first == len(ids)) | (ids[np.minimum(first, len(ids) - 1)] == bucket)
+        i, j = i[k], j[k]
+        k = x.fit(i, j)
+        left.append(np.minimum(sig[i[k]], sig[j[k]]))
+        right.append(np.maximum(sig[i[k]], sig[j[k]]))
+    return np.concatenate(left or [np.empty(0, np.int64)]), np.concatenate(right or [np.empty(0, np.int64)])
+
+
+def compare_tiles(tiles: DataFrame, marked: DataFrame) -> DataFrame:
+    """Pairs (a, b) that pass all filters among the rows that ``components.tiles`` brings together."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            key = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
+            new = np.flatnonzero(np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]))))
+            ends = [*new[1:], len(table)] if last else [*new[1:]]
+            side, sig, n, label, top = (table.column(c).to_numpy() for c in ("side", "sig", "n", "label", "top"))
+            blobs, large = table.column("value").to_pylist(), table.column("large").to_pylist()
+            found = [meet(int(key[0][s]), side[s:e], sig[s:e], n[s:e], label[s:e], top[s:e], blobs[s:e], large[s:e]) for s, e in zip(new, ends, strict=False)]
+            a, b = (np.concatenate([np.empty(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), table.slice(ends[-1] if ends else 0)
+
+        for batch in batches:
+            if len(batch):
+                table = pa.Table.from_batches([batch])
+                out, rest = pairs(pa.concat_tables([rest, table]).combine_chunks() if rest is not None and len(rest) else table, False)
+                yield out
+        if rest is not None and len(rest):
+            yield pairs(rest, True)[0]
+
+    t = tiles.join(marked, "sig").select("bucket", "i", "j", "side", "sig", "n", "label", "top", "value", "large")
+    return t.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
 
-def share_prefixes(a: bytes, b: bytes) -> bool:
-    """Do both sets share prefix tokens under every further order?"""
-    a, b = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
-    p, q = len(a) // 2, len(b) // 2
-    return bool(np.isin(a[:p], b[:q]).any() and np.isin(a[p:], b[q:]).any())
+
+def filter_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
+    """The pairs (a, b) that pass all filters."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            m = len(batch)
+            n = np.concatenate([batch.column(k).to_numpy() for k in (3, 5)])
+            x = Sketches(batch.column(2).to_pylist() + batch.column(4).to_pylist(), n)
+            yield batch.select([0, 1]).filter(pa.array(x.fit(np.arange(m), np.arange(m) + m), pa.bool_()))
+
+    side = lambda c, x, k: marked.select(F.col("sig").alias(c), F.col("value").alias(x), F.col("n").alias(k))
+    both = side("a", "x", "nx").join(small(pairs), "a").join(side("b", "y", "ny"), "b").select("a", "b", "x", "nx", "y", "ny")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -277,31 +408,20 @@ def similar(a: bytes, b: bytes) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def keep_pairs(pairs: DataFrame, values: DataFrame, test) -> DataFrame:
-    """The pairs (a, b) whose values pass ``test``."""
+def keep_similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
-            keep = [test(x[i].as_buffer(), y[i].as_buffer()) for i in range(len(batch))]
+            keep = [similar(x[i].as_buffer(), y[i].as_buffer()) for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = values.select(F.col("sig").alias("a"), F.col("value").alias("x")).join(small(pairs), "a")
-    both = left.join(values.select(F.col("sig").alias("b"), F.col("value").alias("y")), "b").select("a", "b", "x", "y")
+    left = sets.select(F.col("sig").alias("a"), F.col("value").alias("x")).join(small(pairs), "a")
+    both = left.join(sets.select(F.col("sig").alias("b"), F.col("value").alias("y")), "b").select("a", "b", "x", "y")
     return both.mapInArrow(run, "a long, b long")
 
 
-def verify(pairs: DataFrame, docs: DataFrame, described: DataFrame, sets: DataFrame | None, doc_id: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """The links among pairs that passed all filters, and the sets read so far."""
-    wanted = pairs.select(F.col("a").alias("sig")).union(pairs.select("b")).distinct()
-    if sets is not None:
-        wanted = materialize(wanted.join(sets.select("sig"), "sig", "left_anti"), "ngram-missing")
-    if sets is None or not wanted.isEmpty():
-        more = _per_class(docs, described, wanted, doc_id, text, lambda s: s.tobytes())
-        sets = more if sets is None else sets.union(more)
-    return materialize(keep_pairs(pairs, sets, similar), "ngram-links"), sets
-
-
 def link_classes(docs: DataFrame, described: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:
     """Rows (node, label) for the classes that have a link; None if there is no link."""
     spark = docs.sparkSession
@@ -316,18 +436,38 @@ def link_classes(docs: DataFrame, described: DataFrame, doc_id: str = "doc_id",
     posted = materialize(postings(docs, ranges, order, text), "ngram-postings")
     open_ = materialize(buckets(posted), "ngram-buckets")
     release(posted)
-    known: dict[str, DataFrame | None] = {"filters": None, "sets": None}
-
-    def check(pairs: DataFrame, rows: DataFrame) -> DataFrame | None:
-        if known["filters"] is None:
-            known["filters"] = _per_class(docs, described, rows.select("sig").distinct(), doc_id, text, other_prefixes)
-        passed = materialize(keep_pairs(pairs, known["filters"], share_prefixes), "ngram-passed")
+    release(counted)
+    if open_.isEmpty():
+        release(open_)
+        order.unpersist()
+        return None
+    sizes = open_.groupBy("sig").agg(F.first("n").alias("n"))
+    found = _per_class(docs, described, sizes.select("sig"), doc_id, text, marks)
+    marked = materialize(found.join(sizes, "sig"), "ngram-marks")
+    release(found)
+    sets: list[DataFrame] = []
+
+    def verify(pairs: DataFrame) -> DataFrame | None:
+        passed = materialize(pairs, "ngram-passed")
         if passed.isEmpty():
             return None
-        links, known["sets"] = verify(passed, docs, described, known["sets"], doc_id, text)
+        wanted = passed.select(F.col("a").alias("sig")).union(passed.select("b")).distinct()
+        for known in sets:
+            wanted = wanted.join(known.select("sig"), "sig", "left_anti")
+        wanted = materialize(wanted, "ngram-missing")
+        if not wanted.isEmpty():
+            sets.append(_per_class(docs, described, wanted, doc_id, text, lambda s: s.tobytes()))
+        every = sets[0]
+        for more in sets[1:]:
+            every = every.union(more)
+        links = materialize(keep_similar(passed, every), "ngram-links")
+        release(wanted)
+        release(passed)
         return links
 
-    labels = connect(open_, check, compatible("n", "n2"))
+    labels = connect(open_, lambda pairs: filter_pairs(pairs, marked), lambda t: compare_tiles(t, marked.select("sig", "value")), verify, compatible("n", "n2"))
+    for x in (open_, marked, *sets):
+        release(x)
     order.unpersist()
     return labels
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes hashed at once; a longer text is a chunk of its own.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 _U = np.uint64
 _P = _U(0x9E3779B97F4A7C15 | 1)
 _PINV = _U(pow(int(_P), -1, 1 << 64))

@@ -115,13 +115,30 @@ def test_components_of_chain_and_star(spark):
     assert all(got[i] == 0 for i in range(41)) and all(got[100 + i] == 100 for i in range(30))
 
 
-def test_every_prefix_filter_is_lossless():
+def test_every_filter_is_lossless():
     r = np.random.default_rng(0)
-    for _ in range(200):
-        a = np.unique(r.integers(0, 1 << 63, r.integers(1, 80), dtype=np.uint64))
-        b = np.unique(np.concatenate((r.choice(a, max(1, int(len(a) * r.uniform(0.75, 1))), replace=False), r.integers(0, 1 << 63, r.integers(0, 8), dtype=np.uint64))))
-        if ngram_join.similar(a.tobytes(), b.tobytes()):
-            assert ngram_join.share_prefixes(ngram_join.other_prefixes(a), ngram_join.other_prefixes(b))
+    for most in (80, 3000):
+        sets = []
+        for _ in range(150):
+            a = np.unique(r.integers(0, 1 << 63, r.integers(1, most), dtype=np.uint64))
+            sets += [a, np.unique(np.concatenate((r.choice(a, max(1, int(len(a) * r.uniform(0.7, 1))), replace=False), r.integers(0, 1 << 63, r.integers(0, 8), dtype=np.uint64))))]
+        x = ngram_join.Sketches([ngram_join.marks(s) for s in sets], np.array([len(s) for s in sets]))
+        i = np.arange(0, 300, 2)
+        link = np.array([ngram_join.similar(sets[k].tobytes(), sets[k + 1].tobytes()) for k in i])
+        assert link.any() and x.fit(i, i + 1)[link].all() and x.near(i, i + 1)[np.arange(150), np.arange(150)][link].all()
+        assert x.fit(i[:-1], i[1:]).mean() < 0.1  # unrelated ones
+
+
+@pytest.mark.parametrize("rounds", [(), (1,)])
+def test_full_comparison_in_small_tiles(spark, monkeypatch, rounds):
+    """Groups whose members mostly have no link, in buckets of many tiles."""
+    monkeypatch.setattr(components, "TILE", 16)
+    monkeypatch.setattr(components, "LARGE", 8)
+    monkeypatch.setattr(components, "NAMED", 3)
+    monkeypatch.setattr(ngram_join, "connect", lambda *a: components.connect(*a, rounds=rounds))
+    rows = [(i, variant(BASE, 1 + i % 9, 900 + i)) for i in range(150)] + [(200 + i, variant(prose(80, 12), i % 5, i)) for i in range(40)]
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()), key=repr)
+    assert got == brute_components(rows) and len({c for _, _, c in got}) > 20
 
 
 # --- decontamination -------------------------------------------------------------------------------------
