@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -50,7 +52,7 @@ def merge(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     return out
 
 
-def tiles(rows: DataFrame) -> DataFrame:
+def tiles(rows: DataFrame, extra: tuple[str, ...] = ()) -> DataFrame:
     """``rows`` (bucket, sig, n, label) dealt for full comparison: with the part (i, j), side (0 or 1) and
     top (the row is in the bucket's most frequent component).
 
@@ -69,13 +71,39 @@ def tiles(rows: DataFrame) -> DataFrame:
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     a = x.where("label <> major").withColumn("i", own("na")).withColumn("j", every("nb")).withColumn("side", F.lit(0))
     b = x.withColumn("j", own("nb")).withColumn("i", every("na")).withColumn("side", F.lit(1))
-    return a.unionByName(b).select("bucket", "i", "j", "side", "sig", "n", "label", (F.col("label") == F.col("major")).alias("top"), "large")
+    return a.unionByName(b).select("bucket", "i", "j", "side", "sig", "n", "label", (F.col("label") == F.col("major")).alias("top"), "large", *extra)
 
 
-def connect(buckets: DataFrame, filter_pairs: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame | None], compatible: str = "true", rounds: tuple[int, ...] = ROUNDS) -> DataFrame | None:
+def compare_parts(tiles: DataFrame, meet: Callable[[int, pa.Table], tuple[np.ndarray, np.ndarray]]) -> DataFrame:
+    """Pairs (a, b) that ``meet(bucket, rows)`` finds in each part of ``tiles``. Many small parts share a batch."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+
+        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            key = np.column_stack([table.column(c).to_numpy() for c in ("bucket", "i", "j")])
+            new = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]).any(1))))
+            ends = [*new[1:], len(table)] if last else [*new[1:]]
+            found = [meet(int(key[s, 0]), table.slice(s, e - s)) for s, e in zip(new, ends, strict=False)]
+            a, b = (np.concatenate([np.empty(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
+            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), table.slice(ends[-1] if ends else 0)
+
+        for batch in batches:
+            if len(batch):
+                table = pa.Table.from_batches([batch])
+                out, rest = pairs(pa.concat_tables([rest, table]).combine_chunks() if rest is not None and len(rest) else table, False)
+                yield out
+        if rest is not None and len(rest):
+            yield pairs(rest, True)[0]
+
+    return tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+
+
+def connect(buckets: DataFrame, filter_pairs: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame | None], compatible: str = "true", rounds: tuple[int, ...] = ROUNDS, extra: tuple[str, ...] = ()) -> DataFrame | None:
     """Components of all links between nodes that share a bucket, as (node, label); None without links.
 
-    ``buckets`` has rows (bucket, sig, n); pairs with ``compatible`` (over n and n2) are candidates. In
+    ``buckets`` has rows (bucket, sig, n and the ``extra`` columns); pairs with ``compatible`` (over n and n2,
+    and so on) are candidates. In
     the first rounds a few of every node's buckets compare their nodes with a few of them, which costs a
     group of copies its size times those few; ``filter_pairs(pairs)`` drops pairs (a, b) that cannot link.
     What shares any bucket but no component after that is compared in full by ``compare(tiles)``, which
@@ -99,13 +127,13 @@ def connect(buckets: DataFrame, filter_pairs: Callable[[DataFrame], DataFrame],
         if turn < len(rounds):
             order = Window.partitionBy("sig").orderBy(F.xxhash64("bucket"), "bucket")
             few = rows.withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= STAR_BUCKETS).drop("_r")
-            one = F.struct(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"))
+            one = F.struct(F.col("sig").alias("sig2"), F.col("n").alias("n2"), F.col("label").alias("label2"), *[F.col(c).alias(f"{c}2") for c in extra])
             some = few.groupBy("bucket").agg(*[F.min_by(one, F.xxhash64("sig", F.lit(100 * turn + k))).alias(f"o{k}") for k in range(rounds[turn])])
             some = some.select("bucket", F.explode(F.array_distinct(F.array(*[f"o{k}" for k in range(rounds[turn])]))).alias("o"))
             both = few.join(some.select("bucket", "o.*"), "bucket")
             pairs = both.where(f"label <> label2 and {compatible}").select(F.least("sig", "sig2").alias("a"), F.greatest("sig", "sig2").alias("b")).distinct()
         else:
-            pairs = compare(tiles(rows)).distinct()
+            pairs = compare(tiles(rows, extra)).distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = materialize(pairs, "candidate-pairs")

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, release, small
-from .components import connect
+from .components import compare_parts, connect
 from .wordhash import mix, set_id, shingle_sets
 
 WORDS, NUM, DEN = 5, 80, 100
@@ -362,29 +362,11 @@ def meet(bucket: int, side: np.ndarray, sig: np.ndarray, n: np.ndarray, label: n
 def compare_tiles(tiles: DataFrame, marked: DataFrame) -> DataFrame:
     """Pairs (a, b) that pass all filters among the rows that ``components.tiles`` brings together."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-
-        def pairs(table: pa.Table, last: bool) -> tuple[pa.RecordBatch, pa.Table]:
-            key = [table.column(c).to_numpy() for c in ("bucket", "i", "j")]
-            new = np.flatnonzero(np.concatenate(([True], (key[0][1:] != key[0][:-1]) | (key[1][1:] != key[1][:-1]) | (key[2][1:] != key[2][:-1]))))
-            ends = [*new[1:], len(table)] if last else [*new[1:]]
-            side, sig, n, label, top = (table.column(c).to_numpy() for c in ("side", "sig", "n", "label", "top"))
-            blobs, large = table.column("value").to_pylist(), table.column("large").to_pylist()
-            found = [meet(int(key[0][s]), side[s:e], sig[s:e], n[s:e], label[s:e], top[s:e], blobs[s:e], large[s:e]) for s, e in zip(new, ends, strict=False)]
-            a, b = (np.concatenate([np.empty(0, np.int64), *[f[k] for f in found]]) for k in (0, 1))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"]), table.slice(ends[-1] if ends else 0)
+    def of_part(bucket: int, table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+        columns = [table.column(c).to_numpy() for c in ("side", "sig", "n", "label", "top")]
+        return meet(bucket, *columns, table.column("value").to_pylist(), table.column("large").to_pylist())
 
-        for batch in batches:
-            if len(batch):
-                table = pa.Table.from_batches([batch])
-                out, rest = pairs(pa.concat_tables([rest, table]).combine_chunks() if rest is not None and len(rest) else table, False)
-                yield out
-        if rest is not None and len(rest):
-            yield pairs(rest, True)[0]
-
-    t = tiles.join(marked, "sig").select("bucket", "i", "j", "side", "sig", "n", "label", "top", "value", "large")
-    return t.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+    return compare_parts(tiles.join(marked, "sig").select("bucket", "i", "j", "side", "sig", "n", "label", "top", "value", "large"), of_part)
 
 
 def filter_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
