@@ -11,6 +11,10 @@ each shared K-gram is extended to both sides word by word, which decides exactly
 Items of fewer than ``WINDOW`` words are found by hashes of their whole length (winnowing with a run
 of one).
 
+Texts are cut into overlapping blocks of 512 words, so that work per block is bounded and that of a
+text grows with its length. Within a block, places with equal words around them are extended once, and
+an item's places likewise, so texts of few different words cost no more than others.
+
 Scale: a document's fingerprints never leave its row unless they join; the item side is broadcast by
 the planner when small and shuffled otherwise. Copies of one text share their hits by the text's
 digest, so a large group of copies costs one small row, and the join back is on that digest, split by
@@ -29,6 +33,8 @@ from pyspark.sql import functions as F
 from .common import fresh, materialize, small
 
 WINDOW, K = 10, 5
+#: Words of a block; blocks overlap by two windows, so each occurrence of a window is whole in one of them.
+BLOCK, OVERLAP = 512, 2 * WINDOW
 WORD = r"([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEW = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -68,13 +74,16 @@ class Family:
     def fingerprints(self) -> str:
         return f"array_distinct({_minima(f'_g{self.length}', self.run)})"
 
-    def starts(self, own: str, at: str, item: str, item_at: str) -> str:
-        """Starts, in the own words, of the windows around a shared K-gram that agree word for word."""
-        n, s = self.length, "s"
+    def context(self, words: str, at: str) -> str:
+        """The words around a K-gram at ``at`` that windows with it can hold, and the K-gram's place among them."""
+        return f"named_struct('w', slice({words}, greatest({at} - {self.left}, 0) + 1, {self.length} + least({at}, {self.left})), 'o', least({at}, {self.left}))"
+
+    def starts(self, own: str, item: str) -> str:
+        """Starts, relative to a shared K-gram, of the windows around it that agree word for word."""
+        n = self.length
         return (
-            f"transform(filter(sequence(-{self.left}, 0), {s} -> {at} + {s} >= 0 and {item_at} + {s} >= 0 "
-            f"and {at} + {s} + {n} <= n_own and {item_at} + {s} + {n} <= size({item}) "
-            f"and slice({own}, {s} + least({at}, {self.left}) + 1, {n}) = slice({item}, {item_at} + {s} + 1, {n})), s -> named_struct('start', {at} + s, 'len', {n}))"
+            f"filter(sequence(-{self.left}, 0), s -> s + {own}.o >= 0 and s + {item}.o >= 0 and s + {own}.o + {n} <= size({own}.w) and s + {item}.o + {n} <= size({item}.w) "
+            f"and slice({own}.w, s + {own}.o + 1, {n}) = slice({item}.w, s + {item}.o + 1, {n}))"
         )
 
 
@@ -87,44 +96,58 @@ def _families(items: DataFrame) -> list[Family]:
 def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """One row for each distinct text with a hit: th (its md5), spans (array of start and len, in
     words) and items (array of item ids as strings)."""
-    items = materialize(items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.expr(exact_words(f"`{item_text}`")).alias("iw"), F.expr(exact_words(f"`{item_text}`")).alias("lw")), "decontam-items")
+    items = materialize(items.select(F.col(f"`{item_id}`").cast("string").alias("item"), F.expr(exact_words(f"`{item_text}`")).alias("iw")), "decontam-items")
     families = _families(items)
     own = docs.select(F.col(f"`{text}`").alias("text")).where("text is not null").withColumn("th", F.md5("text"))
     if not families:
         return own.select("th", F.expr("cast(array() as array<struct<start:int,len:int>>)").alias("spans"), F.expr("cast(array() as array<string>)").alias("items")).limit(0)
-    # Item side: every place of every fingerprint.
+    # Item side: every K-gram that is a fingerprint, once for each of its contexts.
     sides = []
     for f in families:
         x = items.where(F.least(F.size("iw"), F.lit(WINDOW)) == f.length)
-        x = f.with_grams(x, "lw").withColumn("_fp", F.expr(f.fingerprints()))
+        x = f.with_grams(x, "iw").withColumn("_fp", F.expr(f.fingerprints()))
         x = x.select("item", "iw", F.posexplode(f"_g{f.length}").alias("q", "fp"), "_fp").where("array_contains(_fp, fp)")
-        sides.append(x.select(F.lit(f.length).alias("family"), "fp", "item", "q", "iw"))
+        sides.append(x.select(F.lit(f.length).alias("family"), "fp", "item", F.expr(f.context("iw", "q")).alias("theirs")))
     side = sides[0]
     for x in sides[1:]:
         side = side.unionByName(x)
-    side = materialize(side, "decontam-fingerprints")
+    side = materialize(side.distinct(), "decontam-fingerprints")
     # Document side: values only.
-    x = own.select("th", F.expr(exact_words("text")).alias("lw"))
+    x = _blocks(own)
     for f in families:
-        x = f.with_grams(x, "lw")
-    x = x.select("th", F.explode(F.expr(f"concat({', '.join(f.fingerprints() for f in families)})")).alias("fp"))
-    shared = x.join(side.select("fp").distinct(), "fp").groupBy("th").agg(F.collect_set("fp").alias("mv"))
+        x = f.with_grams(x, "w")
+    x = x.select("th", "b", F.explode(F.expr(f"concat({', '.join(f.fingerprints() for f in families)})")).alias("fp"))
+    shared = x.join(side.select("fp").distinct(), "fp").groupBy("th", "b").agg(F.collect_set("fp").alias("mv"))
     shared = materialize(shared, "decontam-shared")
-    # Extension of the shared K-grams, in the documents that have any.
-    x = own.join(small(shared), "th").select("th", "mv", F.expr(exact_words("text")).alias("w"), F.expr(exact_words("text")).alias("lw"))
+    # Extension of the shared K-grams, in the blocks that have any. Places with equal words around them are extended as one.
+    texts = own.join(small(shared.select("th").distinct()), "th", "left_semi").dropDuplicates(["th"])
+    x = _blocks(texts).join(small(shared), ["th", "b"])
     hits = []
     for f in families:
-        y = f.with_grams(x, "lw")
-        places = f"filter(sequence(0, size(_g{f.length}) - 1), i -> array_contains(mv, _g{f.length}[i]))"
-        places = f"if(size(_g{f.length}) > 0, {places}, cast(array() as array<int>))"
-        around = f"named_struct('p', i, 'fp', _g{f.length}[i], 'n_own', size(w), 'own', slice(w, greatest(i - {f.left}, 0) + 1, {f.length + f.left}))"
-        y = y.select("th", "w", f"_g{f.length}", F.expr(places).alias("at")).select("th", F.explode(F.expr(f"transform(at, i -> {around})")).alias("h")).select("th", "h.*")
+        g = f"_g{f.length}"
+        y = f.with_grams(x, "w")
+        places = f"filter(sequence(0, size({g}) - 1), i -> array_contains(mv, {g}[i]))"
+        y = y.select("th", "b", F.expr(f"if(size({g}) > 0, transform({places}, i -> named_struct('p', i, 'fp', {g}[i], 'own', {f.context('w', 'i')})), null)").alias("at"))
+        y = y.select("th", "b", "at", F.explode(F.expr("array_distinct(transform(at, x -> struct(x.fp as fp, x.own as own)))")).alias("d"))
+        y = y.select("th", "b", "d.fp", "d.own", F.expr("transform(filter(at, x -> x.fp = d.fp and x.own = d.own), x -> x.p)").alias("ps"))
         y = y.join(side.where(F.col("family") == f.length).drop("family"), "fp")
-        hits.append(y.select("th", "item", F.explode(F.expr(f.starts("own", "p", "iw", "q"))).alias("span")))
+        y = y.select("th", "b", "item", "ps", F.explode(F.expr(f.starts("own", "theirs"))).alias("s")).groupBy("th", "b", "ps", "s").agg(F.collect_set("item").alias("items"))
+        y = y.select("th", "items", F.expr(f"transform(ps, p -> cast(b * {BLOCK} + p + s as bigint) * 16 + {f.length})").alias("spans"))
+        hits.append(y)
     found = hits[0]
     for y in hits[1:]:
         found = found.unionByName(y)
-    return found.groupBy("th").agg(F.collect_set("span").alias("spans"), F.collect_set("item").alias("items"))
+    # Spans as numbers: distinct arrays of structs aren't found by hashing.
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_set(c)))
+    spans = F.transform(flat("spans"), lambda x: F.struct(F.shiftright(x, 4).cast("int").alias("start"), (x % 16).cast("int").alias("len")))
+    return found.groupBy("th").agg(spans.alias("spans"), flat("items").alias("items"))
+
+
+def _blocks(own: DataFrame) -> DataFrame:
+    """Rows (th, b, w): the words of each text in overlapping blocks, each a text of its own to what follows."""
+    x = own.select("th", F.expr(exact_words("text")).alias("all")).where("size(all) > 0")
+    cut = f"transform(sequence(0, (size(all) - 1) div {BLOCK}), b -> slice(all, cast(b * {BLOCK} + 1 as int), {BLOCK + OVERLAP}))"
+    return x.select("th", F.posexplode(F.expr(cut)).alias("b", "w"))
 
 
 def covered(spans: str) -> str:

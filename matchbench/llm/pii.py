@@ -1,21 +1,26 @@
 """Surrogates for personal data.
 
-Detected entities (e-mail addresses, phone numbers, IP addresses of both versions, payment cards, bank
-accounts, social security numbers, credentials, names) get keyed replacements of their own kind: letters stay letters
-of the same case, digits digits, separators stay; a card keeps its issuer digit and, if it had one, its
-valid check digit; IP octets stay octets; a name keeps its script and the gender its title tells.
+Detected entities (e-mail addresses, phone numbers, IP addresses of both versions, payment cards with a
+valid check digit, bank accounts, social security numbers, credentials, names) get keyed replacements of
+their own kind: letters stay letters of the same case and script, digits digits, separators stay; a card
+keeps its issuer digit and a valid check digit, a bank account its country and, if it had them, valid
+check digits; IP octets stay octets; a name keeps its script and the gender its title tells. Of e-mail
+domains only the last label stays (of the mail hosts in ``HOSTS`` all), and equal domains stay equal.
 The replacement depends on the key and the entity's normal form alone, so all mentions of an entity,
-in any document and any notation, get the same one (coreference).
+in any document and any notation, get the same one (coreference). A phone number's normal form is its
+last ten digits, so it is one entity with and without its country code, which stays as written.
 
 Names are found after a title (``TITLES``); their words are replaced at every other place of the same text as
-well if they have a capital letter there. Not detected: names that no title precedes anywhere in their text,
-names written small, in other scripts than Latin and Cyrillic, inflected forms, postal addresses and dates of birth. A
-capitalised ordinary word that equals a name of its text is replaced too.
+well if they have a capital letter there (scripts without capitals: wherever the word stands alone). Not
+detected: names that no title precedes anywhere in their text, names written small, inflected forms,
+postal addresses and dates of birth. A capitalised ordinary word that equals a name of its text is replaced too.
 
 Distinctness is checked over the whole corpus: where two entities would get equal replacements, or a
 replacement equals some entity of the corpus, all but the least of them try their next replacement,
-until none collide. Only these exceptions are joined back to documents; all else is computed in place,
-so texts aren't shuffled (unless there are more exceptions than may be broadcast).
+until none collide. From turn to turn replacements have more characters (fixed formats: from the turn
+``WIDER`` on), so they outgrow all originals and the rounds end whatever the corpus holds. Only these
+exceptions are joined back to documents; all else is computed in place, so texts aren't shuffled
+(unless there are more exceptions than may be broadcast).
 
 Edge cases: null text stays null, empty text empty, both with 0 entities; texts without entities are
 returned unchanged; repeated rows get equal results; an empty table gives an empty result; other columns pass through,
@@ -28,15 +33,17 @@ import hashlib
 import hmac
 import ipaddress
 import re
+import unicodedata
 from bisect import bisect_right
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, small
+from .common import fresh, materialize, release, small
 
 #: Titles before names, as written and in capitals; and those that tell a woman, in small letters.
 TITLES = tuple(
@@ -64,6 +71,10 @@ PATTERNS = (
     ("name", rf"(?=[{_FIRST}])(?<!\w){_TITLE}\b\.?[ ]+{_WORD}(?:[ ]{_WORD}){{0,2}}"),
 )
 _FIND = re.compile("|".join(f"(?P<{n}>{p})" for n, p in PATTERNS))
+#: Public mail hosts, whose names say nothing about a person, and reserved example names: fixed values.
+HOSTS = frozenset("gmail.com googlemail.com outlook.com hotmail.com live.com yahoo.com icloud.com aol.com gmx.de web.de mail.ru yandex.ru qq.com 163.com proton.me protonmail.com example.com example.org example.net".split())
+#: Digits that tell a phone number, and the turn from which fixed formats grow.
+NATIONAL, WIDER = 10, 8
 #: A text without any of these holds no entity.
 _HINT = re.compile(rf"[@\d]|(?i:password|passwd|pwd|secret|token|key)|sk-|gh[pousr]_|::|[0-9A-Fa-f]:[0-9A-Fa-f]{{1,4}}:|(?=[{_FIRST}])(?<!\w){_TITLE}\b")
 _CAPITAL = re.compile(rf"(?<![^\W_]){_WORD}(?![^\W_])")
@@ -104,13 +115,18 @@ def find(text: str) -> list[Span]:
             gender = "f" if title.group().rstrip(".").lower() in FEMALE else "m"
             for i, w in enumerate(words):
                 part = "surname" if i == len(words) - 1 else f"given_{gender}"
-                script = "cyrillic" if "\u0400" <= w.group()[0] <= "\u04ff" else "latin"
+                first = w.group()[0]
+                script = "latin" if first < "\u0250" else "cyrillic" if "\u0400" <= first <= "\u04ff" else "other"
                 out.append((at + w.start(), at + w.end(), f"{part}:{script}", w.group().casefold()))
                 named.setdefault(w.group().casefold(), f"{part}:{script}")
         elif kind == "email":
             out.append((at, m.end(), kind, raw.lower()))
         elif kind in ("phone", "card", "ssn"):
-            out.append((at, m.end(), f"{kind}{sum(c.isdigit() for c in raw)}", "".join(c for c in raw if c.isdigit())))
+            digits = "".join(c for c in raw if c.isdigit())
+            if kind == "card" and not _luhn(digits):
+                continue
+            digits = digits[-NATIONAL:] if kind == "phone" else digits
+            out.append((at, m.end(), f"{kind}{len(digits)}", digits))
         elif kind == "iban":
             out.append((at, m.end(), kind, raw.replace(" ", "")))
         elif kind == "ipv6":
@@ -149,66 +165,90 @@ def _stream(key: bytes, kind: str, norm: str, turn: int) -> Callable[[int], int]
     return draw
 
 
+@lru_cache(4096)
+def _likes(c: str) -> str:
+    """The characters of a letter's or digit's own kind, of the same block and case."""
+    for lo, n in (("0", 10), ("a", 26), ("A", 26)):
+        if lo <= c < chr(ord(lo) + n):
+            return "".join(chr(ord(lo) + i) for i in range(n))
+    block = range(ord(c) & ~0x7F, (ord(c) | 0x7F) + 1)
+    return "".join(chr(x) for x in block if unicodedata.category(chr(x)) == unicodedata.category(c))
+
+
 def _alike(text: str, draw: Callable[[int], int]) -> str:
-    """Other letters and digits of the same kinds; hexadecimal strings stay so."""
-    is_hex = re.fullmatch(r"[0-9a-f]+", text) is not None and len(text) >= 8
+    """Other letters and digits of the same kinds; hexadecimal strings (with a letter) stay so."""
+    is_hex = re.fullmatch(r"[0-9a-f]{8,}", text) is not None and not text.isdigit()
     out = []
     for c in text:
-        if is_hex:
-            out.append("0123456789abcdef"[draw(16)])
-        elif c.isdigit():
-            out.append(str(draw(10)))
-        elif "a" <= c <= "z":
-            out.append(chr(97 + draw(26)))
-        elif "A" <= c <= "Z":
-            out.append(chr(65 + draw(26)))
-        elif c.isalpha():
-            out.append(chr(97 + draw(26)) if c.islower() or not c.isupper() else chr(65 + draw(26)))
-        else:
-            out.append(c)
+        like = "0123456789abcdef" if is_hex else _likes(c) if c.isalnum() else c
+        out.append(like[draw(len(like))])
     return "".join(out)
 
 
+def iban_check(country: str, account: str) -> str:
+    """The two check digits of a bank account number."""
+    digits = "".join(str(int(c, 36)) for c in account + country + "00")
+    return f"{98 - int(digits) % 97:02d}"
+
+
+def _other_domain(key: bytes, domain: str) -> str:
+    labels = domain.split(".")
+    if domain in HOSTS:
+        return domain
+    draw = _stream(key, "domain", domain, 0)
+    return ".".join([_alike(x, draw) for x in labels[:-1]] + labels[-1:])
+
+
 def surrogate(key: bytes, kind: str, norm: str, turn: int = 0) -> str:
     """The ``turn``-th replacement of an entity, in normal form."""
     draw = _stream(key, kind, norm, turn)
     base = kind.rstrip("0123456789")
+    digits = lambda n: "".join(str(draw(10)) for _ in range(n))
+    letters = lambda n: "".join(chr(97 + draw(26)) for _ in range(n))
+    wider = max(0, turn - WIDER + 1)
     if base == "email":
         local, _, domain = norm.partition("@")
-        labels = domain.split(".")
-        return _alike(local, draw) + "@" + ".".join([_alike(x, draw) for x in labels[:-2]] + labels[-2:])
+        return _alike(local, draw) + letters(turn) + "@" + _other_domain(key, domain)
     if base == "ip":
-        return ".".join(str(1 + draw(254)) for _ in range(4))
+        return ".".join(str(1 + draw(254)) for _ in range(4 + wider))
     if kind == "ipv6":
-        return ":".join(["2001", "0db8", *(f"{draw(65536):04x}" for _ in range(6))])
+        return ":".join(["2001", "0db8", *(f"{draw(65536):04x}" for _ in range(6 + wider))])
     if base == "key":
         head = re.match(r"AKIA|ASIA|gh[pousr]_|sk-", norm).group()
-        return head + _alike(norm[len(head) :], draw)
+        return head + _alike(norm[len(head) :], draw) + letters(wider)
     if base == "iban":
-        return norm[:2] + _alike(norm[2:], draw)
+        account = _alike(norm[4:], draw) + digits(wider)
+        return norm[:2] + (iban_check(norm[:2], account) if iban_check(norm[:2], norm[4:]) == norm[2:4] else digits(2)) + account
     if base == "phone":
-        keep = max(0, len(norm) - 10)
-        return norm[:keep] + str(2 + draw(8)) + "".join(str(draw(10)) for _ in norm[keep + 1 :])
+        return str(2 + draw(8)) + digits(len(norm) - 1 + wider)
     if base == "card":
-        body = norm[0] + "".join(str(draw(10)) for _ in norm[1:-1])
-        if _luhn(norm):
-            return next(body + str(d) for d in range(10) if _luhn(body + str(d)))
-        return next(x for x in (body + str((draw(10) + d) % 10) for d in range(10)) if not _luhn(x))
+        body = norm[0] + digits(len(norm) - 2 + wider)
+        return next(body + str(d) for d in range(10) if _luhn(body + str(d)))
     if ":" in kind:
         part, script = kind.split(":")
+        if script == "other":
+            return _alike(norm + norm[-1] * turn, draw)
         parts, ends = SYLLABLES[script], ENDINGS[script][part]
-        return "".join(parts[draw(len(parts))] for _ in range(2 + min(turn, 2))) + ends[draw(len(ends))]
-    return _alike(norm, draw)
+        return "".join(parts[draw(len(parts))] for _ in range(2 + turn)) + ends[draw(len(ends))]
+    return _alike(norm, draw) + (digits(wider) if norm.isdigit() else letters(wider))
 
 
 def render(mention: str, kind: str, core: str) -> str:
-    """A replacement in the mention's notation."""
+    """A replacement in the mention's notation. What a phone number has before its normal form stays, and
+    characters of a longer replacement follow."""
     base = kind.rstrip("0123456789")
     if base in ("phone", "card", "ssn", "iban"):
-        it = iter(core)
-        return "".join(next(it) if c.isalnum() else c for c in mention)
+        keep = max(0, sum(c.isdigit() for c in mention) - NATIONAL) if base == "phone" else 0
+        out, it = [], iter(core)
+        for c in mention:
+            if not c.isalnum() or keep:
+                keep -= keep > 0 and c.isdigit()
+                out.append(c)
+            else:
+                out.append(next(it))
+        return "".join(out) + "".join(it)
     if ":" in kind:
-        return core.upper() if mention.isupper() else core.capitalize()
+        return core.upper() if mention.isupper() and len(mention) > 1 else core.capitalize()
     if base == "email" and len(core) == len(mention):
         return "".join(c.upper() if m.isupper() else c for c, m in zip(core, mention, strict=True))
     return core
@@ -240,8 +280,11 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
 def exceptions(entities: DataFrame, key: bytes, surrogate_of: Callable = surrogate) -> DataFrame | None:
     """Rows (kind, norm, turn) of the entities whose first replacement collides, or None.
 
-    Kinds with notations in common (``phone10``, ``phone11``) are told apart, so their replacements
-    can't be equal. Collisions of a turn are found by one aggregation over replacements.
+    Kinds with notations in common (``phone10``, ``phone9``) are told apart, so their replacements
+    can't be equal. A turn draws for the entities that collided in the one before; a draw fails if an
+    entity or an earlier draw has its value, or the draw of a lesser entity. Draws grow with the turn (see
+    ``surrogate``), so that in the end no original is as long and the values suffice: the rounds end. A
+    round writes only the entities that are still open.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -250,22 +293,27 @@ def exceptions(entities: DataFrame, key: bytes, surrogate_of: Callable = surroga
             core = [surrogate_of(key, *x) for x in zip(k, n, t, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(core, pa.string())], ["kind", "norm", "turn", "core"])
 
-    def drawn(x: DataFrame) -> DataFrame:
-        return x.select("kind", "norm", "turn").mapInArrow(run, "kind string, norm string, turn int, core string")
+    def drawn(x: DataFrame, turn: int) -> DataFrame:
+        return materialize(x.select("kind", "norm", F.lit(turn).alias("turn")).mapInArrow(run, "kind string, norm string, turn int, core string"), "pii-surrogates")
 
-    settled = materialize(drawn(entities.withColumn("turn", F.lit(0))), "pii-surrogates")
-    originals = entities.select("kind", F.col("norm").alias("core"))
-    moved = None
+    taken = entities.select("kind", F.col("norm").alias("core"))
+    new, moved, turn = drawn(entities, 0), None, 0
     while True:
-        # The least turn keeps a replacement, then the least entity, so settled ones don't move again.
-        first = settled.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min(F.struct("turn", "norm")).alias("first")).where("n > 1")
-        twice = settled.join(first, ["kind", "core"]).where("norm <> first.norm").select("kind", "norm", "turn")
-        taken = settled.join(originals, ["kind", "core"], "left_semi").select("kind", "norm", "turn")
-        again = materialize(twice.union(taken).distinct().withColumn("turn", F.col("turn") + 1), "pii-again")
-        if again.isEmpty():
+        first = new.groupBy("kind", "core").agg(F.count("*").alias("n"), F.min("norm").alias("first")).where("n > 1")
+        twice = new.join(first, ["kind", "core"]).where("norm <> first").select("kind", "norm")
+        failed = materialize(twice.union(new.join(taken, ["kind", "core"], "left_semi").select("kind", "norm")).distinct(), "pii-again")
+        if failed.isEmpty():
+            release(failed)
+            kept = new
+        else:
+            kept = new.join(failed, ["kind", "norm"], "left_anti")
+        if turn:
+            moved = kept.select("kind", "norm", "turn") if moved is None else moved.unionByName(kept.select("kind", "norm", "turn"))
+        if kept is new:
             return moved
-        settled = materialize(settled.join(again.select("kind", "norm"), ["kind", "norm"], "left_anti").unionByName(drawn(again)), "pii-surrogates")
-        moved = settled.where("turn > 0").select("kind", "norm", "turn")
+        taken = taken.unionByName(kept.select("kind", "core"))
+        turn += 1
+        new = drawn(failed, turn)
 
 
 def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:

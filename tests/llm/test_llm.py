@@ -179,6 +179,18 @@ def test_decontamination_equals_brute_force(spark, docs):
 # --- mixing and sharding ---------------------------------------------------------------------------------
 
 
+def test_long_texts_and_repeated_words(spark):
+    """Windows across block borders, and a hundred thousand equal words."""
+    w = prose(4000, 21).split()
+    item = prose(30, 22).split()
+    for at in (490, 511, 1020, 1530, 3990):
+        w[at : at + 10] = item[3:13]
+    rows = [(1, " ".join(w)), (2, "aa " * 100_000), (3, "aa " * 13 + "b " + "aa " * 9)]
+    got = {r["doc_id"]: r for r in decontam.annotate(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item)), (2, "aa " * 14)], "item_id long, text string")).collect()}
+    assert (got[1]["n_words"], got[1]["n_hit"], got[1]["n_items"]) == (4000, 50, 1)
+    assert (got[2]["n_hit"], got[2]["n_items"]) == (100_000, 1) and (got[3]["n_hit"], got[3]["n_items"]) == (13, 1)
+
+
 def test_contaminated_greek_capitals_are_found(spark):
     item = "ΟΔΟΣ.ΑΒ " * 10
     docs = spark.createDataFrame([(1, item.replace(".", ". "))], "doc_id long, text string")
@@ -452,6 +464,36 @@ def test_addresses_of_version_6():
     assert one == two != three and not {"2001:db8:0:0:0:0:0:1", "fe80::1"} & {one, three}
 
 
+def test_formats_of_surrogates():
+    again = lambda t: pii.replace(t, b"key", {})[0]
+    assert re.fullmatch(r"\d{3}-\d{2}-\d{4}", again("123-45-6789")) and again("123-45-6789") != "123-45-6789"
+    iban = again("DE89 3704 0044 0532 0130 00")
+    assert re.fullmatch(r"DE\d{2} \d{4} \d{4} \d{4} \d{4} \d{2}", iban) and "3704" not in iban
+    assert pii.iban_check("DE", iban.replace(" ", "")[4:]) == iban[2:4] and pii.iban_check("DE", "370400440532013000") == "89"
+    assert again("order 9807915762804490 of 12") == "order 9807915762804490 of 12"  # no valid check digit
+    a, b = again("call +1 (212) 555-0101 or 212-555-0101").removeprefix("call ").split(" or ")
+    assert a.startswith("+1 (") and re.sub(r"\D", "", a)[1:] == re.sub(r"\D", "", b) != "2125550101"
+    one, two, mail = again("john@johnsmith.com mary@johnsmith.com ann@gmail.com").split()
+    assert one.split("@")[1] == two.split("@")[1] != "johnsmith.com" and one.endswith(".com") and mail.endswith("@gmail.com")
+    name = re.fullmatch(r"Mr\. (\w+) met (\w+)", again("Mr. \u738b\u5c0f\u660e met \u738b\u5c0f\u660e"))
+    assert name[1] == name[2] != "\u738b\u5c0f\u660e" and all("\u4e00" <= c <= "\u9fff" for c in name[1])
+
+
+def test_surrogates_of_a_full_corpus_end(spark):
+    """Every one-letter name of a mail host occurs, so first replacements all equal an original. No two
+    entities get one replacement, none is an original, and each text is what replacing its entities by the table of replacements gives."""
+    rows = [(i, f"from {c}@gmail.com to {d}@gmail.com, 10.0.0.{i}") for i, (c, d) in enumerate(zip("abcdefghijklmnopqrstuvwxyz", "bcdefghijklmnopqrstuvwxyza", strict=True))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["private_text"] for r in pii.pseudonymise(df, "key").collect()}
+    table = {}
+    for i, t in rows:
+        for old, new in zip(re.findall(r"[^\s,]+@[^\s,]+|\d+\.\S+", t), re.findall(r"[^\s,]+@[^\s,]+|\d+\.\S+", out[i]), strict=True):
+            assert table.setdefault(old, new) == new
+    assert len(table) == len(set(table.values())) == 52 and not set(table) & set(table.values())
+    for i, t in rows:
+        assert re.sub(r"[^\s,]+@[^\s,]+|\d+\.\S+", lambda m: table[m.group()], t) == out[i]
+
+
 def test_colliding_surrogates_part(spark):
     """Draws from ten values for six entities, of which two are such values themselves."""
     entities = spark.createDataFrame([("k", str(i)) for i in (0, 1, 100, 101, 102, 103)], "kind string, norm string")
