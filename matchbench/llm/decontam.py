@@ -27,7 +27,7 @@ further columns pass through (``annotate``), with new ones that may not clash (`
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, small
@@ -35,13 +35,14 @@ from .common import fresh, materialize, small
 WINDOW, K = 10, 5
 #: Words of a block; blocks overlap by two windows, so each occurrence of a window is whole in one of them.
 BLOCK, OVERLAP = 512, 2 * WINDOW
-WORD = r"([^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+)"
+#: What stands between words: splitting there takes a seventh of the time of extracting the words.
+BETWEEN = r"[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NEW = ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
 def _words(text: str) -> str:
-    return f"coalesce(regexp_extract_all({text}, '{WORD}', 1), cast(array() as array<string>))"
+    return f"coalesce(array_remove(split({text}, '{BETWEEN}', -1), ''), cast(array() as array<string>))"
 
 
 def exact_words(text: str) -> str:
@@ -145,8 +146,8 @@ def find_hits(docs: DataFrame, items: DataFrame, text: str = "text", item_id: st
 
 def _blocks(own: DataFrame) -> DataFrame:
     """Rows (th, b, w): the words of each text in overlapping blocks, each a text of its own to what follows."""
-    x = own.select("th", F.expr(exact_words("text")).alias("all")).where("size(all) > 0")
-    cut = f"transform(sequence(0, (size(all) - 1) div {BLOCK}), b -> slice(all, cast(b * {BLOCK} + 1 as int), {BLOCK + OVERLAP}))"
+    x = own.select("th", F.expr(exact_words("text")).alias("all"))  # no filter on it: it would be pushed down and the words cut twice
+    cut = f"if(size(all) <= {BLOCK}, array(all), transform(sequence(0, (size(all) - 1) div {BLOCK}), b -> slice(all, cast(b * {BLOCK} + 1 as int), {BLOCK + OVERLAP})))"
     return x.select("th", F.posexplode(F.expr(cut)).alias("b", "w"))
 
 
@@ -169,7 +170,7 @@ def annotate(docs: DataFrame, items: DataFrame, text: str = "text", **names) ->
     )
     hits = materialize(hits, "decontam-hits")
     t = F.col(f"`{text}`")
-    n_words: Column = F.coalesce(F.regexp_count(t, F.lit(WORD.replace("\\\\", "\\").replace(r"\x60", r"\x40\x5B-\x60"))), F.lit(0)).cast("long")
+    n_words = F.size(F.expr(_words(f"`{text}`"))).cast("long")
     out = docs.withColumn("n_words", n_words).withColumn(th, F.md5(t)).join(small(hits), th, "left")
     out = out.withColumn("n_hit", F.coalesce(h, F.lit(0)).cast("long")).withColumn("n_items", F.coalesce(n, F.lit(0)).cast("long"))
     out = out.withColumn("items_sha256", F.coalesce(ids, F.sha2(F.lit(""), 256))).withColumn("contaminated", F.col("n_hit") > 0)
