@@ -19,3 +19,5 @@ ILLUMINATION_PREFIXES = ("yale:", "synthetic:")
 MODALITIES = ("real", "synthetic_toy")
 #: Rows of a side that may be sent to every executor as one matrix; beyond it sides are dealt in blocks.
 BROADCAST_ROWS = 100_000
+#: And its bytes at most, as doubles.
+BROADCAST_BYTES = 64 << 20

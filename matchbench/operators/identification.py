@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import SCORE_DECIMALS
+from . import scoring
+
 CMC_LENGTH = 20
 
 
@@ -17,16 +24,44 @@ def rank(scores: DataFrame) -> DataFrame:
 def decisions(scores: DataFrame, subjects: DataFrame) -> DataFrame:
     """One row a probe: probe_id, truth, predicted and true_rank. ``subjects`` has sample_id, subject_id.
 
-    Only two aggregates a probe are needed, so ranks aren't materialised: the best row, and how many rows
-    precede the best row of the probe's own subject.
+    Aggregates only, no window over the scores: the best row, the best row of the probe's own subject,
+    and how many rows aren't behind that one.
     """
     p = subjects.select(F.col("sample_id").alias("probe_id"), F.col("subject_id").alias("truth"))
     g = subjects.select(F.col("sample_id").alias("gallery_id"), F.col("subject_id").alias("guess"))
-    rows = scores.join(g, "gallery_id").join(p, "probe_id")
-    ranked = rank(rows)
-    return ranked.groupBy("probe_id", "truth").agg(
-        F.min_by("guess", "rank").alias("predicted"), F.min(F.when(F.col("guess") == F.col("truth"), F.col("rank"))).alias("true_rank")
-    )
+    rows = scores.join(g, "gallery_id").join(p, "probe_id").withColumn("place", F.struct((-F.col("score")).alias("s"), F.col("gallery_id").alias("g")))
+    best = rows.groupBy("probe_id", "truth").agg(F.min_by("guess", "place").alias("predicted"), F.min(F.when(F.col("guess") == F.col("truth"), F.col("place"))).alias("own"))
+    ranks = rows.select("probe_id", "place").join(best.select("probe_id", "own"), "probe_id").where("place <= own").groupBy("probe_id").agg(F.count("*").alias("true_rank"))
+    return best.join(ranks, "probe_id", "left").select("probe_id", "truth", "predicted", "true_rank")
+
+
+def decide(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vector: str = "embedding") -> DataFrame:
+    """``decisions`` of templates (sample_id, subject_id, vector): one row a probe. While the gallery may be
+    sent to every executor, a batch of probes is scored and decided at once, and scores never leave it."""
+    g = gallery.select(F.col("sample_id").alias("gallery_id"), F.col("subject_id").alias("guess"), scoring.doubles(F.col(vector)).alias("gv"))
+    held = scoring.held_gallery(g)
+    if held is None:
+        both = probe.select("sample_id", "subject_id").unionByName(gallery.select("sample_id", "subject_id")).distinct()
+        return decisions(scoring.score_blocks(probe, gallery, kind, vector), both)
+    shared = probe.sparkSession.sparkContext.broadcast((np.array(held.column("guess").to_pylist(), object), scoring._matrix(held.column("gv"))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, m = shared.value
+        at = np.arange(len(m))
+        for b in batches:
+            if not len(b) or not len(m):
+                continue
+            s = np.round(scoring.similarity_matrix(scoring._matrix(b.column(2)), m, kind), SCORE_DECIMALS)
+            truth = np.array(b.column(1).to_pylist(), object)
+            own = truth[:, None] == names[None, :]
+            j = np.where(own, s, -np.inf).argmax(1)
+            mine = s[np.arange(len(s)), j][:, None]
+            rank = ((s > mine) | ((s == mine) & (at[None, :] < j[:, None]))).sum(1) + 1
+            known = own.any(1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(names[s.argmax(1)].tolist(), pa.string()), pa.array(rank, pa.int64(), mask=~known)], ["probe_id", "truth", "predicted", "true_rank"])
+
+    p = probe.select(F.col("sample_id").alias("probe_id"), F.col("subject_id").alias("truth"), scoring.doubles(F.col(vector)).alias("pv"))
+    return p.mapInArrow(run, f"probe_id {p.schema['probe_id'].dataType.simpleString()}, truth string, predicted string, true_rank long")
 
 
 def check(scores: DataFrame, decided: DataFrame) -> None:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import SIMILARITIES, doubles
-from ..model import BROADCAST_ROWS, SCORE_DECIMALS
+from ..model import BROADCAST_BYTES, BROADCAST_ROWS, SCORE_DECIMALS
 
 
 def _matrix(column) -> np.ndarray:
@@ -46,6 +46,15 @@ def _sides(probe: DataFrame, gallery: DataFrame, vector: str) -> tuple[DataFrame
     return p, g
 
 
+def held_gallery(gallery: DataFrame, limit: int = BROADCAST_ROWS) -> pa.Table | None:
+    """The gallery's rows in order of their ids, if they are few enough, by count and bytes, to be sent to
+    every executor; else None."""
+    r = gallery.agg(F.count("*").alias("n"), F.max(F.size("gv")).alias("d")).first()
+    if r["n"] > limit or r["n"] * max(r["d"] or 0, 1) * 8 > BROADCAST_BYTES:
+        return None
+    return gallery.toArrow().sort_by("gallery_id")
+
+
 def score_columns(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vector: str = "embedding") -> DataFrame:
     """Every probe with every gallery template, by column expressions."""
     p, g = _sides(probe, gallery, vector)
@@ -78,8 +87,8 @@ def score_blocks(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vec
         rows = np.repeat(np.arange(len(s)), top)
         yield pa.RecordBatch.from_arrays([pa.array(ids).take(pa.array(rows)), pa.array(other).take(pa.array(at.ravel())), pa.array(s[rows, at.ravel()])], names)
 
-    if gallery.limit(limit + 1).count() <= limit:
-        held = g.orderBy("gallery_id").toArrow()
+    held = held_gallery(g, limit)
+    if held is not None:
         shared = probe.sparkSession.sparkContext.broadcast((held.column("gallery_id").to_pylist(), _matrix(held.column("gv"))))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +124,28 @@ def score_pairs(pairs: DataFrame, templates: DataFrame, kind: str = "cosine", ve
 
 
 def all_pairs(templates: DataFrame, kind: str = "cosine", vector: str = "embedding") -> DataFrame:
-    """Every unordered pair of templates: a, b, score and y (1 for the same subject)."""
+    """Every unordered pair of templates: a, b, score and y (1 for the same subject). While the templates may be
+    sent to every executor, truth is told inside the batch; else scores are joined with the subjects."""
+    t = templates.select(F.col("sample_id").alias("gallery_id"), doubles(F.col(vector)).alias("gv"), F.col("subject_id").alias("subject"))
+    held = held_gallery(t)
+    if held is not None:
+        ids, names = held.column("gallery_id").combine_chunks(), np.array(held.column("subject").to_pylist(), object)
+        subjects = {x: i for i, x in enumerate(dict.fromkeys(names))}
+        shared = templates.sparkSession.sparkContext.broadcast((ids, _matrix(held.column("gv")), np.array([subjects[x] for x in names], np.int64)))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m, code = shared.value
+            position = {x: i for i, x in enumerate(ids.to_pylist())}
+            for b in batches:
+                at = np.array([position[x] for x in b.column(0).to_pylist()], np.int64)
+                for lo in range(0, len(at), max(1, 500_000 // max(1, len(m)))):
+                    a = at[lo : lo + max(1, 500_000 // max(1, len(m)))]
+                    s = np.round(similarity_matrix(m[a], m, kind), SCORE_DECIMALS)
+                    i, j = np.nonzero(np.arange(len(m))[None, :] > a[:, None])  # ids are in order
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(a[i])), ids.take(pa.array(j)), pa.array(s[i, j]), pa.array((code[a[i]] == code[j]).astype(np.int32))], ["a", "b", "score", "y"])
+
+        kind_ = t.schema["gallery_id"].dataType.simpleString()
+        return templates.select("sample_id").mapInArrow(run, f"a {kind_}, b {kind_}, score double, y int")
     s = templates.select("sample_id", "subject_id")
     scores = score_blocks(templates, templates, kind, vector).where("probe_id < gallery_id")
     scores = scores.join(F.broadcast(s.select(F.col("sample_id").alias("probe_id"), F.col("subject_id").alias("sa"))) if s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else s.select(F.col("sample_id").alias("probe_id"), F.col("subject_id").alias("sa")), "probe_id")
@@ -156,7 +186,11 @@ def fuse(a: DataFrame, b: DataFrame, kind: str, weight: float = 0.5) -> DataFram
 
 
 def weight_sweep(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Weighted sums for the weights 0, 0.05, ... 1: rows (weight, probe_id, gallery_id, score)."""
+    """Best gallery row of each probe for the weights 0, 0.05, ... 1 of the first table: rows (weight,
+    probe_id, gallery_id). One aggregation with a column a weight, so no row is copied for the weights."""
     both = a.join(b.withColumnRenamed("score", "other"), ["probe_id", "gallery_id"])
-    w = both.withColumn("weight", F.explode(F.transform(F.sequence(F.lit(0), F.lit(20)), lambda k: F.round(k / F.lit(20.0), 2))))
-    return w.select("weight", "probe_id", "gallery_id", (F.col("weight") * F.col("score") + (1 - F.col("weight")) * F.col("other")).alias("score"))
+    weights = [round(k / 20, 2) for k in range(21)]
+    fused = lambda w: F.round(w * F.col("score") + (1 - w) * F.col("other"), SCORE_DECIMALS)
+    best = both.groupBy("probe_id").agg(*[F.min_by("gallery_id", F.struct(-fused(w), F.col("gallery_id"))).alias(f"_{k}") for k, w in enumerate(weights)])
+    each = F.explode(F.array(*[F.struct(F.lit(w).alias("weight"), F.col(f"_{k}").alias("gallery_id")) for k, w in enumerate(weights)]))
+    return best.select("probe_id", each.alias("v")).select("v.weight", "probe_id", "v.gallery_id")

@@ -53,7 +53,7 @@ def sides(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataF
 def identified(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Decisions, captures, gallery."""
     c, g, p = sides(spark, sf_dir)
-    return identification.decisions(scoring.score_blocks(p, g), c.select("sample_id", "subject_id")), c, g
+    return identification.decide(p, g), c, g
 
 
 def verified(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,8 +307,7 @@ def fuse_weighted(spark, sf_dir):
 def weight_sweep(spark, sf_dir):
     """Rank-1 rate of each weight, in one plan."""
     c = captures(spark, sf_dir).select("sample_id", "subject_id")
-    s = scoring.weight_sweep(*halves(spark, sf_dir)).withColumn("score", F.round("score", 9))
-    best = s.groupBy("weight", "probe_id").agg(F.min_by("gallery_id", F.struct(-F.col("score"), F.col("gallery_id"))).alias("gallery_id"))
+    best = scoring.weight_sweep(*halves(spark, sf_dir))
     x = best.join(c.select(F.col("sample_id").alias("probe_id"), F.col("subject_id").alias("t")), "probe_id").join(c.select(F.col("sample_id").alias("gallery_id"), F.col("subject_id").alias("u")), "gallery_id")
     return x.groupBy("weight").agg(r6(F.avg((F.col("t") == F.col("u")).cast("double")), "rank1"))
 
@@ -610,13 +609,13 @@ def lda_project(spark, sf_dir):
     return _flat(estimators.fit_lda(c).transform(c))
 
 
-def _kernel(spark, sf_dir, f):
-    return _flat(K.apply(captures(spark, sf_dir), "embedding", f, (8, 8)))
+def _kernel(spark, sf_dir, f, batched=False):
+    return _flat(K.apply(captures(spark, sf_dir), "embedding", f, (8, 8), batched=batched))
 
 
 @query
 def lbp(spark, sf_dir):
-    return _kernel(spark, sf_dir, lambda a: K.lbp(a, blocks=2))
+    return _kernel(spark, sf_dir, lambda a: K.lbp(a, blocks=2), True)
 
 
 @query

@@ -69,6 +69,19 @@ def test_one_probe_at_rank_two(spark):
     assert len(rates) == 20 and rates[1] == 1.0 and rates == sorted(rates)
 
 
+def test_decisions_inside_batches_equal_those_of_scores(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, f"S{i % 5:03d}", np.round(rng.normal(size=4), 1).tolist()) for i in range(60)] + [(90, "S999", [0.1, 0.2, 0.3, 0.4])]
+    df = spark.createDataFrame(rows, "sample_id long, subject_id string, embedding array<double>")
+    g, p = df.where("sample_id < 12"), df.where("sample_id >= 12")
+    by_scores = sorted(tuple(r) for r in identification.decisions(scoring.score_blocks(p, g), df.select("sample_id", "subject_id")).collect())
+    assert sorted(tuple(r) for r in identification.decide(p, g).collect()) == by_scores and (90, "S999") in {r[:2] for r in by_scores if r[3] is None}
+    pairs = sorted(tuple(r) for r in scoring.all_pairs(df).collect())
+    monkeypatch.setattr(scoring, "held_gallery", lambda *a: None)
+    assert sorted(tuple(r) for r in identification.decide(p, g).collect()) == by_scores
+    assert sorted(tuple(r) for r in scoring.all_pairs(df).collect()) == pairs and len(pairs) == 61 * 60 // 2
+
+
 def test_identification_errors(spark):
     s, _, d = ranked(spark, np.ones((1, 2)), "Z", "AB")
     with pytest.raises(ValueError, match="gallery"):
@@ -104,7 +117,7 @@ def test_fusion(spark):
     a = spark.createDataFrame([(1, 1, 0.5)], "probe_id long, gallery_id long, score double")
     b = spark.createDataFrame([(1, 1, 0.25)], "probe_id long, gallery_id long, score double")
     assert scoring.fuse(a, b, "product").first()["score"] == 0.125
-    assert scoring.weight_sweep(a, b).count() == 21
+    assert sorted(tuple(r) for r in scoring.weight_sweep(a, b).collect()) == [(round(k / 20, 2), 1, 1) for k in range(21)]
     with pytest.raises(ValueError):
         scoring.fuse(a, b, "weighted_sum", 2)
     assert scoring.fit_normaliser(a) == {"mean": 0.5, "std": 1.0, "lo": 0.5, "hi": 1.5}
