@@ -1,7 +1,9 @@
 """Templates that are fitted on training rows only: principal components and linear discriminants.
 
-Fits need second moments, which aggregate by partition: the covariance is summed over Arrow batches and
-only d x d sums reach the driver (d the length of a template), whatever the number of rows.
+Fits need second moments: each task sums them over its Arrow batches, the tasks' matrices are added in
+executors block of rows by block of rows, and one d x d sum reaches the driver (d the length of a
+template), whatever the number of rows, tasks and subjects. Discriminants need one vector for each
+subject besides, and those stay in executors, where their outer products are summed likewise.
 """
 
 from __future__ import annotations
@@ -51,27 +53,57 @@ class Projection:
             return Projection(z["mean"], z["axes"], z["explained"])
 
 
-def moments(df: DataFrame, vector: str = "embedding", by: str | None = None) -> dict:
-    """Counts, sums and sums of outer products, in all or by a key."""
+#: Rows of a d x d matrix that are added in one group.
+MATRIX_ROWS = 64
+
+
+def moments(rows: DataFrame, vector: str = "v", weight: str | None = None) -> tuple[float, np.ndarray, np.ndarray]:
+    """Number of rows, sum of their vectors, and sum of the outer products. With ``weight``, a row stands
+    for a group: its vector is the group's sum, and its outer product is divided by the group's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict = {}
+        n, s, ss = 0.0, None, None
+        for b in batches:
+            if not len(b):
+                continue
+            m, w = _matrix(b.column(1)), b.column(0).to_numpy()
+            n, s = n + w.sum(), m.sum(0) + (0 if s is None else s)
+            ss = (m / w[:, None]).T @ m + (0 if ss is None else ss)
+        if s is not None:
+            for at in range(0, len(s), MATRIX_ROWS):
+                yield pa.RecordBatch.from_pydict({"part": pa.array([at], pa.int32()), "sums": pa.array([ss[at : at + MATRIX_ROWS].tobytes()], pa.binary())})
+            yield pa.RecordBatch.from_pydict({"part": pa.array([-1], pa.int32()), "sums": pa.array([np.append(s, n).tobytes()], pa.binary())})
+
+    def add(key, table):
+        total = sum(np.frombuffer(b) for b in table.column("sums").to_pylist())
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "sums": pa.array([total.tobytes()], pa.binary())})
+
+    of = F.col(weight).cast("double") if weight else F.lit(1.0)
+    parts = rows.select(of.alias("w"), doubles(F.col(vector)).alias("v")).mapInArrow(run, "part int, sums binary").groupBy("part").applyInArrow(add, "part int, sums binary").collect()
+    if not parts:
+        raise ValueError("there are no rows to fit")
+    found = {r["part"]: np.frombuffer(r["sums"]) for r in parts}
+    first = found.pop(-1)
+    return float(first[-1]), first[:-1], np.concatenate([found[k] for k in sorted(found)]).reshape(len(first) - 1, -1)
+
+
+def subject_sums(train: DataFrame, vector: str = "embedding") -> DataFrame:
+    """Rows (subject_id, n, v): each subject's count and vector sum, added up within batches first."""
+
+    def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            m = _matrix(b.column(1))
-            keys = np.array(b.column(0).to_pylist(), object)
-            for k in dict.fromkeys(keys):
-                x = m[keys == k]
-                n, s, ss = held.get(k, (0, 0.0, 0.0))
-                held[k] = (n + len(x), s + x.sum(0), ss + x.T @ x)
-        rows = [(k, n, s.tobytes(), ss.tobytes()) for k, (n, s, ss) in held.items()]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.string(), pa.int64(), pa.binary(), pa.binary()))], ["key", "n", "s", "ss"])
-
-    key = F.col(by).cast("string") if by else F.lit("")
-    out: dict = {}
-    for r in df.select(key.alias("key"), doubles(F.col(vector)).alias("v")).mapInArrow(run, "key string, n long, s binary, ss binary").collect():
-        n, s, ss = out.get(r["key"], (0, 0.0, 0.0))
-        out[r["key"]] = (n + r["n"], s + np.frombuffer(r["s"]), ss + np.frombuffer(r["ss"]).reshape(len(r["s"]) // 8, -1))
-    return out
+            if len(b):
+                names, at = np.unique(np.array(b.column(0).to_pylist(), object).astype(str), return_inverse=True)
+                m = _matrix(b.column(1))
+                v = np.zeros((len(names), m.shape[1]))
+                np.add.at(v, at, m)
+                yield pa.RecordBatch.from_pydict({"subject_id": pa.array(names.tolist()), "n": pa.array(np.bincount(at)), "v": pa.array(list(v), pa.list_(pa.float64()))})
+
+    def total(key, table):
+        return pa.table({"subject_id": [key[0].as_py()], "n": pa.array([sum(table.column("n").to_pylist())], pa.int64()), "v": pa.array([_matrix(table.column("v")).sum(0)], pa.list_(pa.float64()))})
+
+    kind = "subject_id string, n long, v array<double>"
+    return train.select(F.col("subject_id").cast("string"), doubles(F.col(vector)).alias("v")).mapInArrow(partial, kind).groupBy("subject_id").applyInArrow(total, kind)
 
 
 def _signed(axes: np.ndarray) -> np.ndarray:
@@ -82,32 +114,33 @@ def _signed(axes: np.ndarray) -> np.ndarray:
 
 def fit_pca(train: DataFrame, vector: str = "embedding", keep: float = 0.95, most: int = 150) -> Projection:
     """Components up to the first at which ``keep`` of the variance is reached, at most ``most``."""
-    n, s, ss = moments(train, vector)[""]
+    n, s, ss = moments(train, vector)
     mean = s / n
     values, axes = np.linalg.eigh(ss / n - np.outer(mean, mean))
     values, axes = np.maximum(values[::-1], 0), axes[:, ::-1]
     share = np.cumsum(values) / max(values.sum(), 1e-300)
-    k = min(int(np.searchsorted(share, keep - 1e-12)) + 1, most, n, len(values))
+    k = min(int(np.searchsorted(share, keep - 1e-12)) + 1, most, int(n), len(values))
     return Projection(mean, _signed(axes[:, :k]), values[:k] / max(values.sum(), 1e-300))
 
 
 def fit_lda(train: DataFrame, vector: str = "embedding", most: int = 50) -> Projection:
     """Directions that part the subjects, at most one fewer than subjects. Needs more rows than subjects;
     with a single subject, the mean residual."""
-    by = moments(train, vector, "subject_id")
-    n = sum(x[0] for x in by.values())
-    total = sum(x[1] for x in by.values())
+    by = subject_sums(train, vector)
+    subjects = by.count()
+    n, total, ss = moments(train, vector)
     mean = total / n
-    if len(by) == 1:
+    if subjects == 1:
         return Projection(mean, np.full((len(mean), 1), 1 / len(mean)), np.ones(1))
-    if n <= len(by):
+    if n <= subjects:
         raise ValueError("discriminants need more samples than subjects")
-    within = sum(ss - np.outer(s, s) / k for k, s, ss in by.values()) / (n - len(by))
-    between = sum(k * np.outer(s / k - mean, s / k - mean) for k, s, _ in by.values()) / n
+    _, _, means = moments(by, "v", "n")
+    within = (ss - means) / (n - subjects)
+    between = (means - np.outer(total, total) / n) / n
     values, axes = np.linalg.eigh(within)
     good = values > 1e-10 * values.max()
     white = axes[:, good] / np.sqrt(values[good])
     power, turn = np.linalg.eigh(white.T @ between @ white)
-    k = min(most, len(by) - 1, len(power))
+    k = min(most, subjects - 1, len(power))
     power, turn = power[::-1][:k], turn[:, ::-1][:, :k]
     return Projection(mean, _signed(white @ turn), power / max(power.sum(), 1e-300))

@@ -1,5 +1,7 @@
 """DuckDB SQL for the queries of ``queries.py``, written on its own from the operators' definitions."""
 
+from .oracle_kernels import KERNELS, deviate
+
 ORACLE: dict[str, str] = {}
 
 #: Captures, gallery, probes.
@@ -204,3 +206,6 @@ ORACLE["timing_table"] = f"{_RUNS} SELECT arm, round(quantile_cont(rank1, 0.5),
 ORACLE["json_metrics"] = "SELECT event_type, count(k) AS n, sum(k)::BIGINT AS total, round(avg(k), 6) AS mean FROM (SELECT event_type, (props::JSON ->> 'k')::BIGINT AS k FROM events) GROUP BY 1"
 ORACLE["pareto_frontier"] = """SELECT DISTINCT p_size AS accuracy, p_retailprice::DOUBLE AS cost FROM part a
  WHERE NOT EXISTS (SELECT 1 FROM part b WHERE (b.p_size > a.p_size AND b.p_retailprice <= a.p_retailprice) OR (b.p_size = a.p_size AND b.p_retailprice < a.p_retailprice))"""
+
+ORACLE |= KERNELS
+ORACLE["det_deviates"] = f"""{_TIES}, {_ROC} SELECT round(fpr, 6) AS far, round(1 - tpr, 6) AS frr, round({deviate('fpr')}, 6) AS far_deviate, round({deviate('(1 - tpr)')}, 6) AS frr_deviate FROM roc"""

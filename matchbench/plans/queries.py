@@ -590,7 +590,7 @@ def pareto_frontier(spark, sf_dir):
     return reporting.pareto(read(spark, sf_dir, "part").select(F.col("p_size").alias("accuracy"), F.col("p_retailprice").cast("double").alias("cost")), "accuracy", "cost")
 
 
-# --- fitted templates and kernels: no SQL, held against numpy in tests -----------------------------------
+# --- fitted templates and kernels: those without SQL (PCA, LDA, Procrustes in space) are held against numpy in tests ---
 
 
 def _flat(df):

@@ -181,6 +181,17 @@ def test_kernels():
     r, s, t = K.similarity(p, 2.5 * p @ turn.T + 1)
     assert np.allclose(r, turn) and s == pytest.approx(2.5) and np.allclose(t, 1)
     assert np.allclose(K.procrustes(p, p), p)
+    q = rng.random((9, 3))
+    moved = K.procrustes(p, q)
+    worse = [np.linalg.norm(K.move(p, r, s * f, t) - q) for f in (0.98, 1.02) for r, s, t in [K.similarity(p, q)]]
+    assert all(np.linalg.norm(moved - q) < w for w in worse)
+    for k in range(3):  # no small turn brings the points closer
+        for e in (-0.01, 0.01):
+            g = np.eye(3)
+            i, j = (k + 1) % 3, (k + 2) % 3
+            g[i, i] = g[j, j] = np.cos(e)
+            g[i, j], g[j, i] = np.sin(e), -np.sin(e)
+            assert np.linalg.norm((moved - q.mean(0)) @ g - q + q.mean(0)) > np.linalg.norm(moved - q)
     z = K.rasterise(np.array([[0.0, 0, 1], [7, 0, 1], [0, 7, 1]]), np.array([[0, 1, 2]]), 8)
     assert z[0, 0] == 1 and np.isnan(z[7, 7])
     flat, holes = K.range_image(np.full((32, 32), np.nan))
@@ -210,7 +221,14 @@ def test_pca_equals_svd(spark):
     assert np.allclose(p.explained, (s**2 / (s**2).sum())[: len(p.explained)])
     got = np.array([r["template"] for r in p.transform(rows).orderBy("sample_id").collect()])
     assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ v[: got.shape[1]].T))
-    assert estimators.fit_lda(rows).axes.shape[1] == 3
+    lda, y = estimators.fit_lda(rows), np.arange(40) % 4
+    means = np.array([x[y == k].mean(0) for k in range(4)])
+    within = sum((x[y == k] - means[k]).T @ (x[y == k] - means[k]) for k in range(4)) / 36
+    between = sum(10 * np.outer(m - x.mean(0), m - x.mean(0)) for m in means) / 40
+    w, v = np.linalg.eigh(within)
+    power = np.linalg.eigvalsh((v / np.sqrt(w)).T @ between @ (v / np.sqrt(w)))[::-1][:3]
+    assert lda.axes.shape[1] == 3 and np.allclose(lda.explained, power / power.sum())
+    assert np.allclose(lda.axes.T @ within @ lda.axes, np.eye(3)) and np.allclose(lda.axes.T @ between @ lda.axes, np.diag(power))
     with pytest.raises(ValueError):
         estimators.fit_lda(rows.limit(4))
 
