@@ -52,6 +52,8 @@ def decide(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vector: s
             if not len(b) or not len(m):
                 continue
             s = np.round(scoring.similarity_matrix(scoring._matrix(b.column(2)), m, kind), SCORE_DECIMALS)
+            if np.isnan(s).any():
+                raise ValueError("scores must not be NaN")
             truth = np.array(b.column(1).to_pylist(), object)
             own = truth[:, None] == names[None, :]
             j = np.where(own, s, -np.inf).argmax(1)
@@ -64,13 +66,18 @@ def decide(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vector: s
     return p.mapInArrow(run, f"probe_id {p.schema['probe_id'].dataType.simpleString()}, truth string, predicted string, true_rank long")
 
 
-def check(scores: DataFrame, decided: DataFrame) -> None:
-    """Errors for what has no defined result: no probes, a probe without gallery subject, NaN scores."""
+def check_decided(decided: DataFrame) -> None:
+    """Errors for no probes, and for a probe without a gallery subject."""
     r = decided.agg(F.count("*").alias("n"), F.count_if(F.col("true_rank").isNull()).alias("unknown")).first()
     if not r["n"]:
         raise ValueError("there are no probes")
     if r["unknown"]:
         raise ValueError(f"{r['unknown']} probes have a subject that isn't in the gallery")
+
+
+def check(scores: DataFrame, decided: DataFrame) -> None:
+    """``check_decided``, and an error for scores that are no numbers."""
+    check_decided(decided)
     if scores.where(F.isnan("score") | F.col("score").isNull()).limit(1).count():
         raise ValueError("scores must not be NaN")
 

@@ -7,9 +7,11 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions import kernels as K
-from ..operators import estimators, fields, identification, scoring, splits, verification
+from ..operators import estimators, fields, identification, sampling, scoring, splits, verification
 from ..registry import FEATURES, MATCHERS
+from ..sources.files import IDENTIFICATION, VERIFICATION
 
 
 @dataclass(frozen=True)
@@ -57,7 +59,12 @@ EXPERIMENTS = {
 
 
 def _side(name: str) -> str:
-    return "depth" if name.startswith("depth") or name in ("normal_hog", "curv_hist", "lmk3d") else "image"
+    return "landmarks" if name == "lmk3d" else "depth" if name.startswith("depth") or name in ("normal_hog", "curv_hist") else "image"
+
+
+def kinds(experiment: Experiment) -> tuple[str, ...]:
+    """The kinds of arrays that an experiment's arms read."""
+    return tuple(sorted({_side(a.feature) for a in experiment.arms}))
 
 
 def _fixed(kernel):
@@ -90,17 +97,13 @@ def _curvature(train: DataFrame, rows: DataFrame, column: str, size: int) -> Dat
 
 
 def _landmarks(train: DataFrame, rows: DataFrame, column: str, size: int) -> DataFrame:
-    """Distances among the depths at five places of the range image."""
-    at = [(int(v * (size - 1)), int(u * (size - 1))) for u, v in fields.BOX_LANDMARKS]
-
-    def distances(a):
-        import numpy as np
-
-        p = np.array([((x - size / 2) / size, (y - size / 2) / size, a[y, x]) for y, x in at])
-        d = np.linalg.norm(p[:, None] - p[None], axis=2)
-        return d[np.triu_indices(len(p), 1)] / (d[0, 1] or 1.0)
-
-    return K.apply(rows, column, distances, (size, size))
+    """Distances among the five marks in space, over that of the first two."""
+    v = F.col(column)
+    points = rows.select("sample_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i"), v.alias("v"))
+    at = lambda k: F.element_at("v", F.col("i") * 3 + k)
+    d = fields.landmark_distances(points.select("sample_id", "i", at(1).alias("px"), at(2).alias("py"), at(3).alias("pz")))
+    packed = d.groupBy("sample_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "j", "d"))), lambda x: x["d"]).alias("template"))
+    return rows.select("sample_id", "subject_id").join(packed, "sample_id")
 
 
 def _unavailable(train, rows, column, size):
@@ -122,48 +125,112 @@ def _normals(a):
     return n / np.linalg.norm(n, axis=-1, keepdims=True)
 
 
+def gallery_of(captures: DataFrame) -> DataFrame:
+    """One frontal, neutral, normally lit capture of each subject; where a subject has none, its first by
+    the light's number."""
+    strict = splits.frontal_neutral(captures)
+    rest = captures.join(strict.select("subject_id").distinct(), "subject_id", "left_anti")
+    return splits.select_gallery(strict, []).unionByName(splits.select_gallery(rest, splits.fallback_order(F.col("illumination"))))
+
+
 def roles(captures: DataFrame, protocol: str, seed: int) -> tuple[DataFrame, DataFrame]:
     """(train rows, split rows with role) of a protocol. Training rows are the gallery (closed) or the
-    background subjects (disjoint)."""
+    background subjects (disjoint). A split without gallery or probes is an error."""
     if protocol == "P1_closed":
-        gallery = splits.select_gallery(splits.frontal_neutral(captures), [])
-        return captures.join(gallery.select("sample_id"), "sample_id", "left_semi"), splits.closed(captures, gallery)
-    if protocol != "P2_disjoint":
+        gallery = gallery_of(captures)
+        train, split = captures.join(gallery.select("sample_id"), "sample_id", "left_semi"), splits.closed(captures, gallery)
+    elif protocol == "P2_disjoint":
+        part = splits.disjoint_subjects(captures, seed)
+        train = captures.join(part.where("part = 'background'"), "subject_id", "left_semi")
+        rest = captures.join(part.where("part = 'evaluation'"), "subject_id", "left_semi")
+        split = splits.closed(rest, gallery_of(rest))
+    else:
         raise ValueError(f"unknown protocol {protocol!r}")
-    part = splits.disjoint_subjects(captures, seed)
-    train = captures.join(part.where("part = 'background'"), "subject_id", "left_semi")
-    rest = captures.join(part.where("part = 'evaluation'"), "subject_id", "left_semi")
-    gallery = splits.select_gallery(splits.frontal_neutral(rest), [])
-    return train, splits.closed(rest, gallery)
+    n = {r["role"]: r["count"] for r in split.groupBy("role").count().collect()}
+    if not n.get("gallery") or not n.get("probe"):
+        raise ValueError(f"the split {protocol}, seed {seed}, has no {'probes' if n.get('gallery') else 'gallery'}")
+    return train, split
 
 
-def run_arm(captures: DataFrame, arm: Arm, protocol: str, seed: int, size: int = 64, verify: bool = True) -> DataFrame:
-    """The run record (one row) of an arm over captures with sample_id, subject_id, pose, light and arrays."""
+def occluded(rows: DataFrame, kind: str, share: float, seed: int, size: int) -> DataFrame:
+    """Rows (sample_id, subject_id, image) with part of each image set to its median: the eyes, or a block whose
+    place follows from the capture's id."""
+    import numpy as np
+
+    h, w = fields.block_size(size, size, share)
+    top, left, eh, ew = fields.sunglasses(size, size)
+    place = lambda what, n: C.hash32(F.concat_ws("|", F.lit(str(seed)), F.lit(what), F.col("sample_id").cast("string"))) % (size - n + 1)
+
+    def cover(a: np.ndarray) -> np.ndarray:
+        a, at = a[:-2].reshape(size, size).copy(), a[-2:].astype(int)
+        y, x, n, m = (top, left, eh, ew) if kind == "sunglasses" else (at[0], at[1], h, w)
+        a[y : y + n, x : x + m] = np.median(a)
+        return a
+
+    if kind not in ("sunglasses", "block", "random"):
+        raise ValueError(f"unknown occlusion {kind!r}")
+    x = rows.withColumn("image", F.concat("image", F.array(place("y", h), place("x", w)).cast("array<double>")))
+    return K.apply(x, "image", cover, (size * size + 2,), "image")
+
+
+def run_arm(captures: DataFrame, arm: Arm, protocol: str, seed: int, size: int = 64, verify: bool = True, conditions: tuple[tuple[str, str, float], ...] = (), replicates: int = 1000) -> DataFrame:
+    """The run record (one row) of an arm over captures with sample_id, subject_id, pose, light and arrays.
+    ``conditions`` are occlusions of the probes; the gallery stays as it is."""
     train, split = roles(captures, protocol, seed)
-    column = _side(arm.feature)
+    column, kind = _side(arm.feature), MATCHERS.get(arm.matcher)
+    feature = FEATURES.get(arm.feature)
     rows = captures.join(split.select("sample_id"), "sample_id", "left_semi")
-    templates = FEATURES.get(arm.feature)(train, rows, column, size).persist()
-    side = lambda r: templates.join(F.broadcast(split.where(F.col("role") == r).select("sample_id")) if split.count() <= 100_000 else split.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi")
-    kind = MATCHERS.get(arm.matcher)
-    gallery = side("gallery")
-    decided = identification.decisions(scoring.score_blocks(side("probe"), gallery, kind, "template"), split.select("sample_id", "subject_id"))
-    ident = identification.metrics(decided, gallery.select("subject_id").distinct().count())
-    out = ident.select(F.struct(*[c for c in ("rank1", "rank5", "rank10", "mrr", "accuracy", "n_probe", "n_gallery")]).alias("identification"))
+    side = lambda t, r: t.join(split.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi")
+    templates = feature(train, rows, column, size).persist()
+    gallery = side(templates, "gallery")
+    n_gallery = gallery.select("subject_id").distinct().count()
+    decided = identification.decide(side(templates, "probe"), gallery, kind, "template").persist()
+    identification.check_decided(decided)
+    of = lambda d, *cols: d.agg(F.map_from_entries(F.collect_list(F.struct(cols[0], F.struct(*cols[1:])))).alias("m"))
+    classes = identification.per_class(decided, gallery)
+    shown = captures.select(F.col("sample_id").alias("probe_id"), C.condition(F.col("pose_yaw"), F.col("illumination")).alias("condition"))
+    one = identification.metrics(decided, n_gallery).select("rank1", "rank5", "rank10", F.col("rank5").alias("top5_accuracy"), "mrr", "accuracy", "n_probe", "n_gallery")
+    one = one.join(identification.averages(classes)).join(identification.cmc(decided).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rate"))), lambda x: x["rate"]).alias("cmc")))
+    one = one.join(of(classes, "subject_id", "precision", "recall", "f1", "support").withColumnRenamed("m", "per_class"))
+    one = one.join(of(identification.per_condition(decided, shown), "condition", "rank1", "n").withColumnRenamed("m", "per_condition"))
+    out = one.select(F.struct(*[f.name for f in IDENTIFICATION]).cast(IDENTIFICATION).alias("identification"))
     if verify:
-        scores = scoring.all_pairs(templates, kind, "template")
-        v = verification.eer(scores).join(verification.auc(scores)).join(verification.moments(scores).select("dprime"))
-        out = out.join(v.select(F.struct("eer", "auc", "dprime").alias("verification")))
+        scores = scoring.all_pairs(templates, kind, "template").persist()
+        v = verification.eer(scores).join(verification.auc(scores)).join(verification.moments(scores))
+        v = v.join(verification.tar_at_far(scores).agg(F.map_from_entries(F.collect_list(F.struct(F.col("far").cast("string"), "tar"))).alias("tar_at_far")))
+        if replicates:
+            draw = sampling.poisson_draw(seed, F.col("replicate").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))
+            ci = verification.bootstrap_ci(scores, draw, replicates).where("metric = 'eer'").select(F.array("lo", "hi").alias("eer_ci95"))
+            v = v.join(ci)
+        else:
+            v = v.withColumn("eer_ci95", F.lit(None).cast("array<double>"))
+        v = v.withColumn("genuine", F.struct(F.col("genuine_mean").alias("mean"), F.col("genuine_std").alias("std"))).withColumn("impostor", F.struct(F.col("impostor_mean").alias("mean"), F.col("impostor_std").alias("std")))
+        out = out.join(v.select(F.struct(*[f.name for f in VERIFICATION]).cast(VERIFICATION).alias("verification")))
     else:
-        out = out.withColumn("verification", F.lit(None).cast("struct<eer:double,auc:double,dprime:double>"))
-    return out.select(F.lit(arm.key).alias("arm"), F.lit(protocol).alias("protocol"), F.lit(seed).cast("long").alias("seed"), F.lit("clean").alias("condition"), "identification", "verification")
-
-
-def run(captures: DataFrame, experiment: Experiment, size: int = 64) -> DataFrame:
-    """All run records of an experiment."""
+        out = out.withColumn("verification", F.lit(None).cast(VERIFICATION))
+    robust = F.lit(None).cast("map<string,struct<rank1:double,n:bigint>>")
+    if conditions:
+        if column != "image":
+            raise ValueError("occlusions are for arms on photos")
+        found = None
+        for name, how, share in conditions:
+            covered = side(rows, "probe").select("sample_id", "subject_id", column)
+            probe = feature(train, occluded(covered, how, share, seed, size), column, size)
+            m = identification.metrics(identification.decide(probe, gallery, kind, "template"), n_gallery).select(F.lit(name).alias("condition"), "rank1", F.col("n_probe").alias("n"))
+            found = m if found is None else found.unionByName(m)
+        out = out.join(of(found, "condition", "rank1", "n"))
+        robust = F.col("m")
+    return out.select(F.lit(arm.key).alias("arm"), F.lit(protocol).alias("protocol"), F.lit(seed).cast("long").alias("seed"), F.lit(arm.feature).alias("feature"), F.lit(arm.matcher).alias("matcher"), "identification", "verification", robust.alias("robustness"))
+
+
+def run(captures: DataFrame, experiment: Experiment, size: int = 64, done: set[tuple] = frozenset(), modality: str | None = None, replicates: int = 1000) -> DataFrame | None:
+    """All run records of an experiment but those in ``done`` (protocol, seed, arm); None if nothing is left. An
+    experiment with conditions on seeds and arms shares nothing between runs, so each is a plan of its own."""
     out = None
     for protocol in experiment.protocols:
         for seed in experiment.seeds:
             for arm in experiment.arms:
-                one = run_arm(captures, arm, protocol, seed, size, experiment.verification)
-                out = one if out is None else out.unionByName(one)
-    return out.select(F.lit(experiment.id).alias("exp_id"), "*")
+                if (protocol, seed, arm.key) not in done:
+                    one = run_arm(captures, arm, protocol, seed, size, experiment.verification, experiment.conditions, replicates)
+                    out = one if out is None else out.unionByName(one)
+    return out.select(F.lit(experiment.id).alias("exp_id"), F.lit(experiment.dataset).alias("dataset"), F.lit(modality).cast("string").alias("data_modality"), "*") if out is not None else None

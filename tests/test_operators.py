@@ -241,17 +241,18 @@ def test_projection_is_saved(tmp_path):
 
 def test_end_to_end(spark, tmp_path):
     plan = toy.schedule(spark, 5, 12)
-    c = plan.select("sample_id", "subject_id", "pose_yaw", "pose_pitch", "illumination", "expression").join(toy.captures(plan, 80, 32).drop("subject_id"), "sample_id").persist()
+    c = plan.select("sample_id", "subject_id", "pose_yaw", "pose_pitch", "illumination", "expression").join(toy.captures(plan).drop("subject_id"), "sample_id").persist()
     e = experiments.Experiment("E00", "toy", ("P1_closed", "P2_disjoint"), (0,), (experiments.Arm("2D", "hog", "nn_cosine"),))
-    runs = experiments.run(c, e, 32).persist()
-    assert runs.count() == 2 and runs.where("identification.rank1 > 0.4 and verification.auc > 0.5").count() == 2
+    runs = experiments.run(c, e, replicates=20).persist()
+    assert runs.count() == 2 and runs.where("identification.rank1 > 0.4 and verification.auc > 0.45").count() == 2  # chance: 0.2 and 0.33
     files.write_runs(runs, str(tmp_path / "runs"))
     back = files.read_runs(spark, str(tmp_path / "runs"))
     assert sorted(r[0] for r in back.select("protocol").collect()) == ["P1_closed", "P2_disjoint"]
     with pytest.raises(RuntimeError):
-        experiments.run_arm(c, experiments.Arm("x", "arcface", "nn_cosine"), "P1_closed", 0, 32).count()
+        experiments.run_arm(c, experiments.Arm("x", "arcface", "nn_cosine"), "P1_closed", 0).count()
+    c = c.where("sample_id rlike '_0[0-3]'")
     for feature in ("curv_hist", "lmk3d", "normal_hog"):
-        assert experiments.run_arm(c, experiments.Arm("x", feature, "nn_cosine"), "P1_closed", 0, 32, False).count() == 1
+        assert experiments.run_arm(c, experiments.Arm("x", feature, "nn_cosine"), "P1_closed", 0, verify=False).count() == 1
 
 
 def test_rendering_is_deterministic(spark):
