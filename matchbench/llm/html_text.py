@@ -39,8 +39,8 @@ from .common import fresh, materialize, small
 
 #: Partners whose lines are broadcast at most; more are joined by shuffle.
 BROADCAST_KEYS = 100_000
-#: Path segments by which pages are paired.
-DEPTH = 4
+#: Bytes of their keys that may be broadcast.
+BROADCAST_BYTES = 32 << 20
 #: Elements by what they do.
 HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -58,8 +58,13 @@ CLOSED_BY = {
     "p": frozenset({"p"}), "li": frozenset({"li"}), "dt": frozenset({"dt", "dd"}), "dd": frozenset({"dt", "dd"}), "tr": frozenset({"tr", "td", "th"}),
     "td": frozenset({"td", "th"}), "th": frozenset({"td", "th"}), "option": frozenset({"option"}),
 }
-_NAMED = re.compile(r"(?i)(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|share|social|sidebar|side|menu|nav\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|related|widget|toolbar|pagination|pager)(?:$|[\s_-])")
-_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+#: Class names of furniture: one of these words, alone or with words of layout.
+_WHAT = "ads?|advert\\w*|banner|sponsor\\w*|promo\\w*|cookies?|consent|notices?|gdpr|popup|modal|newsletter|subscribe|share|social|sidebar|side|menu|nav\\w*|breadcrumbs?|footer|header|masthead|comments?|replies|reply|related|widget|toolbar|pagination|pager"
+_LAYOUT = "site|page|main|global|top|bottom|left|right|inner|outer|bar|box|block|list|links?|buttons?|icons?|section|area|wrap|wrapper|container|content|item|items|body|title|posts?|articles?|form|thread|unit|slot|inline|policy|row|col|\\d+"
+_NAMED = re.compile(rf"(?i)(?:^|\s)(?:(?:{_LAYOUT})[_-]+)*(?:{_WHAT})(?:[_-]+(?:{_LAYOUT}|{_WHAT}))*(?=\s|$)")
+_READERS = re.compile(r"(?i)(?:^|[\s_-])(?:comments?|repl(?:y|ies))(?:$|[\s_-])")
+#: A quote that isn't closed reaches to the page's end, so no place is read twice.
+_TAG = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?i)\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form".split())
 _SPACE = re.compile(r"\s+")
@@ -67,29 +72,27 @@ _SPACE = re.compile(r"\s+")
 
 def lines_of(page: str) -> list[tuple[str, str]]:
     """Lines as (key, text). The key is ``+`` in the prose of an article, ``=`` elsewhere inside it, the
-    element's name inside furniture, and empty elsewhere. Hidden elements have no lines."""
+    element's name inside furniture, and empty elsewhere. Hidden elements have no lines. Takes time in
+    proportion to the page, however its tags nest."""
     out: list[tuple[str, str]] = []
-    stack: list[tuple[str, str]] = []  # open elements: name, and what they are
+    stack: list[tuple[str, str]] = []  # open elements: name, and the key of what is inside
+    opened: dict[str, int] = {}
     held: list[str] = []
 
-    def state() -> str:
-        content = ""
-        for name, what in stack:
-            if what == "hidden" or what.startswith("!"):
-                return what
-            if what == "+":
-                content = content or "="
-            elif content and name in PROSE:
-                content = "+"
-        return content
-
     def flush() -> None:
-        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip()
+        text = _SPACE.sub(" ", entities.unescape("".join(held))).strip() if held else ""
         held.clear()
-        key = state()
+        key = stack[-1][1] if stack else ""
         if text and key != "hidden":
             out.append((key, text))
 
+    def close(name: str) -> None:
+        while stack:
+            last = stack.pop()[0]
+            opened[last] -= 1
+            if last == name:
+                return
+
     at, end = 0, len(page)
     while at < end:
         m = _TAG.search(page, at)
@@ -105,34 +108,37 @@ def lines_of(page: str) -> list[tuple[str, str]]:
         if name in BLOCKS or name in HIDDEN:
             flush()
         if closing:
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == name:
-                    del stack[i:]
-                    break
+            if opened.get(name):
+                close(name)
             continue
         if name in VOID or m.group(3).endswith("/"):
             continue
         if shut := CLOSED_BY.get(name):
-            for i in range(len(stack) - 1, -1, -1):
+            for i in range(len(stack) - 1, max(-1, len(stack) - 65), -1):  # such elements lie close together
                 if stack[i][0] in shut:
-                    del stack[i:]
+                    close(stack[i][0])
                     break
                 if stack[i][0] in ("ul", "ol", "dl", "table", "div", "article", "section", "td", "body"):
                     break
         named = [next(x for x in a if x) for a in _ATTRIBUTE.findall(m.group(3)) if any(a)]
-        if name in HIDDEN:
-            what = "hidden"
-        elif name in FURNITURE or any(x.lower() in _ROLES or _NAMED.search(x) for x in named) and name not in CONTENT and name not in ("body", "html"):
-            what = "!" + name
+        above = stack[-1][1] if stack else ""
+        inside = above in ("+", "=")
+        if above == "hidden" or above.startswith("!"):
+            key = above
+        elif name in HIDDEN:
+            key = "hidden"
         elif name in CONTENT:
-            what = "+"
+            key = "!" + name if any(_READERS.search(x) for x in named) else "="
+        elif name in FURNITURE and not (name == "header" and inside) or name not in ("body", "html") and any(x.lower() in _ROLES or _NAMED.search(x) for x in named):
+            key = "!" + name
         else:
-            what = ""
-        stack.append((name, what))
+            key = "+" if above == "+" or inside and name in PROSE else above
+        stack.append((name, key))
+        opened[name] = opened.get(name, 0) + 1
         if name in RAW:  # no tags inside
-            close = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
-            stack.pop()
-            at = close.end() if close else end
+            found = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
+            close(name)
+            at = found.end() if found else end
     flush()
     return out
 
@@ -148,7 +154,7 @@ def align_keys(lines: list[tuple[str, str]]) -> list[str | None]:
 
 
 def common_lines(a: list[str | None], b: list[str | None]) -> set[int]:
-    """Places in ``a`` of a longest common subsequence with ``b``. Runs of one furniture element are one
+    """Places in ``a`` of a longest common subsequence with ``b``. Runs of equal keys are one
     key. Equal ends are cut off; the rest is solved by longest increasing subsequences of matches."""
     from bisect import bisect_left
 
@@ -157,7 +163,7 @@ def common_lines(a: list[str | None], b: list[str | None]) -> set[int]:
         for i, k in enumerate(keys):
             if k is None:
                 continue
-            if out and out[-1][0] == k and k.startswith("\0"):
+            if out and out[-1][0] == k:
                 out[-1][1].append(i)
             else:
                 out.append((k, [i]))
@@ -205,7 +211,7 @@ def url_prefixes(url: Column) -> Column:
     """``host/a/b`` and so on, the deepest first, down to the host."""
     bare = F.regexp_replace(F.regexp_replace(F.lower(url), r"^[a-z][a-z0-9+.-]*://", ""), r"[?#].*$", "")
     parts = F.filter(F.split(bare, "/"), lambda x: x != "")
-    n = F.least(F.size(parts), F.lit(DEPTH + 1))
+    n = F.size(parts)
     return F.when(F.size(parts) > 0, F.transform(F.sequence(n, F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "/")))
 
 
@@ -234,7 +240,9 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     wanted = pair.select(F.col("partner").alias(i)).distinct()
     texts = pages.select(F.col(f"`{page_id}`").alias(i), F.col(f"`{html}`").alias("html")).join(small(wanted), i, "left_semi")
     theirs = texts.mapInArrow(cut, T.StructType([T.StructField(p, id_type), T.StructField(keys, T.ArrayType(T.StringType()))])).dropDuplicates([p])
-    theirs = small(materialize(theirs, "html-keys"), BROADCAST_KEYS)
+    theirs = materialize(theirs, "html-keys")
+    size = theirs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join(keys, " "))).alias("b")).first()
+    theirs = F.broadcast(theirs) if size["n"] <= BROADCAST_KEYS and (size["b"] or 0) <= BROADCAST_BYTES else theirs
     pair = pair.select(F.col("page_id").alias(i), F.col("url").alias(u), F.col("partner").alias(p))
     own = pages.join(small(pair), pages[f"`{page_id}`"].eqNullSafe(pair[i]) & (pages[f"`{url}`"] == pair[u]), "left").drop(i, u)
     both = own.join(theirs, p, "left").select(*[f"`{c}`" for c in pages.columns], keys)

@@ -10,7 +10,8 @@ without sorting the source: only block totals and the rows of each source's last
 
 Edge cases: a null source is a source of its own; null or empty texts have 0 tokens and follow their
 hash like others; a source without tokens is taken once; rows with the same key (repeated rows) are
-taken alike, so a budget may be exceeded by such ties and by less than one row; an empty table gives
+taken alike, so a budget may be exceeded by such ties and by less than one row; a budget above all tokens
+times ``max_epochs`` is an error (``ValueError``); an empty table gives
 an empty result; further columns pass through.
 """
 
@@ -87,6 +88,8 @@ def plan_mix(df: DataFrame, spec: MixSpec = MixSpec(), source: str = "source", k
         .selectExpr("total", "alpha", "aggregate(shares, 0D, (a, p) -> a + power(p, alpha)) as z", "power(array_max(shares), 1 - alpha) as least")
         .first()
     )
+    if spec.budget is not None and found["total"] and spec.budget > spec.max_epochs * found["total"]:
+        raise ValueError(f"a budget of {spec.budget} tokens can't be met: {found['total']:.0f} tokens may be read {spec.max_epochs:g} times each")
     total, alpha, z, least = (found["total"], found["alpha"], found["z"], found["least"]) if found["alpha"] is not None else (1.0, 1.0, 1.0, 1.0)
     budget = float(spec.budget) if spec.budget is not None else total * least * z
     weight = F.pow(F.col("n_tokens") / F.lit(total), F.lit(alpha)) / F.lit(z)

@@ -150,6 +150,19 @@ FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source
        JOIN k ON d.source IS NOT DISTINCT FROM k.source AND d.h = k.h"""
 
 
+#: Shingles as words between single spaces; every pair that shares one is counted; links are followed until no new document is reached.
+NEAR_SQL = r"""
+WITH RECURSIVE w AS MATERIALIZED (
+  SELECT doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), []) AS w FROM documents),
+s AS MATERIALIZED (SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS s FROM w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS u(i) WHERE len(w) > 0),
+n AS MATERIALIZED (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS MATERIALIZED (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+e AS MATERIALIZED (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT a, a FROM e UNION SELECT r.doc_id, e.b FROM r JOIN e ON r.reached = e.a),
+c AS (SELECT doc_id, min(reached) AS c FROM r GROUP BY doc_id)
+SELECT w.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(c, w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)"""
+
 #: Each document is matched as a string of words between single spaces, so that a window is found by
 #: plain substring search; items of ten words or more are cut into their windows.
 DECONTAM_SQL = r"""
@@ -199,6 +212,7 @@ FROM pages p LEFT JOIN d ON p.page_id = d.page_id GROUP BY p.page_id, p.url'''
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": _mix_sql(mixing.MixSpec()),
+        "op2_ngram_jaccard_join": NEAR_SQL,
         "op3_decontaminate": DECONTAM_SQL,
         "op4_format_chats": CHAT_SQL,
         "op6_html_text": HTML_SQL,

@@ -52,11 +52,12 @@ _BEGIN, _END = 1, 2
 
 @dataclass(frozen=True)
 class Spec:
-    """The bounds of the training sample, and the machine's parameters."""
+    """The bounds of the sample of labelled rows (``toxic_docs``, ``clean_docs``), and the machine's
+    parameters. ``clean_words`` is where its working set of clean words begins: all others are scored in
+    each round, and those near or inside the margin join."""
 
     toxic_docs: int = 1500
     clean_docs: int = 2500
-    max_chars: int = 20_000
     clean_words: int = 12_000
     landmarks: int = 256
     rounds: int = 4
@@ -336,7 +337,7 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
         if turn < spec.rounds - 1:
             # Clean words that look toxic join the clean ones; toxic documents without a chosen word name their likeliest.
             near = _decide(*_flat(rest), (z @ (root @ beta).astype(np.float32)).astype(np.float64), bias) if rest else np.empty(0)
-            hard = [w for _, w in sorted((-v, w) for v, w in zip(near, rest, strict=True) if v > -0.8)][: spec.clean_words // 4]
+            hard = [w for _, w in sorted((-v, w) for v, w in zip(near, rest, strict=True) if v > -0.8)]
             if hard:
                 xn = np.vstack((xn, _kernels(hard, z) @ root.astype(np.float32)))
                 rest = sorted(set(rest) - set(hard))
@@ -379,7 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Model:
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic")).where(~held_out(F.col("doc_id")))
     order = F.xxhash64("doc_id")
     sample = known.where("toxic = 1").orderBy(order, "doc_id").limit(spec.toxic_docs).union(known.where("toxic <> 1").orderBy(order, "doc_id").limit(spec.clean_docs))
-    texts = docs.select("doc_id", "text").where(F.length("text") <= spec.max_chars)
+    texts = docs.select("doc_id", "text").where("text is not null")
     rows = texts.join(F.broadcast(sample), "doc_id").select((F.col("toxic") == 1).alias("toxic"), "text").distinct()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import os
 import re
 import zlib
 
@@ -10,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from matchbench.llm import chat, components, decontam, html_text, media, mixing, ngram_join, pii, sharding, token_files, toxicity
+from matchbench.llm import chat, components, decontam, html_text, media, mixing, ngram_join, pii, queries, sharding, token_files, toxicity
 from matchbench.llm.wordhash import shingle_sets
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -225,6 +226,24 @@ def test_exponent_meets_the_limit(spark):
         mixing.count_copies(rows.withColumn("copies", F.lit(1)))
 
 
+def test_given_budgets(spark, docs):
+    total = docs.agg(F.sum(mixing.count_tokens(F.col("text")))).first()[0]
+    spec = mixing.MixSpec(budget=int(1.5 * total), max_epochs=4.0)
+    got = mixing.count_copies(docs, spec).agg(F.sum(mixing.count_tokens(F.col("text")) * F.col("copies"))).first()[0]
+    plan = mixing.plan_mix(docs, spec).collect()
+    assert abs(sum(r["budget"] for r in plan) - 1.5 * total) < 5 and 1.5 * total - 5 <= got <= 1.5 * total + 3 * 60_004
+    with pytest.raises(ValueError, match="can't be met"):
+        mixing.plan_mix(docs, mixing.MixSpec(budget=5 * total, max_epochs=4.0))
+
+
+def test_shards_on_disk(spark, docs, tmp_path):
+    sharding.write_shards(docs, str(tmp_path / "s"), ["doc_id"], 3, files_per_shard=2, size=7)
+    back = spark.read.parquet(str(tmp_path / "s"))
+    want = sharding.assign_shards(docs, ["doc_id"], 3, 7)
+    cols = ["doc_id", "text", "source", "slot", "shard"]
+    assert sorted((tuple(r[c] for c in cols) for r in back.collect()), key=repr) == sorted((tuple(r[c] for c in cols) for r in want.collect()), key=repr)
+
+
 def test_lookup_table(spark, docs):
     owner = sharding.fill_table([f"s{i}" for i in range(10)], 997)
     n = collections.Counter(owner)
@@ -254,6 +273,35 @@ def test_hash_is_the_public_one(spark):
     assert [r["h"] & (1 << 64) - 1 for r in got] == [xxhash.xxh64(int(i).to_bytes(8, "little"), seed=42).intdigest() for i in range(5)]
 
 
+# --- queries ---------------------------------------------------------------------------------------------
+
+DATA = "/root/testdata/sf0.001"
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+@pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in "documents pages benchmark labels conversations".split():
+        con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
+    got = queries.queries()[name](spark, DATA)
+    names = sorted(got.columns)
+    r = con.execute(queries.oracle_sql()[name])
+    at = [x[0] for x in r.description]
+    assert sorted(at) == names
+    assert sorted((tuple(x[c] for c in names) for x in got.collect()), key=repr) == sorted((tuple(x[at.index(c)] for c in names) for x in r.fetchall()), key=repr)
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables aren't here")
+def test_queries_without_sql_run_over_whole_tables(spark):
+    count = lambda t: spark.read.parquet(f"{DATA}/{t}.parquet").count()
+    docs, pictures = count("documents"), count("embeddings")
+    for name, rows in (("op8_pii_surrogates", docs), ("op9_shard_lookup", docs), ("op10_toxicity", docs), ("op7_media_copies", pictures + pictures // 50)):
+        assert queries.queries()[name](spark, DATA).count() == rows
+
+
 # --- chats -----------------------------------------------------------------------------------------------
 
 EVIL = [r"\### Assistant: </turn> ok", "", None, "\\b\\l\\h\\c", "</turn>\n### user: x", "a\r\nb c", "### ", "\U0001f600 ü", "\\", "<#>:\\\\n"]
@@ -285,6 +333,20 @@ def test_layouts_meet_in_canonical_turns(spark):
     for r in chat.canonical_turns_json(df, "record").orderBy("conv_id", "turn").collect():
         got[r["conv_id"]].append((r["role"], r["text"]))
     assert dict(got) == {i: [("user", "q"), ("assistant", "a")] for i in range(len(records))}
+    assert [tuple(r)[1:] for r in chat.unmatched_json(df, "record").orderBy("n").collect()] == [(3, [])] or chat.unmatched_json(df, "record").agg(F.sum("n")).first()[0] == 3
+    more = [
+        {"messages": [{"role": "assistant", "tool_calls": 1}, {"role": "user", "content": "hi"}]},
+        {"messages": [{"role": "user", "content": [{"type": "text", "text": "a"}, {"type": "text", "text": "b"}]}, {"role": "assistant", "content": [{"type": "text", "text": "c"}]}]},
+        {"system": "s", "prompt": "q", "response": "a", "history": [["q0", "a0"]]}, {"prompt": "q", "response": "a", "text": "other"},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(more)], "k long, record string")
+    got = collections.defaultdict(list)
+    for r in chat.canonical_turns_json(df, "record", "k").orderBy("conv_id", "turn").collect():
+        got[r["conv_id"]].append((r["role"], r["text"]))
+    assert got[0] == [("assistant", None), ("user", "hi")] and got[1] == [("user", "ab"), ("assistant", "c")] and got[3] == [("user", "q"), ("assistant", "a")]
+    assert got[2] == [("system", "s"), ("user", "q0"), ("assistant", "a0"), ("user", "q"), ("assistant", "a")]
+    rows = spark.createDataFrame([(5, 0, "user", "x")], "k long, turn long, role string, text string")
+    assert [tuple(r) for r in chat.canonical_turns(rows, "k").collect()] == [(5, 0, "user", "x")] and chat.format_turns(chat.canonical_turns(rows.limit(0), "k")).count() == 0
     typed = spark.createDataFrame([(1, "q", "a")], "conv_id long, prompt string, response string")
     assert [(r["role"], r["text"]) for r in chat.canonical_turns(typed).orderBy("turn").collect()] == [("user", "q"), ("assistant", "a")]
     with pytest.raises(ValueError):
@@ -347,6 +409,24 @@ def test_shared_lines_inside_articles_go(spark):
     assert got == {1: "first title\nfirst\nsaid again\nfirst more", 2: "second title\nsecond\nsaid again\nsecond more", 3: "one\ntwo", 4: "one\ntwo", 5: "one\ntwo"}
 
 
+def test_parts_of_pages_by_their_names():
+    lines = lambda h: html_text.main_text(html_text.lines_of(h), None)
+    assert lines("<article><header><h1>Title</h1></header><div class='share-price'><p>12 euros</p></div><div class='share-buttons'><p>Tweet</p></div><p>x</p></article>") == "Title\n12 euros\nx"
+    assert lines("<article><p>x</p></article><article class='comment'><p>me too</p></article>") == "x"
+    assert lines("<body><div class='site-header'>S</div><div id='main-nav'>N</div><p>x</p><div class='related posts'>R</div></body>") == "x"
+
+
+def test_broken_pages_take_linear_time():
+    import time
+
+    began = time.time()
+    for h in ('<a title="x> ' * 20_000 + "'", "<div>" * 50_000 + "x", "</p>" * 50_000 + "<div>" * 50_000 + "</b>" * 50_000, "<p>a<li>" * 30_000, "<!--" * 50_000, '<a "' * 50_000):
+        html_text.lines_of(h)
+    same = ["x"] * 20_000
+    assert html_text.common_lines(same, same[:-1]) == set(range(20_000))
+    assert time.time() - began < 20
+
+
 def test_common_lines_are_longest():
     r = np.random.default_rng(2)
 
@@ -359,6 +439,7 @@ def test_common_lines_are_longest():
 
     for _ in range(100):
         a, b = (list(r.choice(list("abcd"), r.integers(0, 12))) for _ in range(2))
+        a, b = ([k for i, k in enumerate(x) if not i or x[i - 1] != k] for x in (a, b))  # runs are one key
         assert len(html_text.common_lines(a, b)) == longest(a, b)
 
 
@@ -580,3 +661,18 @@ def test_pipeline_stages(spark, tmp_path):
     ids = collections.Counter(x["doc_id"] for x in out.collect())
     assert set(ids) == {i for i in range(160) if i % 8} and set(ids.values()) <= {1, 2}
     assert len(pipeline.STAGES) == 5 and r is not None
+
+
+def test_pipeline_of_awkward_tables(spark, tmp_path):
+    """Nulls in every column, empty texts, repeated rows and further columns; and empty tables."""
+    pipeline = pytest.importorskip("corpus_pipeline")
+    rows = spark.createDataFrame(DOCS, SCHEMA).withColumn("extra", F.lit(1)).withColumn("th", F.lit("x")).withColumn("partner", F.lit(2))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 1, 0), (None, None, 1), (2, 0, None)], "doc_id long, quality int, toxic int")
+    item = spark.createDataFrame([(1, None), (None, "zz zz"), (3, "")], "item_id long, text string")
+    for name, limit in (("full", 1000), ("empty", 0)):
+        for table, df in (("documents", rows), ("labels", labels), ("benchmark", item)):
+            df.limit(limit).write.parquet(str(tmp_path / name / f"{table}.parquet"))
+        out = pipeline.run(spark, str(tmp_path / name)).select("doc_id", "text", "extra", "th", "partner", "slot", "shard")
+        ids = {r["doc_id"] for r in out.collect()}
+        # A document without words stays; one of each group of copies stays.
+        assert ids == ({r[0] for r in brute_components([(r[0], r[1]) for r in DOCS]) if r[0] is not None and (r[2] == r[0] or not r[1])} | {None} if limit else set())
