@@ -5,11 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows that may be sent to every executor in one broadcast; larger sides are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows and bytes that may be sent to every executor in one broadcast; larger sides are joined by shuffle.
+BROADCAST_ROWS, BROADCAST_BYTES = 1_000_000, 32 << 20
 
 _own_dirs: dict[str, str] = {}
 
@@ -58,9 +59,27 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark ``df`` for broadcast when it is counted to have at most ``rows`` rows."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+def row_bytes(df: DataFrame) -> Column:
+    """About how many bytes a row takes: texts by their length, lists by eight bytes an element (lists of
+    texts by their texts), anything else eight."""
+    total = F.lit(16)
+    for f in df.schema.fields:
+        c = F.col(f"`{f.name}`")
+        if isinstance(f.dataType, T.StringType | T.BinaryType):
+            total = total + F.coalesce(F.octet_length(c), F.lit(0)) + 8
+        elif isinstance(f.dataType, T.ArrayType) and isinstance(f.dataType.elementType, T.StringType):
+            total = total + F.coalesce(F.octet_length(F.array_join(c, "12345678")), F.lit(0)) + 8
+        elif isinstance(f.dataType, T.ArrayType):
+            total = total + 8 * F.coalesce(F.size(c), F.lit(0)) * (3 if isinstance(f.dataType.elementType, T.StructType) else 1) + 8
+        else:
+            total = total + 8
+    return total.cast("long")
+
+
+def small(df: DataFrame, rows: int = BROADCAST_ROWS, most: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark ``df``, a written table, for broadcast when it is counted to have at most ``rows`` rows and ``most`` bytes."""
+    r = df.agg(F.count("*").alias("n"), F.sum(row_bytes(df)).alias("b")).first()
+    return F.broadcast(df) if r["n"] <= rows and (r["b"] or 0) <= most else df
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -39,8 +39,6 @@ from .common import fresh, materialize, small
 
 #: Partners whose lines are broadcast at most; more are joined by shuffle.
 BROADCAST_KEYS = 100_000
-#: Bytes of their keys that may be broadcast.
-BROADCAST_BYTES = 32 << 20
 #: Elements by what they do.
 HIDDEN = frozenset("script style noscript template head title svg iframe object select textarea button".split())
 RAW = frozenset("script style textarea title noscript iframe".split())
@@ -241,8 +239,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     texts = pages.select(F.col(f"`{page_id}`").alias(i), F.col(f"`{html}`").alias("html")).join(small(wanted), i, "left_semi")
     theirs = texts.mapInArrow(cut, T.StructType([T.StructField(p, id_type), T.StructField(keys, T.ArrayType(T.StringType()))])).dropDuplicates([p])
     theirs = materialize(theirs, "html-keys")
-    size = theirs.agg(F.count("*").alias("n"), F.sum(F.octet_length(F.array_join(keys, " "))).alias("b")).first()
-    theirs = F.broadcast(theirs) if size["n"] <= BROADCAST_KEYS and (size["b"] or 0) <= BROADCAST_BYTES else theirs
+    theirs = small(theirs, BROADCAST_KEYS)
     pair = pair.select(F.col("page_id").alias(i), F.col("url").alias(u), F.col("partner").alias(p))
     own = pages.join(small(pair), pages[f"`{page_id}`"].eqNullSafe(pair[i]) & (pages[f"`{url}`"] == pair[u]), "left").drop(i, u)
     both = own.join(theirs, p, "left").select(*[f"`{c}`" for c in pages.columns], keys)
