@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -59,6 +61,30 @@ def release(df: DataFrame) -> None:
         at.getFileSystem(conf).delete(at, True)
 
 
+def give_back() -> None:
+    """Return freed memory to the system. Workers stay for later tasks, and what one task needed would count
+    against the executor while JVM stages run."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries do so by themselves
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def giving_back(run: Callable) -> Callable:
+    """A function over Arrow batches that gives memory back when its task ends."""
+
+    def inner(batches: Iterator) -> Iterator:
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return inner
+
+
 def row_bytes(df: DataFrame) -> Column:
     """About how many bytes a row takes: texts by their length, lists by eight bytes an element (lists of
     texts by their texts), anything else eight."""

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import materialize, release
+from .common import giving_back, materialize, release
 
 #: Members that each bucket is compared with, round by round, and buckets of a node used for that.
 ROUNDS = (1, 8)
@@ -96,7 +96,7 @@ def compare_parts(tiles: DataFrame, meet: Callable[[int, pa.Table], tuple[np.nda
         if rest is not None and len(rest):
             yield pairs(rest, True)[0]
 
-    return tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(run, "a long, b long")
+    return tiles.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j").mapInArrow(giving_back(run), "a long, b long")
 
 
 def connect(buckets: DataFrame, filter_pairs: Callable[[DataFrame], DataFrame], compare: Callable[[DataFrame], DataFrame], verify: Callable[[DataFrame], DataFrame | None], compatible: str = "true", rounds: tuple[int, ...] = ROUNDS, extra: tuple[str, ...] = ()) -> DataFrame | None:

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, small
+from .common import fresh, giving_back, materialize, small
 
 #: Partners whose lines are broadcast at most; more are joined by shuffle.
 BROADCAST_KEYS = 100_000
@@ -237,7 +237,7 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     id_type = pages.schema[page_id].dataType
     wanted = pair.select(F.col("partner").alias(i)).distinct()
     texts = pages.select(F.col(f"`{page_id}`").alias(i), F.col(f"`{html}`").alias("html")).join(small(wanted), i, "left_semi")
-    theirs = texts.mapInArrow(cut, T.StructType([T.StructField(p, id_type), T.StructField(keys, T.ArrayType(T.StringType()))])).dropDuplicates([p])
+    theirs = texts.mapInArrow(giving_back(cut), T.StructType([T.StructField(p, id_type), T.StructField(keys, T.ArrayType(T.StringType()))])).dropDuplicates([p])
     theirs = materialize(theirs, "html-keys")
     theirs = small(theirs, BROADCAST_KEYS)
     pair = pair.select(F.col("page_id").alias(i), F.col("url").alias(u), F.col("partner").alias(p))
@@ -250,4 +250,4 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
             texts = [main_text(lines_of(h or ""), k) for h, k in zip(batch.column(at).to_pylist(), batch.column(last).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(texts, pa.string())], [*batch.schema.names[:last], "main_text"])
 
-    return both.mapInArrow(run, T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))
+    return both.mapInArrow(giving_back(run), T.StructType([*pages.schema.fields, T.StructField("main_text", T.StringType())]))

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, release, small
+from .common import giving_back, materialize, release, small
 from .components import compare_parts, connect
 from .wordhash import mix
 
@@ -244,7 +244,7 @@ def describe(media: DataFrame, media_id: str = "media_id", content: str = "media
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sigs, pa.int64()), pa.array(ns, pa.int32()), pa.array(packed, pa.binary())], ["media_id", "sig", "n", "corners"])
 
     x = media.select(F.col(f"`{media_id}`").alias("media_id"), F.col(f"`{content}`").alias("media"))
-    return x.mapInArrow(run, f"media_id {x.schema['media_id'].dataType.simpleString()}, sig long, n int, corners binary")
+    return x.mapInArrow(giving_back(run), f"media_id {x.schema['media_id'].dataType.simpleString()}, sig long, n int, corners binary")
 
 
 def hamming_tables(described: DataFrame) -> DataFrame:
@@ -259,7 +259,7 @@ def hamming_tables(described: DataFrame) -> DataFrame:
             rows = np.concatenate(out)
             yield pa.RecordBatch.from_arrays([pa.array(rows[:, 0]), pa.array(rows[:, 1]), pa.array(rows[:, 2].astype(np.int32)), pa.array(rows[:, 3].astype(np.int32))], ["bucket", "sig", "n", "seen"])
 
-    return described.where("sig is not null").select("sig", "n", "corners").mapInArrow(run, "bucket long, sig long, n int, seen int")
+    return described.where("sig is not null").select("sig", "n", "corners").mapInArrow(giving_back(run), "bucket long, sig long, n int, seen int")
 
 
 def compare_tiles(tiles: DataFrame) -> DataFrame:
@@ -296,7 +296,7 @@ def find_copies(media: DataFrame, media_id: str = "media_id", content: str = "me
 
         left = classes.select(F.col("sig").alias("a"), F.col("corners").alias("x")).join(small(pairs), "a")
         both = left.join(classes.select(F.col("sig").alias("b"), F.col("corners").alias("y")), "b").select("a", "b", "x", "y")
-        return materialize(both.mapInArrow(run, "a long, b long"), "media-links")
+        return materialize(both.mapInArrow(giving_back(run), "a long, b long"), "media-links")
 
     turn = "abs((seen & 255) - (seen2 & 255))"
     at = "pow((seen >> 16) - (seen2 >> 16), 2) + pow((seen >> 8 & 255) - (seen2 >> 8 & 255), 2)"

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, materialize, release, small
+from .common import fresh, give_back, giving_back, materialize, release, small
 from .components import compare_parts, connect
 from .wordhash import mix, set_id, shingle_sets
 
@@ -47,7 +47,7 @@ WORDS, NUM, DEN = 5, 80, 100
 #: Texts in which a token must occur to count as frequent, and how many such tokens are broadcast at most (4 bytes each, and a class).
 HEAVY, MAX_HEAVY = 32, 4_000_000
 #: Prefix tokens a range of hashes should hold, and tokens gathered before they are handed on.
-RANGE_TOKENS, FLUSH = 1 << 20, 1 << 21
+RANGE_TOKENS, FLUSH = 1 << 20, 1 << 20
 
 
 def prefix_size(n: int) -> int:
@@ -71,7 +71,7 @@ def describe(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> Dat
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.int64())], ["doc_id", "th", "n_shingles", "sig"])
 
     x = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text"))
-    return x.mapInArrow(run, f"doc_id {x.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, sig long")
+    return x.mapInArrow(giving_back(run), f"doc_id {x.schema['doc_id'].dataType.simpleString()}, th long, n_shingles long, sig long")
 
 
 def _pack(tokens: np.ndarray) -> bytes:
@@ -134,9 +134,10 @@ def frequent_tokens(docs: DataFrame, ranges: int, text: str = "text", heavy: int
         tokens, at = np.unique(np.concatenate(tokens), return_inverse=True)
         df = np.bincount(at, np.concatenate(counts)).astype(np.int64)
         keep = df >= heavy
+        give_back()
         return pa.table({"token": tokens[keep].astype(np.int64), "df": df[keep]})
 
-    blobs = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(count, "range int, tokens binary, many binary, counts binary")
+    blobs = docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(giving_back(count), "range int, tokens binary, many binary, counts binary")
     return blobs.groupBy("range").applyInArrow(total, "token long, df long")
 
 
@@ -201,7 +202,7 @@ def postings(docs: DataFrame, ranges: int, order, text: str = "text") -> DataFra
                     light, heavy, n = [], [], 0
         yield from flush()
 
-    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(post, kind)
+    return docs.select(F.col(f"`{text}`").alias("text")).mapInArrow(giving_back(post), kind)
 
 
 def buckets(posted: DataFrame) -> DataFrame:
@@ -229,6 +230,7 @@ def buckets(posted: DataFrame) -> DataFrame:
         digest = mix(np.add.reduceat(mix(s.view(np.uint64)), first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
         _, one = np.unique(np.where(size > 1, digest, np.uint64(0)), return_index=True)
         one = one[size[one] > 1]
+        give_back()
         rows = [(int(digest[i].view(np.int64)), s[first[i] : first[i] + size[i]].tolist(), n[first[i] : first[i] + size[i]].tolist()) for i in one]
         return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int64()), "sigs": pa.array([r[1] for r in rows], pa.list_(pa.int64())), "ns": pa.array([r[2] for r in rows], pa.list_(pa.int32()))})
 
@@ -255,7 +257,7 @@ def _per_class(docs: DataFrame, described: DataFrame, wanted: DataFrame, doc_id:
             rows = [(sig, value(s)) for sig, s in _new_sets(batch.column(0), seen)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["sig", "value"])
 
-    found = materialize(_rows_of(docs, described, wanted, doc_id, text).mapInArrow(run, "sig long, value binary"), "ngram-sets")
+    found = materialize(_rows_of(docs, described, wanted, doc_id, text).mapInArrow(giving_back(run), "sig long, value binary"), "ngram-sets")
     if found.count() > found.select("sig").distinct().count():  # rows repeated with their ids
         found = materialize(found.dropDuplicates(["sig"]), "ngram-sets")
     return found
@@ -381,7 +383,7 @@ def filter_pairs(pairs: DataFrame, marked: DataFrame) -> DataFrame:
 
     side = lambda c, x, k: marked.select(F.col("sig").alias(c), F.col("value").alias(x), F.col("n").alias(k))
     both = side("a", "x", "nx").join(small(pairs), "a").join(side("b", "y", "ny"), "b").select("a", "b", "x", "nx", "y", "ny")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
 def similar(a: bytes, b: bytes) -> bool:
@@ -401,7 +403,7 @@ def keep_similar(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     left = sets.select(F.col("sig").alias("a"), F.col("value").alias("x")).join(small(pairs), "a")
     both = left.join(sets.select(F.col("sig").alias("b"), F.col("value").alias("y")), "b").select("a", "b", "x", "y")
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(giving_back(run), "a long, b long")
 
 
 def link_classes(docs: DataFrame, described: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame | None:

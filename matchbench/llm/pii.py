@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fresh, materialize, release, small
+from .common import fresh, giving_back, materialize, release, small
 
 #: Titles before names, as written and in capitals; and those that tell a woman, in small letters.
 TITLES = tuple(
@@ -274,7 +274,7 @@ def mentions(docs: DataFrame, text: str = "text") -> DataFrame:
                 rows += [(th, k, n) for k, n in dict.fromkeys((s[2], s[3]) for s in find(t or ""))]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string()))], ["th", "kind", "norm"])
 
-    return docs.select(F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text")).mapInArrow(run, "th long, kind string, norm string")
+    return docs.select(F.xxhash64(F.col(f"`{text}`")).alias("th"), F.col(f"`{text}`").alias("text")).mapInArrow(giving_back(run), "th long, kind string, norm string")
 
 
 def exceptions(entities: DataFrame, key: bytes, surrogate_of: Callable = surrogate) -> DataFrame | None:
@@ -294,7 +294,7 @@ def exceptions(entities: DataFrame, key: bytes, surrogate_of: Callable = surroga
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(core, pa.string())], ["kind", "norm", "turn", "core"])
 
     def drawn(x: DataFrame, turn: int) -> DataFrame:
-        return materialize(x.select("kind", "norm", F.lit(turn).alias("turn")).mapInArrow(run, "kind string, norm string, turn int, core string"), "pii-surrogates")
+        return materialize(x.select("kind", "norm", F.lit(turn).alias("turn")).mapInArrow(giving_back(run), "kind string, norm string, turn int, core string"), "pii-surrogates")
 
     taken = entities.select("kind", F.col("norm").alias("core"))
     new, moved, turn = drawn(entities, 0), None, 0
@@ -340,4 +340,4 @@ def pseudonymise(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
                 counts.append(n)
             yield pa.RecordBatch.from_arrays([*batch.columns[:last], pa.array(out, pa.string()), pa.array(counts, pa.int64())], [*batch.schema.names[:last], "private_text", "n_private"])
 
-    return rows.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("private_text", T.StringType()), T.StructField("n_private", T.LongType())]))
+    return rows.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields, T.StructField("private_text", T.StringType()), T.StructField("n_private", T.LongType())]))

@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import giving_back
 from .wordhash import CHUNK, mix, word_hashes
 
 DIMS, DECAY = 1 << 16, 0.6
@@ -388,7 +389,7 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Model:
         m = train([x for t, x in held if t], [x for t, x in held if not t], spec)
         yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (m.bias, m.slope, m.shift)]], ["weights", "bias", "slope", "shift"])
 
-    found = rows.repartition(1).mapInArrow(run, "weights binary, bias double, slope double, shift double").first()
+    found = rows.repartition(1).mapInArrow(giving_back(run), "weights binary, bias double, slope double, shift double").first()
     return Model(np.frombuffer(found["weights"]), found["bias"], found["slope"], found["shift"]) if found else train([], [], spec)
 
 
@@ -404,4 +405,4 @@ def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
             p = shared.value.probability(scorer.decisions(batch.column(at)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64()), pa.array((p >= 0.5).astype(np.int32))], [*batch.schema.names, "score", "predicted"])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields]).add("score", T.DoubleType()).add("predicted", T.IntegerType()))
+    return docs.mapInArrow(giving_back(run), T.StructType([*docs.schema.fields]).add("score", T.DoubleType()).add("predicted", T.IntegerType()))
