@@ -231,20 +231,25 @@ def _kernels(words: list[bytes], landmarks: np.ndarray) -> np.ndarray:
     return out
 
 
-def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, regular: float) -> tuple[np.ndarray, float]:
-    """Squared hinge loss, by Newton steps over the rows inside the margin."""
-    x = np.hstack((x, np.ones((len(x), 1), x.dtype))).astype(np.float64)
-    penalty = np.full(x.shape[1], regular)
-    penalty[-1] = 1e-6
-    beta = np.zeros(x.shape[1])
+def _machine(x: np.ndarray, y: np.ndarray, weight: np.ndarray, regular: float, block: int = 2048) -> tuple[np.ndarray, float]:
+    """Squared hinge loss, by Newton steps over the rows inside the margin. Rows are widened block by block."""
+    d = x.shape[1] + 1
+    penalty = np.diag(np.append(np.full(d - 1, regular), 1e-6))
+    beta = np.zeros(d)
     before = None
     for _ in range(30):
-        inside = y * (x @ beta) < 1
+        inside = np.concatenate([y[i : i + block] * (x[i : i + block] @ beta[:-1] + beta[-1]) < 1 for i in range(0, len(x), block)])
         if before is not None and (inside == before).all():
             break
         before = inside
-        a = x[inside] * weight[inside, None]
-        beta = np.linalg.solve(a.T @ x[inside] + np.diag(penalty), a.T @ y[inside])
+        left, right = penalty.copy(), np.zeros(d)
+        for i in range(0, len(x), block):
+            k = i + np.flatnonzero(inside[i : i + block])
+            own = np.hstack((x[k].astype(np.float64), np.ones((len(k), 1))))
+            a = own * weight[k, None]
+            left += a.T @ own
+            right += a.T @ y[k]
+        beta = np.linalg.solve(left, right)
     return beta[:-1], float(beta[-1])
 
 
