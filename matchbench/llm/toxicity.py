@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import giving_back
+from .common import give_back, giving_back
 from .wordhash import CHUNK, mix, word_hashes
 
 DIMS, DECAY = 1 << 16, 0.6
@@ -308,6 +308,7 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
     if not doubtful.any() or not in_clean_docs.any():
         return flat
     bags = [b[doubtful[b]] for b in bags]
+    give_back()
     grams = _Grams(words)
     in_toxic, in_clean = grams.documents(bags), grams.documents(others)
     # Sequences so much more frequent in toxic documents that chance is ruled out; else the best there are.
@@ -323,6 +324,7 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
     negative, rest = rest[: spec.clean_words], sorted(rest[spec.clean_words :])
     marks = [words[i] for i in sorted(np.flatnonzero(chosen), key=lambda i: (-often[i], words[i]))][: spec.landmarks // 2]
     marks += negative[: spec.landmarks - len(marks)]
+    give_back()
     w, f, x = features(*_flat(marks))
     z = np.zeros((DIMS, len(marks)), np.float32)
     z[f, w] = x
