@@ -3,6 +3,11 @@
 toxicity drops documents classified as toxic; near_duplicates keeps one document of each group of
 near copies; decontamination drops documents that hold a benchmark passage; mixing repeats rows of
 small sources up to its limit (every row stays at least once); sharding adds slot and shard.
+
+Edge cases: documents with null or empty texts stay, as no stage finds anything in them; of repeated
+rows one stays; a null id or source is a value like others; empty tables give an empty result; without
+labels of both classes the toxicity stage drops nothing unless all labels are toxic; further columns
+pass through, and must not be called score, predicted, copies, slot or shard.
 """
 
 from __future__ import annotations
