@@ -100,7 +100,7 @@ ORACLE["score_cosine"] = ORACLE["score_cosine_columns"] = f"WITH {_C}, {_S} SELE
 ORACLE["score_l2"] = f"WITH {_C} SELECT p.sample_id AS probe_id, g.sample_id AS gallery_id, round(-sqrt(list_sum(list_transform(list_zip(p.v, g.v), lambda e: (e[1] - e[2]) * (e[1] - e[2])))), 9) AS score FROM p, g"
 ORACLE["score_chi2"] = f"""WITH {_C}, pa AS (SELECT sample_id, list_transform(v, lambda e: abs(e)) AS v FROM p), ga AS (SELECT sample_id, list_transform(v, lambda e: abs(e)) AS v FROM g)
  SELECT pa.sample_id AS probe_id, ga.sample_id AS gallery_id, round(-list_sum(list_transform(list_zip(pa.v, ga.v), lambda e: CASE WHEN e[1] + e[2] > 0 THEN (e[1] - e[2]) * (e[1] - e[2]) / (e[1] + e[2]) ELSE 0 END)), 9) AS score FROM pa, ga"""
-ORACLE["score_pairs"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b, {_cos('a.v', 'b.v')} AS score FROM c a JOIN c b USING (subject_id) WHERE a.sample_id < b.sample_id AND a.sample_id < 300 AND b.sample_id < 300"
+ORACLE["score_pairs"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b, {_cos('a.v', 'b.v')} AS score FROM c a JOIN c b USING (subject_id) WHERE a.sample_id < b.sample_id"
 ORACLE["score_pairs_all"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b, {_cos('a.v', 'b.v')} AS score FROM c a JOIN c b USING (subject_id) WHERE a.sample_id < b.sample_id"
 ORACLE["rank_matrix_topk"] = f"WITH {_C}, {_S}, {_R} SELECT probe_id, gallery_id, rank, score FROM r WHERE rank <= 5"
 _N = f"WITH {_C}, {_S}, m AS (SELECT avg(score) AS mean, stddev_pop(score) AS std, min(score) AS lo, max(score) AS hi FROM s) SELECT probe_id, gallery_id, round({{}}, 6) AS score FROM s, m"
