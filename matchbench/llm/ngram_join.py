@@ -225,9 +225,11 @@ def buckets(posted: DataFrame) -> DataFrame:
         keep = near.copy()
         keep[:-1] |= near[1:]
         t, s, n = t[keep], s[keep], n[keep]
+        if not len(t):  # no class of this range has a partner
+            return pa.table({"bucket": pa.array([], pa.int64()), "sigs": pa.array([], pa.list_(pa.int64())), "ns": pa.array([], pa.list_(pa.int32()))})
         first = np.flatnonzero(np.concatenate(([True], t[1:] != t[:-1])))
         size = np.diff(np.append(first, len(t)))
-        digest = mix(np.add.reduceat(mix(s.view(np.uint64)), first) + size.astype(np.uint64)) if len(first) else np.empty(0, np.uint64)
+        digest = mix(np.add.reduceat(mix(s.view(np.uint64)), first) + size.astype(np.uint64))
         _, one = np.unique(np.where(size > 1, digest, np.uint64(0)), return_index=True)
         one = one[size[one] > 1]
         give_back()
