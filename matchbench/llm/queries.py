@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, html_text, media, mixing, ngram_join, pii, sharding, token_files, toxicity
+from . import chat, decontam, exact_dedup, html_text, media, mixing, ngram_join, pii, sharding, token_alignment, token_files, toxicity, vector_codes
 from .common import shared_path, table
 
 #: Production setting of sharding: 64 shards, 1,024 slots for each.
@@ -101,6 +101,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.annotate(docs, model).select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.resolve(table(spark, sf_dir, "documents").select("doc_id", "text"), largest=True)
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, book = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    return codes.select("vec_id", "code", "error", "label_error", F.lit(vector_codes.book_digest(book)).alias("codebooks_sha256"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_alignment.links(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict:
     return {
         "op1_mix_sources": op1_mix_sources,
@@ -113,6 +129,9 @@ def queries() -> dict:
         "op8_pii_surrogates": op8_pii_surrogates,
         "op9_shard_lookup": op9_shard_lookup,
         "op10_toxicity": op10_toxicity,
+        "op11_exact_dedup": op11_exact_dedup,
+        "op12_vector_codes": op12_vector_codes,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
@@ -209,6 +228,31 @@ SELECT p.page_id, p.url, coalesce(string_agg(d.line, chr(10) ORDER BY i), '') AS
 FROM pages p LEFT JOIN d ON p.page_id = d.page_id GROUP BY p.page_id, p.url'''
 
 
+EXACT_SQL = """
+SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
+
+
+def _codes_sql(spec: vector_codes.Spec) -> str:
+    """Components as rows; each stage measures every part against every entry of its codebook."""
+    ctes = [
+        f"v AS MATERIALIZED (SELECT vec_id, label, embedding AS x, len(embedding) // {spec.parts} AS w FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> isfinite(x))) = len(embedding))",
+        f"q AS MATERIALIZED (SELECT vec_id, label, (i - 1) // w AS part, (i - 1) % w AS pos, floor({spec.scale} * x[i]::DOUBLE)::BIGINT AS y FROM v, unnest(range(1, len(x) + 1)) AS t(i))",
+        f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < {spec.entries})",
+        "c0 AS MATERIALIZED (SELECT part, entry, pos, y FROM q JOIN first USING (vec_id))",
+    ]
+    for k in range(spec.rounds + 1):
+        ctes.append(f"d{k} AS (SELECT vec_id, part, entry, sum((q.y - c.y) * (q.y - c.y))::BIGINT AS d FROM q JOIN c{k} c USING (part, pos) GROUP BY vec_id, part, entry)")
+        ctes.append(f"a{k} AS MATERIALIZED (SELECT vec_id, part, min(d) AS d, arg_min(entry, (d, entry)) AS entry FROM d{k} GROUP BY vec_id, part)")
+        if k < spec.rounds:
+            ctes.append(f"m{k} AS (SELECT part, entry, pos, sum(y)::BIGINT AS s, count(*) AS n FROM q JOIN a{k} USING (vec_id, part) GROUP BY part, entry, pos)")
+            ctes.append(f"c{k + 1} AS MATERIALIZED (SELECT part, entry, pos, CASE WHEN n IS NULL THEN c.y ELSE (s - ((s % n) + n) % n) // n END AS y FROM c{k} c LEFT JOIN m{k} USING (part, entry, pos))")
+    last = spec.rounds
+    ctes.append(f"e AS (SELECT vec_id, string_agg(lower(printf('%02x', entry)), '' ORDER BY part) AS code, sum(d)::BIGINT AS error FROM a{last} GROUP BY vec_id)")
+    ctes.append(f"b AS (SELECT sha256(string_agg(y::VARCHAR, ',' ORDER BY part, entry, pos)) AS codebooks_sha256 FROM c{last})")
+    return "WITH " + ",\n".join(ctes) + "\nSELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, codebooks_sha256 FROM e JOIN v USING (vec_id), b"
+
+
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_mix_sources": _mix_sql(mixing.MixSpec()),
@@ -216,4 +260,6 @@ def oracle_sql() -> dict[str, str]:
         "op3_decontaminate": DECONTAM_SQL,
         "op4_format_chats": CHAT_SQL,
         "op6_html_text": HTML_SQL,
+        "op11_exact_dedup": EXACT_SQL,
+        "op12_vector_codes": _codes_sql(vector_codes.Spec()),
     }

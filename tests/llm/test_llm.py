@@ -94,6 +94,23 @@ def test_deduplicate_keeps_one_of_each_group(docs):
     assert (None, "only") in got
 
 
+@pytest.mark.parametrize("rows", [[(1, prose(80, 900))], [(i, prose(80, 900 + i)) for i in range(3)], [(1, prose(80, 900)), (2, prose(80, 900))], [(i, prose(80, 2000 + i)) for i in range(300)]])
+def test_no_candidates(spark, rows, monkeypatch):
+    """Corpora without a pair that could link, in one range of hashes and in many."""
+    for tokens in (1 << 20, 64):
+        monkeypatch.setattr(ngram_join, "RANGE_TOKENS", tokens)
+        docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+        assert sorted((tuple(r) for r in ngram_join.near_duplicates(docs).collect()), key=repr) == brute_components(rows)
+        assert ngram_join.deduplicate(docs).count() == len({c for _, _, c in brute_components(rows)})
+
+
+def test_some_ranges_without_candidates(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "RANGE_TOKENS", 64)
+    rows = [(i, prose(80, 3000 + i)) for i in range(40)] + [(90, variant(prose(80, 3000), 1, 5))]
+    got = sorted((tuple(r) for r in ngram_join.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=repr)
+    assert got == brute_components(rows)
+
+
 def test_no_documents(spark, docs):
     none = docs.limit(0)
     assert ngram_join.near_duplicates(none).count() == 0 and ngram_join.deduplicate(none).count() == 0
@@ -284,7 +301,7 @@ def test_query_equals_sql(spark, name):
     import duckdb
 
     con = duckdb.connect()
-    for t in "documents pages benchmark labels conversations".split():
+    for t in "documents embeddings pages benchmark labels conversations".split():
         con.execute(f"create view {t} as select * from '{DATA}/{t}.parquet'")
     got = queries.queries()[name](spark, DATA)
     names = sorted(got.columns)
