@@ -236,7 +236,7 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))"""
 def _codes_sql(spec: vector_codes.Spec) -> str:
     """Components as rows; each stage measures every part against every entry of its codebook."""
     ctes = [
-        f"v AS MATERIALIZED (SELECT vec_id, label, embedding AS x, len(embedding) // {spec.parts} AS w FROM embeddings WHERE len(embedding) > 0 AND len(list_filter(embedding, x -> isfinite(x))) = len(embedding))",
+        f"v AS MATERIALIZED (SELECT vec_id, label, embedding AS x, len(embedding) // {spec.parts} AS w FROM embeddings WHERE len(embedding) > 0 AND len([x FOR x IN embedding IF isfinite(x)]) = len(embedding))",
         f"q AS MATERIALIZED (SELECT vec_id, label, (i - 1) // w AS part, (i - 1) % w AS pos, floor({spec.scale} * x[i]::DOUBLE)::BIGINT AS y FROM v, unnest(range(1, len(x) + 1)) AS t(i))",
         f"first AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM v QUALIFY entry < {spec.entries})",
         "c0 AS MATERIALIZED (SELECT part, entry, pos, y FROM q JOIN first USING (vec_id))",
