@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import Scratch
+from .numbering import drawn, numbered
+
 
 def frontal_neutral(manifest: DataFrame, strict: tuple[str, ...] = ("normal",)) -> DataFrame:
     """Frontal rows in the given light, neutral if the table has any neutral row at all."""
@@ -49,12 +52,31 @@ def genuine_pairs(samples: DataFrame) -> DataFrame:
 
 
 def impostor_pairs(samples: DataFrame, n: int, seed: int) -> DataFrame:
-    """Up to ``n`` pairs (a, b) of different subjects, the first in a keyed order. The order is total, so
-    the result doesn't depend on partitioning; only the first ``n`` of each partition meet."""
-    a = samples.select(F.col("subject_id").alias("sa"), F.col("sample_id").alias("a"))
-    b = samples.select(F.col("subject_id").alias("sb"), F.col("sample_id").alias("b"))
-    pairs = a.join(b, (F.col("a") < F.col("b")) & (F.col("sa") != F.col("sb"))).select("a", "b")
-    return pairs.withColumn("_h", F.md5(F.concat_ws("|", F.lit(str(seed)), "a", "b"))).orderBy("_h", "a", "b").limit(n).drop("_h")
+    """Up to ``n`` different pairs (a, b) of samples of different subjects, drawn by a keyed permutation.
+
+    Samples are numbered subject by subject. The sample at position j forms a pair with each of the s before its
+    subject, so pairs have numbers: a subject with c samples from position s on has s * c of them, after those of the
+    subjects before. The permutation's first ``n`` numbers are taken apart again: a lookup among the
+    subjects' first numbers, a division, and two joins on positions. Pairs that aren't drawn are never made.
+    """
+    spark, scratch = samples.sparkSession, Scratch(samples.sparkSession)
+    placed = numbered(samples.select("subject_id", "sample_id"), ["subject_id", "sample_id"], scratch)
+    by = placed.groupBy("subject_id").agg(F.min("position").alias("s"), F.count("*").alias("c")).withColumn("pairs", F.col("s") * F.col("c"))
+    by = numbered(by.where("pairs > 0"), ["s"], scratch, "first", "pairs")
+    total = by.agg(F.sum("pairs").alias("n"), F.count("*").alias("k")).first()
+    every = total["n"] or 0
+    if not every:
+        return placed.select(F.col("sample_id").alias("a"), F.col("sample_id").alias("b")).limit(0)
+    # Subjects are found by equal stretches of numbers, as many as subjects; a subject is listed in each that it reaches.
+    width = -(-every // total["k"])
+    stretch = lambda x: F.call_function("div", x, F.lit(width).cast("bigint"))
+    listed = by.withColumn("stretch", F.explode(F.sequence(stretch(F.col("first")), stretch(F.col("first") + F.col("pairs") - 1))))
+    numbers = drawn(spark, n, every, seed).withColumn("stretch", stretch(F.col("number")))
+    at = numbers.join(listed, "stretch").where("number >= first and number < first + pairs").withColumn("rest", F.col("number") - F.col("first"))
+    at = at.select((F.col("rest") % F.col("s")).alias("i"), (F.col("s") + F.expr("rest div s")).alias("j"))
+    name = lambda c, x: placed.select(F.col("position").alias(c), F.col("sample_id").alias(x))
+    both = at.join(name("i", "x"), "i").join(name("j", "y"), "j")
+    return both.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
 def leakage(split: DataFrame, pairs: DataFrame, background: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """DuckDB SQL for the queries of ``queries.py``, written on its own from the operators' definitions."""
 
+from ..operators.numbering import PRIME, permutation_steps
 from .oracle_kernels import KERNELS, deviate
 
 ORACLE: dict[str, str] = {}
@@ -82,12 +83,28 @@ ORACLE["split_p1"] = f"WITH {_C} SELECT sample_id, subject_id, CASE WHEN sample_
 ORACLE["split_p2"] = f"""WITH {_C}, u AS (SELECT DISTINCT subject_id FROM c), o AS (SELECT subject_id, row_number() OVER (ORDER BY md5('0|' || subject_id), subject_id) AS r, count(*) OVER () AS n FROM u)
  SELECT subject_id, CASE WHEN r <= greatest(1, floor(0.4 * n)) THEN 'background' ELSE 'evaluation' END AS part FROM o"""
 ORACLE["pairs_genuine"] = f"WITH {_C} SELECT a.sample_id AS a, b.sample_id AS b FROM c a JOIN c b USING (subject_id) WHERE a.sample_id < b.sample_id"
-ORACLE["pairs_impostor"] = f"""WITH {_C}, n AS (SELECT 3 * sum(k * (k - 1) // 2) AS n FROM (SELECT count(*) AS k FROM c GROUP BY subject_id)),
- q AS (SELECT a.sample_id AS a, b.sample_id AS b, row_number() OVER (ORDER BY md5('0|' || a.sample_id || '|' || b.sample_id), a.sample_id, b.sample_id) AS r FROM c a JOIN c b ON a.sample_id < b.sample_id AND a.subject_id <> b.subject_id)
- SELECT a, b FROM q, n WHERE r <= n"""
-ORACLE["pairs_impostor_20"] = f"""WITH {_C}, n AS (SELECT 20 * sum(k * (k - 1) // 2) AS n FROM (SELECT count(*) AS k FROM c GROUP BY subject_id)),
- q AS (SELECT a.sample_id AS a, b.sample_id AS b, row_number() OVER (ORDER BY md5('0|' || a.sample_id || '|' || b.sample_id), a.sample_id, b.sample_id) AS r FROM c a JOIN c b ON a.sample_id < b.sample_id AND a.subject_id <> b.subject_id)
- SELECT a, b FROM q, n WHERE r <= n"""
+
+
+def _impostor_sql(ratio: int, seed: int = 0) -> str:
+    """Numbers of pairs by window sums; the permutation one round a subquery; numbers that are none are passed over."""
+    v = "SELECT i, i AS v0, e.* FROM e, range(0, least(a * b, least(n, want) + a * b - n)) r(i)"
+    for turn, c in enumerate(permutation_steps(2, seed)[2]):
+        side = f"v{turn} % b" if turn % 2 == 0 else f"v{turn} // b"
+        poly = f"{c[0]}::BIGINT"
+        for x in c[1:]:
+            poly = f"(({poly} * (({side}) % {PRIME}) + {x}) % {PRIME})"
+        new = f"((v{turn} // b + {poly}) % a) * b + v{turn} % b" if turn % 2 == 0 else f"(v{turn} // b) * b + (v{turn} % b + {poly}) % b"
+        v = f"SELECT i, {new} AS v{turn + 1}, n, want, a, b FROM ({v})"
+    last = f"v{len(permutation_steps(2, seed)[2])}"
+    return f"""WITH {_C}, o AS (SELECT sample_id, subject_id, row_number() OVER (ORDER BY subject_id, sample_id) - 1 AS j FROM c),
+ s AS (SELECT subject_id, min(j) AS s, count(*) AS c FROM o GROUP BY subject_id), f AS (SELECT s, s * c AS pairs, (sum(s * c) OVER (ORDER BY s) - s * c)::BIGINT AS first FROM s),
+ t AS (SELECT sum(s * c)::BIGINT AS n, ({ratio} * sum(c * (c - 1) // 2))::BIGINT AS want FROM s), d AS (SELECT n, want, floor(sqrt(n - 1))::BIGINT + 1 AS a FROM t), e AS MATERIALIZED (SELECT n, want, a, (n + a - 1) // a AS b FROM d),
+ x AS (SELECT {last} AS v, row_number() OVER (ORDER BY i) AS r, want FROM ({v}) WHERE {last} < n), q AS (SELECT (v - first) % s AS i, s + (v - first) // s AS j FROM x JOIN f ON v >= first AND v < first + pairs WHERE r <= want)
+ SELECT least(y.sample_id, z.sample_id) AS a, greatest(y.sample_id, z.sample_id) AS b FROM q JOIN o y ON y.j = q.i JOIN o z ON z.j = q.j"""
+
+
+ORACLE["pairs_impostor"] = _impostor_sql(3)
+ORACLE["pairs_impostor_20"] = _impostor_sql(20)
 ORACLE["leakage_audit"] = f"""WITH {_C}, sp AS (SELECT sample_id, subject_id, CASE WHEN sample_id IN (SELECT sample_id FROM g) THEN 'gallery' ELSE 'probe' END AS role FROM c),
  sx AS (SELECT * FROM sp UNION ALL SELECT sample_id, subject_id, 'probe' FROM sp WHERE role = 'gallery' AND sample_id % 24 = 0)
  SELECT 'gallery_and_probe' AS rule, count(*) AS n FROM (SELECT sample_id FROM sx GROUP BY 1 HAVING count(DISTINCT role) = 2)
