@@ -12,10 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.columns import anonymous
-from .operators import manifest, splits
+from .operators import identification, manifest, splits
 from .plans import config, experiments, preprocess
 from .registry import FEATURES, MATCHERS
 from .sources import files, results, toy
+from .storage import Scratch
 
 SCANS = {"toy": toy.scan, "yaleb": lambda spark, root: files.light_photos(files.listing(spark, root)), "tufts3d": lambda spark, root: files.meshes_and_photos(files.listing(spark, root))}
 
@@ -62,21 +63,42 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
     m = files.read_manifest(spark, f"{a.data_root}/processed/{a.dataset}/manifest").persist()
     path, settings = f"{a.data_root}/interim/{a.dataset}", config.settings(a.dataset)
     cache = spark.read.schema(preprocess.SCHEMA).parquet(path) if _has(path) else None
-    rows = preprocess.stale(m, files.listing(spark, f"{a.data_root}/raw/{a.dataset}"), cache, settings)
+    contents = files.listing(spark, f"{a.data_root}/raw/{a.dataset}")
+    missing = preprocess.absent(m, contents).groupBy("kind").count().collect()
+    for r in missing:
+        print(f"{r['count']} captures have no file for {r['kind']}")
+    if missing:
+        preprocess.absent(m, contents).write.mode("overwrite").parquet(f"{a.data_root}/processed/{a.dataset}/absent")
+    rows = preprocess.stale(m, contents, cache, settings)
     if a.modality != "both":
         rows = rows.where(F.col("kind") == {"2d": "image", "3d": "depth"}[a.modality])
     preprocess.compute(rows, settings).write.mode("append").parquet(path)
-    arrays = preprocess.latest(spark.read.schema(preprocess.SCHEMA).parquet(path), settings)
+    arrays = preprocess.latest(spark.read.schema(preprocess.SCHEMA).parquet(path), settings, contents, m)
     preprocess.flagged(m, arrays, a.modality).write.mode("overwrite").parquet(f"{a.data_root}/processed/{a.dataset}/flagged")
 
 
 def captures(spark: SparkSession, a: argparse.Namespace, e: experiments.Experiment) -> DataFrame:
     m = files.read_manifest(spark, f"{a.data_root}/processed/{e.dataset}/manifest")
     settings = e.settings.get("preprocess") or config.settings(e.dataset)
-    arrays = preprocess.latest(spark.read.schema(preprocess.SCHEMA).parquet(f"{a.data_root}/interim/{e.dataset}"), settings)
+    arrays = preprocess.latest(spark.read.schema(preprocess.SCHEMA).parquet(f"{a.data_root}/interim/{e.dataset}"), settings, files.listing(spark, f"{a.data_root}/raw/{e.dataset}"), m)
     return preprocess.captures(m, arrays, experiments.kinds(e)).persist()
 
 
+def stored_split(spark: SparkSession, a: argparse.Namespace, e: experiments.Experiment, c: DataFrame, protocol: str, seed: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Training ids, roles and pairs of a split's table, checked for leaks; the table is made if it isn't there."""
+    path = f"{a.data_root}/processed/{e.dataset}/splits/protocol={protocol}/seed={seed}"
+    if not _has(path):
+        results.write_split(results.make_split(c, protocol, seed), path)
+    s = results.read_split(spark, path, protocol)
+    of = lambda *kinds: s.where(F.col("kind").isin(*kinds))
+    part = of("gallery", "probe").select(F.col("a").alias("sample_id"), F.col("kind").alias("role"))
+    known = part.join(c.select("sample_id", "subject_id"), "sample_id", "left")
+    if n := known.where("subject_id is null").count():
+        raise ValueError(f"{n} captures of the split {protocol}, seed {seed}, aren't in the manifest; make it anew")
+    train = of("gallery").select(F.col("a").alias("sample_id")) if protocol == "P1_closed" else c.join(of("train_subject").select(F.col("a").alias("subject_id")), "subject_id", "left_semi").select("sample_id")
+    return train, known.select("sample_id", "subject_id", "role"), of("genuine", "impostor").select("a", "b", (F.col("kind") == "genuine").cast("int").alias("y"))
+
+
 def run(spark: SparkSession, a: argparse.Namespace) -> None:
     """Runs that exist already are skipped unless forced; each is recorded with settings and machine."""
     e = config.experiment(a.exp, a.configs_root)
@@ -96,11 +118,19 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
                     print(f"skipping {e.id} {protocol} {seed} {arm.key}")
                     continue
                 began = time.time()
-                one = experiments.run(c, replace(e, protocols=(protocol,), seeds=(seed,), arms=(arm,)), modality=modality, replicates=a.replicates).persist()
-                n = one.first()["identification"]["n_probe"]
-                ms = 1000 * (time.time() - began)
-                timed = one.withColumn("timing", F.struct(F.lit(ms).alias("total_ms"), F.lit(ms / n).alias("ms_per_probe"), F.lit(n).cast("bigint").alias("probe_samples")))
-                files.write_runs(timed, path)
+                with Scratch(spark) as scratch:
+                    split = stored_split(spark, a, e, c, protocol, seed)
+                    done_ = experiments.evaluate_arm(c, arm, protocol, seed, scratch, verify=e.verification, conditions=e.conditions, replicates=a.replicates, split=split)
+                    n = done_.record.first()["identification"]["n_probe"]
+                    ms = 1000 * (time.time() - began)
+                    one = done_.record.select(F.lit(e.id).alias("exp_id"), F.lit(e.dataset).alias("dataset"), F.lit(modality).cast("string").alias("data_modality"), "*")
+                    timed = one.withColumn("timing", F.struct(F.lit(ms).alias("total_ms"), F.lit(ms / n).alias("ms_per_probe"), F.lit(n).cast("bigint").alias("probe_samples"))).withColumn("recorded", F.current_timestamp())
+                    out = f"{a.results_root}/arms/{a.command}/{e.id}/{protocol}/{seed}/{arm.key}"
+                    results.write_csv(identification.confusion(done_.decided), f"{out}/confusion")
+                    results.write_csv(done_.classes, f"{out}/per_class")
+                    if done_.scores is not None:
+                        results.write_scores(done_.scores, f"{out}/scores")
+                    files.write_runs(timed, path)
     meta = Path(a.results_root) / "meta"
     meta.mkdir(parents=True, exist_ok=True)
     (meta / f"{e.id}.json").write_text(json.dumps({"experiment": e, "sysinfo": results.sysinfo(spark)}, indent=2, default=vars), encoding="utf-8")
@@ -108,7 +138,7 @@ def run(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def aggregate(spark: SparkSession, a: argparse.Namespace) -> None:
     runs = files.read_runs(spark, f"{a.results_root}/runs")
-    newest = splits.dedupe_latest(runs.withColumn("_f", F.input_file_name()), ["exp_id", "arm", "protocol", "seed"], [F.col("verification").isNull(), F.col("_f").desc()]).drop("_f").persist()
+    newest = splits.dedupe_latest(runs, ["exp_id", "arm", "protocol", "seed"], [F.col("verification").isNull(), F.col("recorded").desc_nulls_last(), F.to_json(F.struct("identification"))]).persist()
     print(results.write_report(newest, a.results_root))
 
 

@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import SIMILARITIES, doubles
 from ..model import BROADCAST_BYTES, BROADCAST_ROWS, SCORE_DECIMALS
@@ -116,11 +117,45 @@ def score_blocks(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vec
     return tiles.groupBy("_b", "_t").cogroup(others.groupBy("_b", "_t")).applyInArrow(tile, schema)
 
 
+def rowwise(a: np.ndarray, b: np.ndarray, kind: str) -> np.ndarray:
+    """Similarity of each row of ``a`` with the same row of ``b``."""
+    if kind == "cosine":
+        return np.einsum("ij,ij->i", a, b) / ((np.linalg.norm(a, axis=1) + 1e-12) * (np.linalg.norm(b, axis=1) + 1e-12))
+    if kind == "l2":
+        return -np.sqrt(((a - b) ** 2).sum(1))
+    if kind == "chi2":
+        s = a + b
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return -np.where(s > 0, (a - b) ** 2 / s, 0).sum(1)
+    raise KeyError(f"unknown similarity {kind!r}")
+
+
 def score_pairs(pairs: DataFrame, templates: DataFrame, kind: str = "cosine", vector: str = "embedding") -> DataFrame:
-    """Scores of given pairs (a, b): two equi-joins with the templates."""
+    """Scores of given pairs (a, b and further columns), without templates in shuffles while those may be sent to every
+    executor; else by two equi-joins. Pairs with an unknown sample are left out."""
+    t = templates.select(F.col("sample_id").alias("gallery_id"), doubles(F.col(vector)).alias("gv"))
+    held = held_gallery(t)
+    if held is not None:
+        shared = templates.sparkSession.sparkContext.broadcast((held.column("gallery_id").to_pylist(), _matrix(held.column("gv"))))
+        names = [*pairs.columns, "score"]
+        at = [names.index(c) for c in ("a", "b")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, m = shared.value
+            place = {x: i for i, x in enumerate(ids)}
+            step = max(1, 2_000_000 // max(1, m.shape[1]))
+            for b in batches:
+                i, j = (np.array([place.get(x, -1) for x in b.column(k).to_pylist()], np.int64) for k in at)
+                known = np.flatnonzero((i >= 0) & (j >= 0))
+                for lo in range(0, len(known), step):
+                    k = known[lo : lo + step]
+                    part = b.take(pa.array(k))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.round(rowwise(m[i[k]], m[j[k]], kind), SCORE_DECIMALS))], names)
+
+        return pairs.mapInArrow(run, T.StructType([*pairs.schema.fields]).add("score", T.DoubleType()))
     t = templates.select("sample_id", doubles(F.col(vector)).alias("v"))
     out = pairs.join(t.select(F.col("sample_id").alias("a"), F.col("v").alias("va")), "a").join(t.select(F.col("sample_id").alias("b"), F.col("v").alias("vb")), "b")
-    return out.withColumn("score", F.round(SIMILARITIES[kind](F.col("va"), F.col("vb")), SCORE_DECIMALS)).drop("va", "vb")
+    return out.withColumn("score", F.round(SIMILARITIES[kind](F.col("va"), F.col("vb")), SCORE_DECIMALS)).drop("va", "vb").select(*pairs.columns, "score")
 
 
 def all_pairs(templates: DataFrame, kind: str = "cosine", vector: str = "embedding") -> DataFrame:

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
-from ..operators import estimators, fields, identification, sampling, scoring, splits, verification
+from ..operators import estimators, fields, identification, scoring, splits, verification
 from ..registry import FEATURES, MATCHERS
 from ..sources.files import IDENTIFICATION, VERIFICATION
+from ..storage import Scratch, keep
 
 
 @dataclass(frozen=True)
@@ -173,35 +174,63 @@ def occluded(rows: DataFrame, kind: str, share: float, seed: int, size: int) ->
     return K.apply(x, "image", cover, (size * size + 2,), "image")
 
 
-def run_arm(captures: DataFrame, arm: Arm, protocol: str, seed: int, size: int = 64, verify: bool = True, conditions: tuple[tuple[str, str, float], ...] = (), replicates: int = 1000) -> DataFrame:
-    """The run record (one row) of an arm over captures with sample_id, subject_id, pose, light and arrays.
-    ``conditions`` are occlusions of the probes; the gallery stays as it is."""
-    train, split = roles(captures, protocol, seed)
-    column, kind = _side(arm.feature), MATCHERS.get(arm.matcher)
-    feature = FEATURES.get(arm.feature)
-    rows = captures.join(split.select("sample_id"), "sample_id", "left_semi")
-    side = lambda t, r: t.join(split.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi")
-    templates = feature(train, rows, column, size).persist()
+@dataclass(frozen=True)
+class ArmResult:
+    """What an arm leaves: its record (one row), decisions, figures by class, and the scores of its pairs (a, b, y, score;
+    None without verification). All are written tables."""
+
+    record: DataFrame
+    decided: DataFrame
+    classes: DataFrame
+    scores: DataFrame | None
+
+
+def verification_pairs(pool: DataFrame, seed: int, ratio: int = 20) -> DataFrame:
+    """Rows (a, b, y): all genuine pairs of the captures, and ``ratio`` impostor pairs for each while there are as many."""
+    samples = pool.select("sample_id", "subject_id")
+    n = samples.groupBy("subject_id").count().agg(F.sum(F.expr("count * (count - 1) div 2"))).first()[0]
+    if not n:
+        raise ValueError("no subject has two captures, so there are no genuine pairs")
+    genuine = splits.genuine_pairs(samples).withColumn("y", F.lit(1))
+    return genuine.unionByName(splits.impostor_pairs(samples, ratio * n, seed).withColumn("y", F.lit(0)))
+
+
+def evaluate_arm(
+    captures: DataFrame, arm: Arm, protocol: str, seed: int, scratch: Scratch, size: int = 64, verify: bool = True, conditions: tuple[tuple[str, str, float], ...] = (), replicates: int = 1000,
+    split: tuple[DataFrame, DataFrame, DataFrame] | None = None,
+) -> ArmResult:
+    """An arm over captures with sample_id, subject_id, pose, light and arrays. ``split`` has its training rows' ids, roles
+    and pairs, if they are given and not drawn here. ``conditions`` are occlusions of the probes; the gallery stays as it is.
+
+    Templates, decisions, scores and one table of counts are written as they are made, so no plan holds another
+    one's; every figure of the curve comes from those counts.
+    """
+    column, kind, feature = _side(arm.feature), MATCHERS.get(arm.matcher), FEATURES.get(arm.feature)
+    train, roles_ = roles(captures, protocol, seed) if split is None else (captures.join(split[0], "sample_id", "left_semi"), split[1])
+    rows = captures.join(roles_.select("sample_id"), "sample_id", "left_semi")
+    side = lambda t, r: t.join(roles_.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi")
+    templates = scratch.keep(feature(train, rows, column, size), "templates")
     gallery = side(templates, "gallery")
     n_gallery = gallery.select("subject_id").distinct().count()
-    decided = identification.decide(side(templates, "probe"), gallery, kind, "template").persist()
+    decided = scratch.keep(identification.decide(side(templates, "probe"), gallery, kind, "template"), "decided")
     identification.check_decided(decided)
+    classes = scratch.keep(identification.per_class(decided, gallery), "classes")
     of = lambda d, *cols: d.agg(F.map_from_entries(F.collect_list(F.struct(cols[0], F.struct(*cols[1:])))).alias("m"))
-    classes = identification.per_class(decided, gallery)
     shown = captures.select(F.col("sample_id").alias("probe_id"), C.condition(F.col("pose_yaw"), F.col("illumination")).alias("condition"))
     one = identification.metrics(decided, n_gallery).select("rank1", "rank5", "rank10", F.col("rank5").alias("top5_accuracy"), "mrr", "accuracy", "n_probe", "n_gallery")
     one = one.join(identification.averages(classes)).join(identification.cmc(decided).agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "rate"))), lambda x: x["rate"]).alias("cmc")))
     one = one.join(of(classes, "subject_id", "precision", "recall", "f1", "support").withColumnRenamed("m", "per_class"))
     one = one.join(of(identification.per_condition(decided, shown), "condition", "rank1", "n").withColumnRenamed("m", "per_condition"))
     out = one.select(F.struct(*[f.name for f in IDENTIFICATION]).cast(IDENTIFICATION).alias("identification"))
+    scores = None
     if verify:
-        scores = scoring.all_pairs(templates, kind, "template").persist()
-        v = verification.eer(scores).join(verification.auc(scores)).join(verification.moments(scores))
-        v = v.join(verification.tar_at_far(scores).agg(F.map_from_entries(F.collect_list(F.struct(F.col("far").cast("string"), "tar"))).alias("tar_at_far")))
+        pairs = verification_pairs(rows, seed) if split is None else split[2]
+        scores = scratch.keep(scoring.score_pairs(pairs, templates, kind, "template"), "scores")
+        by = scratch.keep(verification.count_scores(scores), "counts")
+        v = verification.summary(scratch.keep(verification.running_counts(by), "curve"))
         if replicates:
-            draw = sampling.poisson_draw(seed, F.col("replicate").cast("string"), F.col("a").cast("string"), F.col("b").cast("string"))
-            ci = verification.bootstrap_ci(scores, draw, replicates).where("metric = 'eer'").select(F.array("lo", "hi").alias("eer_ci95"))
-            v = v.join(ci)
+            drawn = verification.bootstrap_counts(by, replicates, seed)
+            v = v.join(verification.intervals(drawn).where("metric = 'eer'").select(F.array("lo", "hi").alias("eer_ci95")))
         else:
             v = v.withColumn("eer_ci95", F.lit(None).cast("array<double>"))
         v = v.withColumn("genuine", F.struct(F.col("genuine_mean").alias("mean"), F.col("genuine_std").alias("std"))).withColumn("impostor", F.struct(F.col("impostor_mean").alias("mean"), F.col("impostor_std").alias("std")))
@@ -216,16 +245,23 @@ def run_arm(captures: DataFrame, arm: Arm, protocol: str, seed: int, size: int =
         for name, how, share in conditions:
             covered = side(rows, "probe").select("sample_id", "subject_id", column)
             probe = feature(train, occluded(covered, how, share, seed, size), column, size)
-            m = identification.metrics(identification.decide(probe, gallery, kind, "template"), n_gallery).select(F.lit(name).alias("condition"), "rank1", F.col("n_probe").alias("n"))
+            m = identification.metrics(scratch.keep(identification.decide(probe, gallery, kind, "template"), "covered"), n_gallery).select(F.lit(name).alias("condition"), "rank1", F.col("n_probe").alias("n"))
             found = m if found is None else found.unionByName(m)
         out = out.join(of(found, "condition", "rank1", "n"))
         robust = F.col("m")
-    return out.select(F.lit(arm.key).alias("arm"), F.lit(protocol).alias("protocol"), F.lit(seed).cast("long").alias("seed"), F.lit(arm.feature).alias("feature"), F.lit(arm.matcher).alias("matcher"), "identification", "verification", robust.alias("robustness"))
+    record = out.select(F.lit(arm.key).alias("arm"), F.lit(protocol).alias("protocol"), F.lit(seed).cast("long").alias("seed"), F.lit(arm.feature).alias("feature"), F.lit(arm.matcher).alias("matcher"), "identification", "verification", robust.alias("robustness"))
+    return ArmResult(scratch.keep(record, "record"), decided, classes, scores)
+
+
+def run_arm(captures: DataFrame, arm: Arm, protocol: str, seed: int, size: int = 64, verify: bool = True, conditions: tuple[tuple[str, str, float], ...] = (), replicates: int = 1000) -> DataFrame:
+    """The run record (one row) of ``evaluate_arm``; its other tables are deleted."""
+    with Scratch(captures.sparkSession) as scratch:
+        return keep(evaluate_arm(captures, arm, protocol, seed, scratch, size, verify, conditions, replicates).record, "record")
 
 
 def run(captures: DataFrame, experiment: Experiment, size: int = 64, done: set[tuple] = frozenset(), modality: str | None = None, replicates: int = 1000) -> DataFrame | None:
-    """All run records of an experiment but those in ``done`` (protocol, seed, arm); None if nothing is left. An
-    experiment with conditions on seeds and arms shares nothing between runs, so each is a plan of its own."""
+    """All run records of an experiment but those in ``done`` (protocol, seed, arm); None if nothing is left. Each run is
+    done and written before the next begins."""
     out = None
     for protocol in experiment.protocols:
         for seed in experiment.seeds:

@@ -1,6 +1,6 @@
 """From photos, depth maps and meshes to arrays of one size, with a table as cache.
 
-Arrays are rows (sample_id, kind, cfg_hash, digest, ok, detail, data): ``image`` (brightness), ``depth``
+Arrays are rows (sample_id, kind, cfg_hash, digest, ok, detail, data, made): ``image`` (brightness), ``depth``
 (normalised range) and ``landmarks`` (five marks in space). A row is fresh while its settings' hash and
 its file's digest are the capture's; only captures without fresh rows are read and computed again.
 """
@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
@@ -24,7 +24,7 @@ from ..sources import images, toy
 
 #: Five marks on a square of 112 pixels that photos are aligned to, fixed values.
 TEMPLATE_112 = ((30.2946, 51.6963), (81.7054, 51.6963), (56.0, 71.5), (38.0, 88.0), (74.0, 88.0))
-SCHEMA = "sample_id string, kind string, cfg_hash string, digest string, ok boolean, detail string, data array<double>"
+SCHEMA = "sample_id string, kind string, cfg_hash string, digest string, ok boolean, detail string, data array<double>, made timestamp"
 
 
 def settings_hash(settings: dict) -> str:
@@ -119,16 +119,26 @@ def compute(rows: DataFrame, settings: dict) -> DataFrame:
                     out.append(base | {"kind": "landmarks", "ok": landmark_quality(points)["nosetip_ok"], "detail": "", "data": points.ravel().tolist()})
             yield pa.RecordBatch.from_pylist(out, _ARROW)
 
-    return rows.mapInArrow(run, SCHEMA)
+    return rows.mapInArrow(run, SCHEMA.replace(", made timestamp", "")).withColumn("made", F.current_timestamp())
 
 
 _ARROW = pa.schema([(n, pa.string()) for n in ("sample_id", "kind", "cfg_hash", "digest")] + [("ok", pa.bool_()), ("detail", pa.string()), ("data", pa.list_(pa.float64()))])
 
 
-def latest(arrays: DataFrame, settings: dict) -> DataFrame:
-    """The arrays that were computed with these settings, one for each capture and kind."""
+def latest(arrays: DataFrame, settings: dict, contents: DataFrame | None = None, manifest: DataFrame | None = None) -> DataFrame:
+    """The arrays that were computed with these settings, one for each capture and kind: those of the files as they are
+    now, by ``contents`` (path, content) and the manifest's paths; without these, the newest rows (``made``)."""
     of = F.when(F.col("kind") == "image", settings_hash(settings["2d"])).otherwise(settings_hash(settings["3d"]))
-    return arrays.where(F.col("cfg_hash") == of).dropDuplicates(["sample_id", "kind"])
+    x = arrays.where(F.col("cfg_hash") == of)
+    if contents is not None:
+        bare = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
+        now = contents.select(bare("path").alias("p"), F.sha2("content", 256).alias("digest"))
+        kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(p).alias("path")) for k, p in (("image", "path_2d"), ("depth", "path_3d"), ("landmarks", "path_3d"))])
+        wanted = manifest.select("sample_id", F.explode(kinds).alias("v")).select("sample_id", "v.*").where("path is not null")
+        wanted = wanted.join(now, bare(F.col("path")) == F.col("p")).select("sample_id", "kind", "digest")
+        x = x.join(wanted, ["sample_id", "kind", "digest"], "left_semi")
+    w = Window.partitionBy("sample_id", "kind").orderBy(F.col("made").desc_nulls_last(), F.col("digest"))
+    return x.withColumn("_r", F.row_number().over(w)).where("_r = 1").drop("_r")
 
 
 def flagged(manifest: DataFrame, arrays: DataFrame, modality: str = "both") -> DataFrame:
@@ -140,6 +150,14 @@ def flagged(manifest: DataFrame, arrays: DataFrame, modality: str = "both") -> D
     return m.select(manifest.columns)
 
 
+def absent(manifest: DataFrame, contents: DataFrame) -> DataFrame:
+    """Rows (sample_id, kind, path) of the manifest whose file isn't there: what preprocessing passes over."""
+    bare = lambda c: F.regexp_replace(c, r"^file:(//)?", "")
+    kinds = F.array(*[F.struct(F.lit(k).alias("kind"), F.col(p).alias("path")) for k, p in (("image", "path_2d"), ("depth", "path_3d"), ("landmarks", "path_landmarks"))])
+    x = manifest.select("sample_id", F.explode(kinds).alias("v")).select("sample_id", "v.*").where("path is not null")
+    return x.join(contents.select(bare("path").alias("p")), bare(F.col("path")) == F.col("p"), "left_anti")
+
+
 def captures(manifest: DataFrame, arrays: DataFrame, kinds: tuple[str, ...]) -> DataFrame:
     """The manifest's rows with a column for each kind of array. A capture that has the source of a kind but
     not its array is an error; so is a mix of real and synthetic captures."""

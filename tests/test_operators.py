@@ -233,10 +233,32 @@ def test_pca_equals_svd(spark):
         estimators.fit_lda(rows.limit(4))
 
 
-def test_projection_is_saved(tmp_path):
+def wide(rows, columns, rank, seed):
+    r = np.random.default_rng(seed)
+    return r.normal(size=(rows, rank)) * 0.8 ** np.arange(rank) @ np.linalg.qr(r.normal(size=(columns, rank)))[0].T + r.normal(size=columns)
+
+
+@pytest.mark.parametrize("rows, columns, way", [(38, 10_240, "_gram"), (300, 64, "moments"), (400, 90, "_iterated")])
+def test_pca_of_any_shape_equals_svd(spark, monkeypatch, rows, columns, way):
+    """Each way where it applies, and no other; the first without a matrix of columns by columns."""
+    x = wide(rows, columns, 25, rows)
+    if way == "_iterated":
+        monkeypatch.setattr(estimators, "WIDE", 64)
+    for other in {"_gram", "moments", "_iterated"} - {way}:
+        monkeypatch.setattr(estimators, other, None)
+    df = spark.createDataFrame([(f"{i:04d}", "S", x[i].tolist()) for i in range(rows)], "sample_id string, subject_id string, embedding array<double>").repartition(3)
+    p = estimators.fit_pca(df, most=12, keep=0.999)
+    _, s, v = np.linalg.svd(x - x.mean(0), full_matrices=False)
+    assert p.axes.shape == (columns, 12) and np.allclose(p.mean, x.mean(0)) and np.allclose(p.explained, (s**2 / (s**2).sum())[:12])
+    assert np.allclose(np.abs(np.einsum("ij,ji->i", p.axes.T, v[:12].T)), 1, atol=1e-6)
+    got = np.array([r["template"] for r in p.transform(df).orderBy("sample_id").collect()])
+    assert np.allclose(np.abs(got), np.abs((x - x.mean(0)) @ v[:12].T), atol=1e-5)
+
+
+def test_projection_is_saved(spark, tmp_path):
     p = estimators.Projection(np.zeros(2), np.eye(2), np.ones(2))
-    p.save(str(tmp_path / "p.npz"))
-    assert np.array_equal(estimators.Projection.load(str(tmp_path / "p.npz")).axes, p.axes)
+    p.save(str(tmp_path / "p"))
+    assert np.array_equal(estimators.Projection.load(str(tmp_path / "p")).axes, p.axes)
 
 
 def test_end_to_end(spark, tmp_path):
@@ -244,6 +266,7 @@ def test_end_to_end(spark, tmp_path):
     c = plan.select("sample_id", "subject_id", "pose_yaw", "pose_pitch", "illumination", "expression").join(toy.captures(plan).drop("subject_id"), "sample_id").persist()
     e = experiments.Experiment("E00", "toy", ("P1_closed", "P2_disjoint"), (0,), (experiments.Arm("2D", "hog", "nn_cosine"),))
     runs = experiments.run(c, e, replicates=20).persist()
+    assert len(runs._jdf.queryExecution().toString()) < 1_000_000
     assert runs.count() == 2 and runs.where("identification.rank1 > 0.4 and verification.auc > 0.45").count() == 2  # chance: 0.2 and 0.33
     files.write_runs(runs, str(tmp_path / "runs"))
     back = files.read_runs(spark, str(tmp_path / "runs"))
