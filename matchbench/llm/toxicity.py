@@ -8,12 +8,13 @@ runs of single letters ("i d i o t") are read as one word as well. A few hundred
 decision is a weighted sum of kernels with the landmarks, hence linear in the features, and is stored
 as one weight for each (hashed) feature: scoring costs a table lookup for each subsequence.
 
-The machine decides on words, not on sentences: a text's decision is the largest of its words', so
-sentence bounds don't matter, and a text whose insult is a combination of ordinary words isn't found.
+The machine decides on words, not on sentences; a text is judged by the two largest decisions of its different words
+together, so a single word that merely resembles insults weighs less than an insult or two such words. Sentence bounds
+don't matter, and a text whose insult is a combination of ordinary words isn't found.
 Training has labels of documents only. Candidates are words of toxic documents that are in no clean
-one, or in so few (``RATIO``) that chance is ruled out; all other words are clean. Seeds are those with letter sequences found in many toxic and hardly any clean
-documents; each round of training chooses anew the words that make toxic documents toxic. A logistic
-curve through the training documents' decisions gives scores from 0 to 1.
+one, or in so few (``RATIO``) that chance is ruled out; all other words are clean. Seeds are those with letter sequences, of four bytes or
+longer ones at a word's ends, found in many toxic and hardly any clean documents; each round of training chooses anew the words that make toxic documents toxic. A logistic
+curve over both decisions of the training documents gives scores from 0 to 1.
 
 The training sample is bounded (``Spec``), drawn by a hash of the id; scoring reads every whole text.
 
@@ -46,6 +47,8 @@ STEPS = tuple((a, b) for b in range(2, 5) for a in range(1, b))
 CHANCE = 1e-7
 #: How often, at most, what tells toxic documents is in clean ones, as a share of how often it is in toxic ones.
 RATIO = 0.1
+#: Range of a word's decision as far as a text's score goes.
+LOW, HIGH = -1.0, 2.0
 #: Words whose decisions a task remembers.
 REMEMBERED = 1 << 20
 _BEGIN, _END = 1, 2
@@ -67,15 +70,19 @@ class Spec:
 
 @dataclass(frozen=True)
 class Model:
-    """weights: by feature. The score is 1 / (1 + exp(-(slope * decision + shift)))."""
+    """weights: by feature. The score is 1 / (1 + exp(-(slope * best + second * second best + shift)))."""
 
     weights: np.ndarray
     bias: float
     slope: float
+    second: float
     shift: float
 
-    def probability(self, decision: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -500, 500)))
+    def probability(self, decisions: np.ndarray) -> np.ndarray:
+        """Scores of rows (best, second best), or of best decisions alone."""
+        if decisions.ndim == 1:
+            decisions = np.column_stack((decisions, np.full(len(decisions), LOW)))
+        return 1 / (1 + np.exp(-np.clip(decisions @ [self.slope, self.second] + self.shift, -500, 500)))
 
 
 def _letters(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -176,19 +183,31 @@ class Scorer:
         return value[back]
 
     def decisions(self, texts: pa.Array) -> np.ndarray:
+        """Rows (best, second best): the largest decisions of two different words of each text, within ``LOW`` and ``HIGH``."""
         out = []
         for data, ends in _letters(texts):
-            best = np.full(len(ends), -1.0)
+            best = np.full((len(ends), 2), LOW)
             at, size = _spans(data, ends)
             if len(at):
                 hashes, upto = word_hashes(data, ends)
                 value = self._words(hashes, data, at, size)
                 doc = np.repeat(np.arange(len(ends)), np.diff(np.concatenate(([0], upto))))
-                np.maximum.at(best, doc, value)
-                for d, v in self._spelled(data, at, size, doc):
-                    best[d] = max(best[d], v)
+                k = np.flatnonzero(value > LOW)
+                spelled = list(self._spelled(data, at, size, doc))
+                doc = np.concatenate((doc[k], np.array([d for d, _ in spelled], np.int64)))
+                value = np.concatenate((value[k], np.array([v for _, v in spelled])))
+                hashes = np.concatenate((hashes[k], np.arange(len(spelled)).astype(np.uint64)))
+                order = np.lexsort((hashes, -value, doc))
+                doc, value, hashes = doc[order], np.clip(value[order], LOW, HIGH), hashes[order]
+                new = np.ones(len(doc), bool)  # copies of a word have its decision, so they follow each other
+                new[1:] = (doc[1:] != doc[:-1]) | (hashes[1:] != hashes[:-1])
+                doc, value = doc[new], value[new]
+                first = np.flatnonzero(np.concatenate(([True], doc[1:] != doc[:-1]))) if len(doc) else np.empty(0, np.int64)
+                best[doc[first], 0] = value[first]
+                more = first[np.diff(np.append(first, len(doc))) > 1]
+                best[doc[more], 1] = value[more + 1]
             out.append(best)
-        return np.concatenate(out) if out else np.empty(0)
+        return np.concatenate(out) if out else np.empty((0, 2))
 
     def _spelled(self, data: np.ndarray, at: np.ndarray, size: np.ndarray, doc: np.ndarray) -> Iterator[tuple[int, float]]:
         """Runs of three or more single letters, read as words."""
@@ -266,9 +285,11 @@ def _hash_order(words) -> list[bytes]:
     return [w for _, w in sorted(zip(h, words, strict=True))]
 
 
-def _sequences(word: bytes, n: int = 4) -> set[bytes]:
+def _sequences(word: bytes, n: int = 4, longest: int = 10) -> set[bytes]:
+    """All sequences of four bytes, and longer ones at both ends of the word, where stems and endings are."""
     word = b"\1" + word + b"\2"
-    return {word[i : i + n] for i in range(max(1, len(word) - n + 1))}
+    inner = {word[i : i + n] for i in range(max(1, len(word) - n + 1))}
+    return inner | {x for k in range(n + 1, min(longest, len(word)) + 1) for x in (word[:k], word[-k:])}
 
 
 class _Grams:
@@ -294,11 +315,20 @@ class _Grams:
 
 def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec()) -> Model:
     """Fit on the texts of toxic and clean documents."""
+    share = len(toxic) / max(1, len(toxic) + len(clean))
+    fitted = _fit(toxic, clean, spec)
+    if fitted is None:
+        return Model(np.zeros(DIMS), 0.0, 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (500.0 if share else -500.0))
+    scorer = Scorer(Model(*fitted, 1.0, 0.0, 0.0))
+    d = np.concatenate([scorer.decisions(pa.array([t], pa.string())) for t in (*toxic, *clean)])
+    return Model(*fitted, *_curve(d, len(toxic)))
+
+
+def _fit(toxic: list[str | None], clean: list[str | None], spec: Spec) -> tuple[np.ndarray, float] | None:
+    """Weights and bias; None if no word tells toxic documents."""
     vocabulary: dict[bytes, int] = {}
     bags, others = _bags(toxic, vocabulary), _bags(clean, vocabulary)
     words = list(vocabulary)
-    share = len(toxic) / max(1, len(toxic) + len(clean))
-    flat = Model(np.zeros(DIMS), 0.0, 0.0, float(np.log(share / (1 - share))) if 0 < share < 1 else (500.0 if share else -500.0))
     none = [np.empty(0, np.int32)]
     often, in_clean_docs = (np.bincount(np.concatenate(x + none), minlength=len(words)) for x in (bags, others))
     doubtful = (often > 0) & (in_clean_docs == 0)
@@ -306,7 +336,7 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
     for i in np.flatnonzero((often > 0) & (in_clean_docs > 0) & (in_clean_docs * len(bags) <= RATIO * often * len(others))):
         doubtful[i] = _tail(int(in_clean_docs[i]), int(often[i] + in_clean_docs[i]), len(others) / (len(bags) + len(others))) < CHANCE
     if not doubtful.any() or not in_clean_docs.any():
-        return flat
+        return None
     bags = [b[doubtful[b]] for b in bags]
     give_back()
     grams = _Grams(words)
@@ -356,26 +386,23 @@ def train(toxic: list[str | None], clean: list[str | None], spec: Spec = Spec())
                     if decision[best] > 0.5:
                         kept[best] = True
             chosen = kept if kept.any() else chosen
-    weights = (z @ (root @ beta).astype(np.float32)).astype(np.float64)
-    scorer = Scorer(Model(weights, bias, 1.0, 0.0))
-    d = np.concatenate([scorer.decisions(pa.array([t], pa.string())) for t in (*toxic, *clean)])
-    return Model(weights, bias, *_curve(d, len(toxic)))
+    return (z @ (root @ beta).astype(np.float32)).astype(np.float64), bias
 
 
-def _curve(d: np.ndarray, positives: int) -> tuple[float, float]:
-    """Slope and shift of a logistic curve, with targets drawn in as usual for such fits."""
+def _curve(d: np.ndarray, positives: int) -> tuple[float, float, float]:
+    """Slopes and shift of a logistic curve, with targets drawn in as usual for such fits."""
     n = len(d) - positives
     t = np.concatenate((np.full(positives, (positives + 1) / (positives + 2)), np.full(n, 1 / (n + 2))))
     x = np.column_stack((d, np.ones(len(d))))
-    beta = np.array([1.0, 0.0])
+    beta = np.array([1.0, 0.0, 0.0])
     for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(x @ beta, -30, 30)))
-        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(2)
+        h = (x * (p * (1 - p) + 1e-9)[:, None]).T @ x + 1e-6 * np.eye(3)
         step = np.linalg.solve(h, x.T @ (p - t))
         beta = beta - np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-9:
             break
-    return float(beta[0]), float(beta[1])
+    return float(beta[0]), float(beta[1]), float(beta[2])
 
 
 def held_out(doc_id) -> object:
@@ -394,10 +421,10 @@ def fit(docs: DataFrame, labels: DataFrame, spec: Spec = Spec()) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = sorted((t, x) for b in batches for t, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
         m = train([x for t, x in held if t], [x for t, x in held if not t], spec)
-        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (m.bias, m.slope, m.shift)]], ["weights", "bias", "slope", "shift"])
+        yield pa.RecordBatch.from_arrays([pa.array([m.weights.tobytes()], pa.binary()), *[pa.array([float(v)]) for v in (m.bias, m.slope, m.second, m.shift)]], ["weights", "bias", "slope", "second", "shift"])
 
-    found = rows.repartition(1).mapInArrow(giving_back(run), "weights binary, bias double, slope double, shift double").first()
-    return Model(np.frombuffer(found["weights"]), found["bias"], found["slope"], found["shift"]) if found else train([], [], spec)
+    found = rows.repartition(1).mapInArrow(giving_back(run), "weights binary, bias double, slope double, second double, shift double").first()
+    return Model(np.frombuffer(found["weights"]), found["bias"], found["slope"], found["second"], found["shift"]) if found else train([], [], spec)
 
 
 def annotate(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
