@@ -648,20 +648,6 @@ def test_kernel_equals_brute_force():
     assert np.allclose(dense @ dense.T, want, atol=1e-9)
 
 
-def test_decisions_are_of_two_different_words():
-    """The two largest of each text's different words, spelled ones included, against a word at a time."""
-    r = np.random.default_rng(3)
-    toxic, clean = [prose(30, 9000 + i) + " blorgface zwumpf" for i in range(30)], [prose(30, 9500 + i) for i in range(60)]
-    m = toxicity.train(toxic, clean)
-    s = toxicity.Scorer(m)
-    texts = [*toxic[:5], "blorgface blorgface", "", None, "b l o r g f a c e and zwumpf", " ".join(r.permutation(WORDS)[:40])]
-    for t, got in zip(texts, s.decisions(pa.array(texts, pa.string())), strict=True):
-        w = {x for x in (t or "").split() if len(x) > 1} | ({"blorgface"} if t and "b l o" in t else set())
-        want = sorted([*(toxicity.Scorer(m).decisions(pa.array([x]))[0, 0] for x in w), -1.0, -1.0], reverse=True)[:2]
-        assert np.allclose(got, want)
-    assert s.decisions(pa.array(["blorgface blorgface"]))[0, 1] < s.decisions(pa.array(["blorgface zwumpf"]))[0, 1]
-
-
 def test_toxicity_tables(spark, docs):
     one_class = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
     out = toxicity.annotate(docs, toxicity.fit(docs, one_class))
