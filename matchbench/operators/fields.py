@@ -6,6 +6,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import numbering
+
 
 def to_grid(images: DataFrame, width: int, vector: str = "embedding") -> DataFrame:
     """Row-major arrays as pixels."""
@@ -130,19 +132,27 @@ def box_landmarks(boxes: DataFrame) -> DataFrame:
     return boxes.select("*", at).select("sample_id", "i", (F.col("x") + F.col("f.u") * F.col("w")).alias("px"), (F.col("y") + F.col("f.v") * F.col("h")).alias("py"))
 
 
-def crop_cloud(points: DataFrame, keys: list[str], ratio: float = 0.85, least: int = 100) -> DataFrame:
+def crop_cloud(points: DataFrame, keys: list[str], ratio: float = 0.85, least: int = 100, huge: bool = False) -> DataFrame:
     """Clouds (keys, px, py, pz) centred on the medians of px and py, without points farther off in
     either than ``ratio`` times the larger 5 to 95 percentile span; a cloud that would keep fewer than
-    ``least`` points stays whole."""
-    q = lambda c, p: F.percentile(c, F.lit(p))
-    b = points.groupBy(*keys).agg(
-        q("px", 0.5).alias("mx"), q("py", 0.5).alias("my"),
-        (F.greatest(q("px", 0.95) - q("px", 0.05), q("py", 0.95) - q("py", 0.05), F.lit(1e-4)) * ratio).alias("reach"),
-    )
+    ``least`` points stays whole. ``huge`` is for few clouds of any size: their percentiles come from counts
+    (``numbering.quantiles``), so no task holds a cloud's values; else a cloud's distinct values meet in one."""
+    if huge:
+        shares = {0.05: "l", 0.5: "m", 0.95: "h"}
+        q = numbering.quantiles(points, keys, ["px", "py"], list(shares))
+        pick = lambda c, p: F.max(F.when((F.col("column") == c) & (F.col("share") == p), F.col("value")))
+        q = q.groupBy(*keys).agg(*[pick(c, p).alias(c[1] + n) for c in ("px", "py") for p, n in shares.items()])
+        b = F.broadcast(q).select(*keys, F.col("xm").alias("mx"), F.col("ym").alias("my"), (F.greatest(F.col("xh") - F.col("xl"), F.col("yh") - F.col("yl"), F.lit(1e-4)) * ratio).alias("reach"))
+    else:
+        q = lambda c, p: F.percentile(c, F.lit(p))
+        b = points.groupBy(*keys).agg(
+            q("px", 0.5).alias("mx"), q("py", 0.5).alias("my"),
+            (F.greatest(q("px", 0.95) - q("px", 0.05), q("py", 0.95) - q("py", 0.05), F.lit(1e-4)) * ratio).alias("reach"),
+        )
     x = points.join(b, keys).withColumn("px", F.col("px") - F.col("mx")).withColumn("py", F.col("py") - F.col("my"))
     x = x.withColumn("inside", (F.abs("px") <= F.col("reach")) & (F.abs("py") <= F.col("reach")))
     kept = x.groupBy(*keys).agg(F.count_if("inside").alias("kept"))
-    return x.join(kept, keys).where(F.col("inside") | (F.col("kept") < least)).drop("mx", "my", "reach", "inside", "kept")
+    return x.join(F.broadcast(kept) if huge else kept, keys).where(F.col("inside") | (F.col("kept") < least)).drop("mx", "my", "reach", "inside", "kept")
 
 
 def depth_to_cloud(grid: DataFrame, size: int, scene_mm: float = 160.0) -> DataFrame:

@@ -208,11 +208,34 @@ ORACLE["bbox_landmarks"] = f"""WITH {_PT}, b AS (SELECT sample_id, min(px * 1000
  h AS (SELECT *, greatest(x1 - x0, y1 - y0) / 2 * 1.35::DOUBLE AS half FROM b) SELECT sample_id, trunc((x0 + x1) / 2 - half)::INT AS x, trunc((y0 + y1) / 2 - half)::INT AS y, trunc(half * 2)::INT AS side FROM h"""
 ORACLE["box_landmarks"] = """WITH f AS (SELECT * FROM (VALUES (0, 0.32, 0.38), (1, 0.68, 0.38), (2, 0.5, 0.55), (3, 0.36, 0.73), (4, 0.64, 0.73)) t(i, u, v))
  SELECT vec_id AS sample_id, i::BIGINT AS i, round((vec_id % 7)::DOUBLE + u::DOUBLE * (vec_id % 11), 6) AS px, round((vec_id % 5)::DOUBLE + v::DOUBLE * (vec_id % 13), 6) AS py FROM embeddings, f"""
+ORACLE["classify_knn"] = f"""WITH {_C}, t AS (SELECT * FROM c WHERE pose_yaw = 0 AND illumination = 'normal'), q AS (SELECT * FROM c ANTI JOIN t USING (sample_id)),
+s AS (SELECT q.sample_id AS probe_id, t.sample_id AS gallery_id, t.subject_id, round(-sqrt(list_sum(list_transform(list_zip(q.v, t.v), lambda e: (e[1] - e[2]) * (e[1] - e[2])))), 9) AS score FROM q, t),
+r AS (SELECT *, row_number() OVER (PARTITION BY probe_id ORDER BY score DESC, gallery_id) AS rank FROM s),
+n AS (SELECT probe_id, subject_id, count(*) AS n FROM r WHERE rank <= 3 GROUP BY ALL)
+SELECT probe_id, subject_id AS predicted FROM n QUALIFY row_number() OVER (PARTITION BY probe_id ORDER BY n DESC, subject_id) = 1"""
 ORACLE["cloud_crop"] = """WITH q AS (SELECT l_returnflag, l_orderkey, l_linenumber, l_quantity::DOUBLE AS px, (l_discount * 100)::DOUBLE AS py, l_tax::DOUBLE AS pz FROM lineitem),
  b AS (SELECT l_returnflag, quantile_cont(px, 0.5) AS mx, quantile_cont(py, 0.5) AS my, greatest(quantile_cont(px, 0.95) - quantile_cont(px, 0.05), quantile_cont(py, 0.95) - quantile_cont(py, 0.05), 1e-4) * 0.85::DOUBLE AS reach FROM q GROUP BY 1),
  x AS (SELECT l_returnflag, l_orderkey, l_linenumber, px - mx AS px, py - my AS py, pz, abs(px - mx) <= reach AND abs(py - my) <= reach AS inside FROM q JOIN b USING (l_returnflag)),
  k AS (SELECT *, count(*) FILTER (inside) OVER (PARTITION BY l_returnflag) AS kept FROM x)
  SELECT l_returnflag, l_orderkey, l_linenumber, round(px, 6) AS px, round(py, 6) AS py, round(pz, 6) AS pz FROM k WHERE inside OR kept < 100"""
+ORACLE["cloud_crop_huge"] = ORACLE["cloud_crop"]
+ORACLE["range_image_pixels"] = f"SELECT sample_id, i, value FROM ({KERNELS['range_image']})"
+_NEAR = """n AS (SELECT h.sample_id, h.y, h.x, arg_min(k.z, [(h.y - k.y) * (h.y - k.y) + (h.x - k.x) * (h.x - k.x), k.y, k.x]) AS z
+      FROM {0} h JOIN {0} k USING (sample_id) WHERE h.z IS NULL AND k.z IS NOT NULL GROUP BY ALL)
+ SELECT {0}.sample_id, {0}.y, {0}.x, round(coalesce({0}.z, n.z), 6) AS z FROM {0} LEFT JOIN n USING (sample_id, y, x)"""
+ORACLE["fill_nearest"] = f"WITH {_G}, q AS MATERIALIZED (SELECT sample_id, y, x, CASE WHEN z >= 0 THEN z END AS z FROM px), {_NEAR.format('q')}"
+_MESH = f"""WITH {_G}, c AS (SELECT sample_id, y * 8 + x AS k, x + 0.25::DOUBLE * z AS px, y::DOUBLE AS py, z FROM px),
+ v AS MATERIALIZED (SELECT sample_id, k, px * (15 / 7.0::DOUBLE) AS u, py * (15 / 7.0::DOUBLE) AS v, z AS w FROM c),
+ f AS (SELECT k * 2 + n AS face, k + CASE n WHEN 0 THEN 0 ELSE 1 END AS a, k + CASE n WHEN 0 THEN 1 ELSE 9 END AS b, k + 8 AS c FROM range(0, 56) t(k), range(0, 2) s(n) WHERE k % 8 < 7),
+ t AS (SELECT a.sample_id, face, a.u AS u0, a.v AS v0, a.w AS w0, b.u AS u1, b.v AS v1, b.w AS w1, c.u AS u2, c.v AS v2, c.w AS w2
+       FROM f JOIN v a ON a.k = f.a JOIN v b ON b.k = f.b AND b.sample_id = a.sample_id JOIN v c ON c.k = f.c AND c.sample_id = a.sample_id),
+ e AS (SELECT *, (v1 - v2) * (u0 - u2) + (u2 - u1) * (v0 - v2) AS area FROM t),
+ h AS (SELECT sample_id, face, y::INT AS y, x::INT AS x, ((v1 - v2) * (x - u2) + (u2 - u1) * (y - v2)) / area AS sa, ((v2 - v0) * (x - u2) + (u0 - u2) * (y - v2)) / area AS sb, w0, w1, w2
+       FROM e, range(0, 16) p(y), range(0, 16) q(x) WHERE abs(area) >= 1e-12),
+ i AS (SELECT sample_id, y, x, arg_max(sa * w0 + sb * w1 + (1 - sa - sb) * w2, face) AS z FROM h WHERE sa >= -1e-9 AND sb >= -1e-9 AND 1 - sa - sb >= -1e-9 GROUP BY ALL),
+ g AS MATERIALIZED (SELECT sample_id, y::INT AS y, x::INT AS x, z FROM (SELECT sample_id, y, x FROM (SELECT DISTINCT sample_id FROM v), range(0, 16) p(y), range(0, 16) q(x)) LEFT JOIN i USING (sample_id, y, x))"""
+ORACLE["mesh_interpolate"] = f"{_MESH} SELECT sample_id, y, x, round(z, 6) AS z FROM g"
+ORACLE["mesh_to_depth"] = f"{_MESH}, {_NEAR.format('g')}"
 _RUNS = "WITH runs AS (SELECT event_type AS arm, user_id % 5 AS seed, value::DOUBLE AS rank1 FROM events), b AS (SELECT arm, seed, avg(rank1) AS rank1, max(rank1) AS top, count(*) AS n FROM runs GROUP BY 1, 2)"
 ORACLE["seed_mean_std"] = f"{_RUNS} SELECT arm, count(*) AS n, round(avg(rank1), 6) AS mean, round(CASE WHEN count(*) = 1 THEN 0 ELSE stddev_samp(rank1) END, 6) AS std FROM b GROUP BY 1"
 ORACLE["seed_summary"] = f"{_RUNS} SELECT arm, round(avg(rank1), 6) AS rank1_mean, round(stddev_samp(rank1), 6) AS rank1_std, round(avg(top), 6) AS top_mean, round(stddev_samp(top), 6) AS top_std FROM b GROUP BY 1"

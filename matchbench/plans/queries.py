@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions import kernels as K
-from ..operators import estimators, fields, identification, manifest, reporting, sampling, scoring, splits, verification
+from ..operators import classifiers, estimators, fields, identification, manifest, meshes, reporting, sampling, scoring, splits, verification
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -312,6 +312,28 @@ def weight_sweep(spark, sf_dir):
     return x.groupBy("weight").agg(r6(F.avg((F.col("t") == F.col("u")).cast("double")), "rank1"))
 
 
+def _classified(spark, sf_dir, name):
+    """Frontal captures in normal light are the training rows, all others the probes."""
+    c = captures(spark, sf_dir)
+    train = splits.frontal_neutral(c)
+    return classifiers.classify(name, c.join(train.select("sample_id"), "sample_id", "left_anti"), train)
+
+
+@query
+def classify_knn(spark, sf_dir):
+    return _classified(spark, sf_dir, "knn3")
+
+
+@query
+def classify_svm_linear(spark, sf_dir):
+    return _classified(spark, sf_dir, "svm_linear")
+
+
+@query
+def classify_svm_rbf(spark, sf_dir):
+    return _classified(spark, sf_dir, "svm_rbf")
+
+
 @query
 def concat_features(spark, sf_dir):
     v = C.doubles(F.col("embedding"))
@@ -528,10 +550,9 @@ def box_landmarks(spark, sf_dir):
     return fields.box_landmarks(b).select("sample_id", F.col("i").cast("long").alias("i"), r6("px", "px"), r6("py", "py"))
 
 
-@query
-def cloud_crop(spark, sf_dir):
+def _cropped(spark, sf_dir, huge):
     p = read(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("double").alias("px"), (F.col("l_discount") * 100).cast("double").alias("py"), F.col("l_tax").cast("double").alias("pz"))
-    return fields.crop_cloud(p, ["l_returnflag"]).select("l_returnflag", "l_orderkey", "l_linenumber", r6("px", "px"), r6("py", "py"), r6("pz", "pz"))
+    return fields.crop_cloud(p, ["l_returnflag"], huge=huge).select("l_returnflag", "l_orderkey", "l_linenumber", r6("px", "px"), r6("py", "py"), r6("pz", "pz"))
 
 
 # --- reports -------------------------------------------------------------------------------------------
@@ -541,6 +562,49 @@ def _runs(spark, sf_dir):
     return read(spark, sf_dir, "events").select(F.col("event_type").alias("arm"), (F.col("user_id") % 5).alias("seed"), F.col("value").cast("double").alias("rank1"))
 
 
+@query
+def cloud_crop(spark, sf_dir):
+    return _cropped(spark, sf_dir, False)
+
+
+@query
+def cloud_crop_huge(spark, sf_dir):
+    """``cloud_crop`` by counts, for few clouds of any size."""
+    return _cropped(spark, sf_dir, True)
+
+
+@query
+def fill_nearest(spark, sf_dir):
+    """Grids whose negative cells are gaps."""
+    g = grid(spark, sf_dir).withColumn("z", F.when(F.col("z") >= 0, F.col("z")))
+    return meshes.fill_nearest(g).select("sample_id", "y", "x", r6("z", "z"))
+
+
+@query
+def range_image_pixels(spark, sf_dir):
+    """``range_image`` as column expressions."""
+    z = meshes.range_image(grid(spark, sf_dir), 8, 8, 16)
+    return z.select("sample_id", (F.col("y") * 16 + F.col("x")).cast("long").alias("i"), r6("z", "value"))
+
+
+def _mesh(spark, sf_dir):
+    """Each capture's values as heights of 8 x 8 vertices, moved sideways by their heights; two faces a cell."""
+    v = grid(spark, sf_dir).select("sample_id", (F.col("y") * 8 + F.col("x")).alias("vertex"), (F.col("x") + 0.25 * F.col("z")).alias("px"), F.col("y").cast("double").alias("py"), F.col("z").alias("pz"))
+    cell = v.where("vertex % 8 < 7 and vertex < 56").select("sample_id", F.col("vertex").alias("k"))
+    face = F.explode(F.array(*[F.struct((F.col("k") * 2 + n).alias("face"), *[(F.col("k") + d).alias(c) for c, d in zip("abc", of, strict=True)]) for n, of in enumerate(((0, 1, 8), (1, 9, 8)))]))
+    return v, cell.select("sample_id", face.alias("f")).select("sample_id", "f.*")
+
+
+@query
+def mesh_interpolate(spark, sf_dir):
+    return meshes.interpolate(*_mesh(spark, sf_dir), 16, 0.0, 7.0).select("sample_id", "y", "x", r6("z", "z"))
+
+
+@query
+def mesh_to_depth(spark, sf_dir):
+    return meshes.mesh_to_depth(*_mesh(spark, sf_dir), 16, 0.0, 7.0).select("sample_id", "y", "x", r6("z", "z"))
+
+
 @query
 def seed_mean_std(spark, sf_dir):
     by = _runs(spark, sf_dir).groupBy("arm", "seed").agg(F.avg("rank1").alias("rank1"))
