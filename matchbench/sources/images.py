@@ -86,3 +86,21 @@ def gray(image: np.ndarray) -> np.ndarray:
     """Brightness in [0, 1]."""
     a = np.asarray(image, np.float64) / 255
     return a @ np.array([0.299, 0.587, 0.114]) if a.ndim == 3 else a
+
+
+def size(head: bytes) -> tuple[int, int] | None:
+    """Width and height from the first bytes of a photo (PGM, PPM, PNG, BMP, JPEG); None if they don't tell."""
+    if m := _MAP_HEAD.match(head):
+        return int(m[2]), int(m[3])
+    if head.startswith(_PNG) and len(head) >= 24:
+        return struct.unpack(">II", head[16:24])
+    if head.startswith(b"BM") and len(head) >= 26:
+        w, h = struct.unpack("<ii", head[18:26])
+        return w, abs(h)
+    at = 2 if head.startswith(b"\xff\xd8") else len(head)
+    while at + 9 <= len(head) and head[at] == 0xFF:  # segments up to the frame's
+        if 0xC0 <= head[at + 1] <= 0xCF and head[at + 1] not in (0xC4, 0xC8, 0xCC):
+            h, w = struct.unpack(">HH", head[at + 5 : at + 9])
+            return w, h
+        at += 2 + int.from_bytes(head[at + 2 : at + 4], "big")
+    return None
