@@ -61,7 +61,7 @@ def ingest(spark: SparkSession, a: argparse.Namespace) -> None:
 def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
     """Compute missing arrays, then flag the manifest. Arrays are appended, so what is fresh isn't read again."""
     m = files.read_manifest(spark, f"{a.data_root}/processed/{a.dataset}/manifest").persist()
-    path, settings = f"{a.data_root}/interim/{a.dataset}", config.settings(a.dataset)
+    path, settings = f"{a.data_root}/interim/{a.dataset}", config.preprocessing({"dataset": a.dataset}, a.configs_root)
     cache = spark.read.schema(preprocess.SCHEMA).parquet(path) if _has(path) else None
     contents = files.listing(spark, f"{a.data_root}/raw/{a.dataset}")
     missing = preprocess.absent(m, contents).groupBy("kind").count().collect()
@@ -79,7 +79,7 @@ def prepare(spark: SparkSession, a: argparse.Namespace) -> None:
 
 def captures(spark: SparkSession, a: argparse.Namespace, e: experiments.Experiment) -> DataFrame:
     m = files.read_manifest(spark, f"{a.data_root}/processed/{e.dataset}/manifest")
-    settings = e.settings.get("preprocess") or config.settings(e.dataset)
+    settings = e.settings.get("preprocess") or config.preprocessing({"dataset": e.dataset}, a.configs_root)
     arrays = preprocess.latest(spark.read.schema(preprocess.SCHEMA).parquet(f"{a.data_root}/interim/{e.dataset}"), settings, files.listing(spark, f"{a.data_root}/raw/{e.dataset}"), m)
     return preprocess.captures(m, arrays, experiments.kinds(e)).persist()
 

@@ -202,20 +202,20 @@ def _mapped(shared):
 
 
 @CLASSIFIERS.register("svm_linear")
-def _svm_linear(probe, train, vector):
-    return fit_machines(train, "linear", vector=vector).predict(probe, vector).select("probe_id", "predicted")
+def _svm_linear(probe, train, vector, **how):
+    return fit_machines(train, "linear", vector=vector, **how).predict(probe, vector).select("probe_id", "predicted")
 
 
 @CLASSIFIERS.register("svm_rbf")
-def _svm_rbf(probe, train, vector):
-    return fit_machines(train, "rbf", vector=vector).predict(probe, vector).select("probe_id", "predicted")
+def _svm_rbf(probe, train, vector, **how):
+    return fit_machines(train, "rbf", vector=vector, **how).predict(probe, vector).select("probe_id", "predicted")
 
 
 @CLASSIFIERS.register("knn3")
-def _knn3(probe, train, vector):
-    return vote_nearest(probe, train, 3, vector=vector).select("probe_id", "predicted")
+def _knn3(probe, train, vector, k=3):
+    return vote_nearest(probe, train, k, vector=vector).select("probe_id", "predicted")
 
 
-def classify(name: str, probe: DataFrame, train: DataFrame, vector: str = "embedding") -> DataFrame:
+def classify(name: str, probe: DataFrame, train: DataFrame, vector: str = "embedding", **how) -> DataFrame:
     """Rows (probe_id, predicted) of a registered classifier. (Their scores of pairs are cosines: see ``registry``.)"""
-    return CLASSIFIERS.get(name)(probe, train, vector)
+    return CLASSIFIERS.get(name)(probe, train, vector, **how)

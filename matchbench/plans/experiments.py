@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import partial
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,9 @@ class Arm:
     key: str
     feature: str
     matcher: str
+    #: As files name them (``PARAMETERS``, ``MATCHER_PARAMETERS``).
+    feature_params: dict = field(default_factory=dict)
+    matcher_params: dict = field(default_factory=dict)
 
 
 @dataclass(frozen=True)
@@ -70,31 +74,34 @@ def kinds(experiment: Experiment) -> tuple[str, ...]:
 
 def _fixed(kernel):
     """A feature without a fit."""
-    return lambda train, rows, column, size: K.apply(rows, column, kernel, (size, size))
+    return lambda train, rows, column, size, **how: K.apply(rows, column, partial(kernel, **how), (size, size))
 
 
-def _pca(train: DataFrame, rows: DataFrame, column: str, size: int) -> DataFrame:
-    return estimators.fit_pca(train, column).transform(rows, column)
+def _pca(train: DataFrame, rows: DataFrame, column: str, size: int, keep: float = 0.95, most: int = 150, drop: int = 0) -> DataFrame:
+    p = estimators.fit_pca(train, column, keep, most)
+    if drop >= p.axes.shape[1]:
+        raise ValueError(f"all {p.axes.shape[1]} components would be dropped")
+    return estimators.Projection(p.mean, p.axes[:, drop:], p.explained[drop:]).transform(rows, column)
 
 
-def _lda(train: DataFrame, rows: DataFrame, column: str, size: int) -> DataFrame:
-    return estimators.fit_lda(train, column).transform(rows, column)
+def _lda(train: DataFrame, rows: DataFrame, column: str, size: int, most: int = 50) -> DataFrame:
+    return estimators.fit_lda(train, column, most).transform(rows, column)
 
 
-def _gabor(train: DataFrame, rows: DataFrame, column: str, size: int) -> DataFrame:
-    raw = lambda d: K.apply(d, column, K.gabor, (size, size))
-    return estimators.fit_pca(raw(train), "template", keep=1.0, most=200).transform(raw(rows), "template")
+def _gabor(train: DataFrame, rows: DataFrame, column: str, size: int, most: int = 200, **how) -> DataFrame:
+    raw = lambda d: K.apply(d, column, partial(K.gabor, **how), (size, size))
+    return estimators.fit_pca(raw(train), "template", keep=1.0, most=most).transform(raw(rows), "template")
 
 
-def _curvature(train: DataFrame, rows: DataFrame, column: str, size: int) -> DataFrame:
-    """48 bins: mean and Gaussian curvature and shape index, 16 each."""
+def _curvature(train: DataFrame, rows: DataFrame, column: str, size: int, bins: int = 16) -> DataFrame:
+    """Mean and Gaussian curvature and shape index, ``bins`` each."""
     c = fields.curvature(fields.to_grid(rows, size, column)).select("sample_id", F.explode(F.array(*[F.struct(F.lit(i).alias("ch"), F.col(n).alias("z")) for i, n in enumerate(("h", "k", "shape_index"))])).alias("v"))
     c = c.select(F.concat_ws("\t", F.col("sample_id").cast("string"), F.col("v.ch").cast("string")).alias("sample_id"), "v.z")
-    h = fields.curvature_histogram(c).select(F.split("sample_id", "\t").alias("k"), "bin", "share")
-    h = h.select(F.element_at("k", 1).alias("sid"), (F.element_at("k", 2).cast("int") * 16 + F.col("bin")).alias("i"), "share")
+    h = fields.curvature_histogram(c, bins).select(F.split("sample_id", "\t").alias("k"), "bin", "share")
+    h = h.select(F.element_at("k", 1).alias("sid"), (F.element_at("k", 2).cast("int") * bins + F.col("bin")).alias("i"), "share")
     packed = h.groupBy("sid").agg(F.map_from_entries(F.collect_list(F.struct("i", "share"))).alias("m"))
     x = rows.select("sample_id", "subject_id").join(packed, rows["sample_id"].cast("string") == packed["sid"])
-    return x.select("sample_id", "subject_id", F.transform(F.sequence(F.lit(0), F.lit(47)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("template"))
+    return x.select("sample_id", "subject_id", F.transform(F.sequence(F.lit(0), F.lit(3 * bins - 1)), lambda i: F.coalesce(F.col("m")[i], F.lit(0.0))).alias("template"))
 
 
 def _landmarks(train: DataFrame, rows: DataFrame, column: str, size: int) -> DataFrame:
@@ -107,17 +114,58 @@ def _landmarks(train: DataFrame, rows: DataFrame, column: str, size: int) -> Dat
     return rows.select("sample_id", "subject_id").join(packed, "sample_id")
 
 
+def _normal_hog(a, **how):
+    return K.hog(_slope(_normals(a)), **how)
+
+
+def _slope(n):
+    import numpy as np
+
+    return np.linalg.norm(n[..., :2], axis=2)
+
+
 def _unavailable(train, rows, column, size):
     raise RuntimeError("this feature needs an external network's weights, which aren't shipped")
 
 
 for _n, _f in {
     "pca": _pca, "depth_pca": _pca, "lda": _lda, "lbp": _fixed(K.lbp), "depth_lbp": _fixed(K.lbp), "hog": _fixed(K.hog),
-    "normal_hog": _fixed(lambda a: K.normal_hog(_normals(a))), "gabor": _gabor, "curv_hist": _curvature, "lmk3d": _landmarks, "arcface": _unavailable,
+    "normal_hog": _fixed(_normal_hog), "gabor": _gabor, "curv_hist": _curvature, "lmk3d": _landmarks, "arcface": _unavailable,
 }.items():
     FEATURES.add(_n, _f)
 
 
+def _square(v) -> int:
+    v = [int(x) for x in (v if isinstance(v, (list, tuple)) else (v, v))]
+    if len(v) != 2 or v[0] != v[1] or v[0] < 1:
+        raise ValueError(f"{v} must be two equal positive numbers")
+    return v[0]
+
+
+_AXES = {"variance_keep": ("keep", float), "max_components": ("most", int), "drop_first_k": ("drop", int)}
+_PATTERNS = {"points": ("points", int), "radius": ("radius", float), "blocks": ("blocks", int)}
+_GRADIENTS = {"orientations": ("orientations", int), "pixels_per_cell": ("cell", _square), "cells_per_block": ("block", _square)}
+#: Parameters of features and matchers by their names in files: the argument, and how its value is read.
+PARAMETERS = {
+    "pca": _AXES, "depth_pca": _AXES, "lda": {"max_components": ("most", int)}, "lbp": _PATTERNS, "depth_lbp": _PATTERNS, "hog": _GRADIENTS, "normal_hog": _GRADIENTS, "curv_hist": {"bins": ("bins", int)},
+    "gabor": {"frequencies": ("frequencies", lambda v: tuple(map(float, v))), "orientations": ("orientations", int), "downsample_factor": ("factor", int), "pca_components": ("most", int)},
+}
+MATCHER_PARAMETERS = {"svm_linear": {"C": ("c", float)}, "svm_rbf": {"C": ("c", float), "gamma": ("gamma", lambda v: None if v == "scale" else float(v))}, "knn3": {"k": ("k", int)}}
+
+
+def arguments(known: dict, name: str, given: dict) -> dict:
+    """Arguments from the parameters of a file; unknown ones are errors."""
+    names = known.get(name, {})
+    if unknown := sorted(set(given) - set(names)):
+        raise ValueError(f"{name} has no parameters {unknown}; known: {sorted(names)}")
+    return {names[k][0]: names[k][1](v) for k, v in given.items()}
+
+
+def feature_of(arm: Arm):
+    """An arm's feature with its parameters: (train, rows, column, size) to templates."""
+    return partial(FEATURES.get(arm.feature), **arguments(PARAMETERS, arm.feature, arm.feature_params))
+
+
 def _normals(a):
     import numpy as np
 
@@ -205,7 +253,7 @@ def evaluate_arm(
     Templates, decisions, scores and one table of counts are written as they are made, so no plan holds another
     one's; every figure of the curve comes from those counts.
     """
-    column, kind, feature = _side(arm.feature), MATCHERS.get(arm.matcher), FEATURES.get(arm.feature)
+    column, kind, feature = _side(arm.feature), MATCHERS.get(arm.matcher), feature_of(arm)
     train, roles_ = roles(captures, protocol, seed) if split is None else (captures.join(split[0], "sample_id", "left_semi"), split[1])
     rows = captures.join(roles_.select("sample_id"), "sample_id", "left_semi")
     side = lambda t, r: t.join(roles_.where(F.col("role") == r).select("sample_id"), "sample_id", "left_semi")
