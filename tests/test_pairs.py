@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from matchbench.operators import pairs, scoring, splits, verification
 
@@ -52,3 +53,23 @@ def test_many_pairs_of_one_score_and_none(spark, templates):
     assert [(r.wide, r.inside, r.above) for r in got] == [(False, (5, 5), (0, 0)), (True, (1 << 40, 3), (5, 5)), (False, (1, 5), (5 + (1 << 40), 8))]
     assert [r.below for r in got[:2]] == [got[1].lo, 7 * pairs.CELL - pairs.ONE - pairs.CELL] and got[2].below == got[2].lo
     assert pairs.curve(templates.limit(0)).counts.count() == 0 and pairs.curve(templates.limit(1)).genuine == 0
+
+
+def test_genuine_pairs_by_blocks(spark, templates, scored):
+    """Subjects of many blocks; ids in letters; the same pairs and scores."""
+    want = rows_of(scored.where("y = 1").select("a", "b", "score"))
+    assert rows_of(splits.genuine_pairs(templates, block=16)) == [w[:2] for w in want]
+    assert rows_of(scoring.score_genuine(templates, block=16)) == want
+    twice = templates.unionByName(templates.where("sample_id % 7 = 0")).withColumn("sample_id", templates["sample_id"].cast("string"))
+    assert sorted(tuple(r) for r in scoring.score_genuine(twice, block=50).select("a", "b").collect()) == sorted(tuple(r) for r in splits.genuine_pairs(twice, block=7).collect())
+    assert scoring.score_genuine(templates.limit(0)).count() == 0 and splits.genuine_pairs(templates.limit(0)).count() == 0
+    sizes = [r["count"] for r in splits.genuine_pairs(templates, block=16).groupBy(F.spark_partition_id()).count().collect()]
+    assert max(sizes) < sum(sizes) * 0.5  # one subject has nine tenths of all pairs
+
+
+def test_impostor_pairs_without_a_shuffle(spark, templates):
+    """Looked up or joined, the same pairs; the plan of the former moves nothing."""
+    for t in (templates, templates.withColumn("sample_id", templates["sample_id"].cast("string"))):
+        one, two = splits.impostor_pairs(t, 5000, 3), splits.impostor_pairs(t, 5000, 3, limit=0)
+        assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in two.collect()) and one.count() == 5000
+        assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
