@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..model import BROADCAST_ROWS
 from . import numbering
 
 
@@ -149,10 +150,13 @@ def crop_cloud(points: DataFrame, keys: list[str], ratio: float = 0.85, least: i
             q("px", 0.5).alias("mx"), q("py", 0.5).alias("my"),
             (F.greatest(q("px", 0.95) - q("px", 0.05), q("py", 0.95) - q("py", 0.05), F.lit(1e-4)) * ratio).alias("reach"),
         )
-    x = points.join(b, keys).withColumn("px", F.col("px") - F.col("mx")).withColumn("py", F.col("py") - F.col("my"))
+    # A join on the cloud puts a cloud in one task; so clouds' bounds go to the points unless they are many.
+    few = huge or points.select(*keys).distinct().limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    held = F.broadcast if few else lambda df: df
+    x = points.join(held(b), keys).withColumn("px", F.col("px") - F.col("mx")).withColumn("py", F.col("py") - F.col("my"))
     x = x.withColumn("inside", (F.abs("px") <= F.col("reach")) & (F.abs("py") <= F.col("reach")))
     kept = x.groupBy(*keys).agg(F.count_if("inside").alias("kept"))
-    return x.join(F.broadcast(kept) if huge else kept, keys).where(F.col("inside") | (F.col("kept") < least)).drop("mx", "my", "reach", "inside", "kept")
+    return x.join(held(kept), keys).where(F.col("inside") | (F.col("kept") < least)).drop("mx", "my", "reach", "inside", "kept")
 
 
 def depth_to_cloud(grid: DataFrame, size: int, scene_mm: float = 160.0) -> DataFrame:
