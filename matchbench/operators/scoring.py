@@ -65,6 +65,15 @@ def score_columns(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", ve
     return p.crossJoin(g).select("probe_id", "gallery_id", F.round(SIMILARITIES[kind](F.col("pv"), F.col("gv")), SCORE_DECIMALS).alias("score"))
 
 
+#: Scores that a task has at once where it keeps the best of a row, and probes at most.
+AT_ONCE, PROBES = 1 << 21, 1024
+
+
+def rows_at_once(others: int) -> int:
+    """Probes whose scores with so many gallery rows are made together, so that memory doesn't grow with the gallery."""
+    return max(1, min(PROBES, AT_ONCE // max(1, others)))
+
+
 def _rows(probe_ids, gallery_ids, scores: np.ndarray, kinds) -> pa.RecordBatch:
     n, m = scores.shape
     p = pa.array(probe_ids).take(pa.array(np.repeat(np.arange(n), m)))
@@ -96,9 +105,10 @@ def score_blocks(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vec
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids, m = shared.value
+            step = rows_at_once(len(ids))
             for b in batches:
-                for lo in range(0, len(b), 1024):
-                    part = b.slice(lo, 1024)
+                for lo in range(0, len(b), step):
+                    part = b.slice(lo, step)
                     if len(part) and len(ids):
                         yield from best(part.column(0).to_pylist(), ids, similarity_matrix(_matrix(part.column(1)), m, kind))
 
@@ -113,8 +123,9 @@ def score_blocks(probe: DataFrame, gallery: DataFrame, kind: str = "cosine", vec
         if not len(left) or not len(right):
             return pa.table({n: [] for n in names}, schema=pa.schema([("probe_id", left.schema.field("probe_id").type), ("gallery_id", right.schema.field("gallery_id").type), ("score", pa.float64())]))
         right = right.sort_by("gallery_id")
-        s = similarity_matrix(_matrix(left.column("pv")), _matrix(right.column("gv")), kind)
-        return pa.Table.from_batches(list(best(left.column("probe_id").to_pylist(), right.column("gallery_id").to_pylist(), s)))
+        ids, others, a, b = left.column("probe_id").to_pylist(), right.column("gallery_id").to_pylist(), _matrix(left.column("pv")), _matrix(right.column("gv"))
+        step = rows_at_once(len(b))
+        return pa.Table.from_batches([x for lo in range(0, len(a), step) for x in best(ids[lo : lo + step], others, similarity_matrix(a[lo : lo + step], b, kind))])
 
     return tiles.groupBy("_b", "_t").cogroup(others.groupBy("_b", "_t")).applyInArrow(tile, schema)
 

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchbench.operators import pairs, scoring, splits, verification
+from matchbench.operators import fields, pairs, scoring, splits, verification
 
 METRICS = {"auc": verification.auc, "eer": verification.eer, "tar": verification.tar_at_far, "roc": verification.roc}
 
@@ -73,3 +73,22 @@ def test_impostor_pairs_without_a_shuffle(spark, templates):
         one, two = splits.impostor_pairs(t, 5000, 3), splits.impostor_pairs(t, 5000, 3, limit=0)
         assert sorted(tuple(r) for r in one.collect()) == sorted(tuple(r) for r in two.collect()) and one.count() == 5000
         assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString()
+
+
+def test_clouds_are_not_joined_in_a_task_each(spark):
+    """Points meet their cloud's bounds without a shuffle by cloud, however small automatic broadcasts are."""
+    was = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        p = spark.range(3000).selectExpr("id % 3 as c", "cast(id % 50 as double) as px", "cast(id % 11 as double) as py", "0.0D as pz")
+        x = fields.crop_cloud(p, ["c"])
+        assert "SortMergeJoin" not in x._jdf.queryExecution().executedPlan().toString() and x.count() == fields.crop_cloud(p, ["c"], huge=True).count() > 0
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", was)
+
+
+def test_best_rows_of_a_large_gallery(spark, templates):
+    """Scores held at once don't grow with the gallery; the best are the same."""
+    assert all(scoring.rows_at_once(n) * n <= max(n, scoring.AT_ONCE) for n in (1, 2000, 51_282, 10**7)) and scoring.rows_at_once(0) > 0
+    want = rows_of(scoring.score_blocks(templates, templates, "l2", top=3))
+    assert rows_of(scoring.score_blocks(templates, templates, "l2", top=500).groupBy("probe_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "gallery_id"))).alias("r")).select("probe_id", F.explode(F.slice("r", 1, 3)).alias("r")).select("probe_id", "r.gallery_id", (-F.col("r.d")).alias("score"))) == want
