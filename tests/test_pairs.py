@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from matchbench.operators import fields, pairs, scoring, splits, verification
+from matchbench.operators import fields, pairs, sampling, scoring, splits, verification
 
 METRICS = {"auc": verification.auc, "eer": verification.eer, "tar": verification.tar_at_far, "roc": verification.roc}
 
@@ -92,3 +92,11 @@ def test_best_rows_of_a_large_gallery(spark, templates):
     assert all(scoring.rows_at_once(n) * n <= max(n, scoring.AT_ONCE) for n in (1, 2000, 51_282, 10**7)) and scoring.rows_at_once(0) > 0
     want = rows_of(scoring.score_blocks(templates, templates, "l2", top=3))
     assert rows_of(scoring.score_blocks(templates, templates, "l2", top=500).groupBy("probe_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("score")).alias("d"), "gallery_id"))).alias("r")).select("probe_id", F.explode(F.slice("r", 1, 3)).alias("r")).select("probe_id", "r.gallery_id", (-F.col("r.d")).alias("score"))) == want
+
+
+def test_replicates_draw_once_a_row(spark):
+    """A row's draw is not repeated in a filter, and replicates aren't shuffled beyond the deal of their numbers."""
+    s = spark.range(50).selectExpr("id as doc_id", "cast(id % 7 as double) as score", "cast(id % 2 as int) as y")
+    draw = sampling.poisson_draw(0, F.col("replicate").cast("string"), F.col("doc_id").cast("string"))
+    plan = verification._replicates(s, draw, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
