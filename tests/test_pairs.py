@@ -100,3 +100,32 @@ def test_replicates_draw_once_a_row(spark):
     draw = sampling.poisson_draw(0, F.col("replicate").cast("string"), F.col("doc_id").cast("string"))
     plan = verification._replicates(s, draw, 20)._jdf.queryExecution().optimizedPlan().toString()
     assert not [line for line in plan.splitlines() if "Filter" in line and "md5" in line]
+
+
+@pytest.mark.parametrize("limit", [1 << 20, 0])
+def test_figures_of_a_few_scores_count_no_others(templates, scored, limit, monkeypatch):
+    """Crossing and rates at levels come from cells of scores, however far the corners are; memory isn't that of all scores."""
+    c = pairs.curve(templates, limit=limit)
+    monkeypatch.setattr(type(c), "counts", property(lambda self: pytest.fail("all counts are made")))
+    for beside in (1, 1 << 16):
+        monkeypatch.setattr(verification, "BESIDE", beside)
+        assert rows_of(verification.eer(c)) == rows_of(verification.eer(scored))
+    assert rows_of(verification.tar_at_far(c)) == rows_of(verification.tar_at_far(scored))
+
+
+def test_crossing_before_the_first_score(spark):
+    t = spark.createDataFrame([(i, "ab"[i < 4], [1.0, float(i >= 4)]) for i in range(8)], "sample_id long, subject_id string, embedding array<double>")
+    s = scoring.all_pairs(t)
+    assert rows_of(verification.eer(pairs.curve(t))) == rows_of(verification.eer(s))
+
+
+def test_small_counters_hold_any_number(monkeypatch):
+    monkeypatch.setattr(pairs, "TOGETHER", 500)
+    r = np.random.default_rng(2)
+    z = np.concatenate([r.integers(0, 3000, 20000), np.full(70000, 17), np.full(255, 5), np.full(256, 6)])
+    for total in (1, 3000 * 24 + 1, 1 << 60):
+        x = pairs._Tally(3000, total)
+        for part in np.array_split(r.permutation(z), 300):
+            x.add(part.astype(np.int32))
+        assert np.array_equal(np.concatenate([x.cut(0, 1000), x.cut(1000, 3000)]), np.bincount(z, minlength=3000))
+    assert pairs._Tally(100, 2400).n.dtype == np.uint8
