@@ -129,3 +129,17 @@ def test_small_counters_hold_any_number(monkeypatch):
             x.add(part.astype(np.int32))
         assert np.array_equal(np.concatenate([x.cut(0, 1000), x.cut(1000, 3000)]), np.bincount(z, minlength=3000))
     assert pairs._Tally(100, 2400).n.dtype == np.uint8
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_genuine_pairs_are_scored_without_a_shuffle(templates, scored, text):
+    """Broadcast or in blocks by a shuffle, the same pairs and scores; the plan of the former moves nothing."""
+    t = templates.withColumn("sample_id", F.col("sample_id").cast("string")) if text else templates
+    sorted_rows = lambda df: sorted((r["a"], r["b"], round(r["score"], 8)) for r in df.collect())
+    want = sorted_rows(scoring.all_pairs(t).where("y = 1").select("a", "b", "score"))
+    one = scoring.score_genuine(t, block=16)
+    assert "Exchange" not in one._jdf.queryExecution().executedPlan().toString() and sorted_rows(one) == want
+    assert sorted_rows(scoring.score_genuine(t, limit=0)) == want and sorted_rows(scoring.score_genuine(t, block=100, limit=0)) == want
+    twice = t.unionByName(t.where("cast(sample_id as long) % 7 = 0"))
+    pairs_ = [sorted((r["a"], r["b"]) for r in scoring.score_genuine(twice, block=50, limit=k).collect()) for k in (0, 1 << 20)]
+    assert pairs_[0] == pairs_[1] and scoring.score_genuine(t.limit(0), limit=-1).count() == 0
