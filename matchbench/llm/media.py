@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import giving_back, materialize, release, small
-from .components import compare_parts, connect
+from .components import TILE, compare_parts, connect
 from .wordhash import mix
 
 RADIUS, BITS = 9, 256
@@ -262,6 +262,52 @@ def hamming_tables(described: DataFrame) -> DataFrame:
     return described.where("sig is not null").select("sig", "n", "corners").mapInArrow(giving_back(run), "bucket long, sig long, n int, seen int")
 
 
+def agreeing(tables: DataFrame) -> DataFrame:
+    """The rows of ``hamming_tables`` that agree with another picture's row of their key. No other row makes a candidate, and as keys of
+    unrelated pictures coincide the more the more pictures there are, most rows end here. Keys of over ``TILE`` rows pass whole."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: pa.Table | None = None
+        through = None
+
+        def kept(t: pa.Table) -> pa.Table:
+            bucket, sig, seen = (t.column(c).to_numpy() for c in ("bucket", "sig", "seen"))
+            new = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1])))
+            keep = np.repeat((size := np.diff(np.append(new, len(t)))) > TILE, size)
+            i, d = np.flatnonzero(~keep), 1
+            while len(i):
+                i = i[i + d < len(t)]
+                i = i[bucket[i] == bucket[i + d]]
+                ok = i[(sig[i] != sig[i + d]) & agree(seen[i], seen[i + d])]
+                keep[ok] = keep[ok + d] = True
+                d += 1
+            return t.filter(pa.array(keep))
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            t = pa.Table.from_batches([batch])
+            t = pa.concat_tables([rest, t]).combine_chunks() if rest is not None and len(rest) else t
+            bucket = t.column("bucket").to_numpy()
+            if through is not None:  # the rest of a large key
+                n = int(np.argmax(bucket != through)) if (bucket != through).any() else len(t)
+                yield from t.slice(0, n).to_batches()
+                if n == len(t):
+                    continue
+                t, bucket, through = t.slice(n), bucket[n:], None
+            last = len(t) - int(np.argmax(bucket[::-1] != bucket[-1])) if (bucket != bucket[-1]).any() else 0
+            if len(t) - last > TILE:
+                through, whole = bucket[-1], t.slice(last)
+                yield from whole.to_batches()
+            if last:
+                yield from kept(t.slice(0, last)).to_batches()
+            rest = t.slice(last) if through is None else t.slice(len(t))
+        if rest is not None and len(rest):
+            yield from kept(rest).to_batches()
+
+    return tables.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(giving_back(run), tables.schema)
+
+
 def compare_tiles(tiles: DataFrame) -> DataFrame:
     """Pairs (a, b) of pictures whose rows of a key agree, among the rows that ``components.tiles`` brings together."""
 
@@ -286,7 +332,7 @@ def find_copies(media: DataFrame, media_id: str = "media_id", content: str = "me
     described = materialize(whole.select("media_id", "sig", "n"), "media-rows")
     classes = materialize(whole.where("sig is not null").dropDuplicates(["sig"]).select("sig", "n", "corners"), "media-classes")
     release(whole)
-    tables = materialize(hamming_tables(classes), "media-tables")
+    tables = materialize(agreeing(hamming_tables(classes)), "media-tables")
 
     def check(pairs: DataFrame) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -693,3 +693,24 @@ def test_pipeline_of_awkward_tables(spark, tmp_path):
         ids = {r["doc_id"] for r in out.collect()}
         # A document without words stays; one of each group of copies stays.
         assert ids == ({r[0] for r in brute_components([(r[0], r[1]) for r in DOCS]) if r[0] is not None and (r[2] == r[0] or not r[1])} | {None} if limit else set())
+
+
+def test_only_rows_that_agree_are_candidates(spark, monkeypatch):
+    """Rows of a key that agree with no other picture's row are dropped, wherever batches end; large keys pass whole."""
+    r = np.random.default_rng(4)
+    bucket = np.concatenate([r.integers(0, 300, 900), np.full(200, 1000), np.full(90, 1001)])
+    rows = [(int(b), int(r.integers(0, 40)), 9, int(x << 16 | y << 8 | t)) for b, x, y, t in zip(bucket, r.integers(100, 130, 1190), r.integers(100, 130, 1190), r.integers(0, 36, 1190), strict=True)]
+    by = {}
+    for x in rows:
+        by.setdefault(x[0], []).append(x)
+    want = sorted(x for g in by.values() for x in g if len(g) > 100 or any(y[1] != x[1] and media.agree(np.array(x[3]), np.array(y[3])) for y in g))
+    monkeypatch.setattr(media, "TILE", 100)
+    df = spark.createDataFrame(rows, "bucket long, sig long, n int, seen int")
+    was = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for size in (7, 64, 10000):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", size)
+            assert sorted(tuple(x) for x in media.agreeing(df).collect()) == want
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
+    assert 0 < len(want) < len(rows)
