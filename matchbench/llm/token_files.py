@@ -45,6 +45,8 @@ from .common import materialize, release
 REMEMBERED, BLOCK_IDS = 400_000, 1 << 18
 #: Bytes of ids packed at once, and bytes of text for a file.
 PACK_BYTES, FILE_BYTES = 8 << 20, 32 << 20
+#: Texts that are encoded whole: any white space other than single spaces and newlines between words.
+_WHOLE = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
 _MARKED = re.compile(r"( ?[^\W\d_]+)[.,;:!?]+\Z")
 
 
@@ -104,20 +106,28 @@ class Encoder:
         self.known.update({x: self.known[a] + self.known[b] for x, (a, b) in cut.items()})
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian integers of ``dtype``."""
-        # Whole: texts with white space other than single spaces and newlines between words.
-        pieces = [t.replace("\n", "\0\n\0").replace(" ", "\0 ").split("\0") if "\0" not in t and " ".join(t.split()) == t.replace("\n", " ") else None for t in texts]
-        new: set[str] = set()
-        for p in pieces:
-            if p:
-                new.update(p)
-        new.difference_update(self.known)
-        if len(self.known) + len(new) > REMEMBERED:  # nothing of these texts may be forgotten meanwhile
-            new = {x for p in pieces if p for x in p}
-        self._learn(new)
-        rest = iter(self._encode([t for t, p in zip(texts, pieces, strict=True) if p is None]))
-        get = self.known.__getitem__
-        return [next(rest) if p is None else b"".join(map(get, p)) for p in pieces]
+        """Ids as little-endian integers of ``dtype``. Python sees a piece once for all of the texts; its further occurrences are told apart by Arrow and
+        its ids copied by numpy."""
+        texts = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(texts, _WHOLE)
+        whole = iter(self._encode(texts.filter(odd).to_pylist()))
+        apart = [t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts.filter(pc.invert(odd)).to_pylist()]
+        pieces = pc.split_pattern(pa.array(apart, pa.large_string()), "\0")
+        each = pieces.values.dictionary_encode()
+        known = each.dictionary.to_numpy(zero_copy_only=False).tolist()
+        new = {x for x in known if x not in self.known}
+        # Nothing of these texts may be forgotten meanwhile.
+        self._learn(set(known) if len(self.known) + len(new) > REMEMBERED else new)
+        ids = [self.known[x] for x in known]
+        size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
+        flat, begin = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size
+        at = each.indices.to_numpy()
+        n = size[at]
+        ends = np.concatenate(([0], np.cumsum(n)))
+        out = flat[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        cut = ends[pieces.offsets.to_numpy()].tolist()
+        parts = (out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False))
+        return [next(whole) if x else next(parts) for x in odd.to_pylist()]
 
 
 def part_bounds(docs: DataFrame, doc_id: str, parts: int) -> list:

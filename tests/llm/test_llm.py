@@ -714,3 +714,24 @@ def test_only_rows_that_agree_are_candidates(spark, monkeypatch):
     finally:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", was)
     assert 0 < len(want) < len(rows)
+
+
+def test_pieces_are_met_once_for_many_texts(monkeypatch):
+    """Ids as the library gives them, odd white space and forgotten pieces included; a piece is asked for once, however often it occurs."""
+    P = pytest.importorskip("public_tokenizers")
+    monkeypatch.setattr(token_files, "REMEMBERED", 12)
+    e = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    spaces = [chr(c) for c in range(0x3001) if chr(c).isspace()]
+    texts = ["", " ", "\n", "a\nb c", "a\n\nb", " a", "a ", "a\0b", "word, word; wörd... x!", *(f"a{c}b" for c in spaces), "the end " * 3 + "now", *(f"w{i} v{i % 3}, z" for i in range(40))]
+    want = [np.array(x.ids, e.dtype).tobytes() for x in e.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    assert [x for i in range(0, len(texts), 7) for x in e.encode(texts[i : i + 7])] == want and e.encode([]) == []
+    asked, own = [], dict
+    class Seen(own):
+        def __getitem__(self, x):
+            asked.append(x)
+            return super().__getitem__(x)
+    monkeypatch.setattr(token_files, "REMEMBERED", 10**6)
+    e.encode(["one two"])
+    e.known = Seen(e.known)
+    e.encode(["one two one two one two two two"] * 50)
+    assert len(asked) < 20
