@@ -11,8 +11,8 @@ JSON values) and their numbers of ids. ``ranks.tok`` holds the token id of each
 
 Texts are tokenised piece by piece: between two non-space characters a single space or newline is
 always a border for the byte-level pre-tokeniser, so pieces between such borders have the same ids alone
-as in the text; each distinct piece is encoded once a task by the tokenizers library. Texts with any
-other white space are encoded whole.
+as in the text; each distinct piece is encoded by the tokenizers library when a worker meets it first, or again
+after it was long unused. Texts with any other white space are encoded whole.
 
 Recovery: tokenised rows are a Parquet table in the shared folder. A task writes its file under a
 temporary name and renames it, so a repeated task replaces it with the same bytes.
@@ -25,7 +25,6 @@ columns are ignored.
 from __future__ import annotations
 
 import json
-import re
 import struct
 import zlib
 from array import array
@@ -41,17 +40,21 @@ from pyspark.sql import functions as F
 
 from .common import materialize, release
 
-#: Pieces remembered in a task, and ids gathered before a block is written.
-REMEMBERED, BLOCK_IDS = 400_000, 1 << 18
-#: Bytes of ids packed at once, and bytes of text for a file.
-PACK_BYTES, FILE_BYTES = 8 << 20, 32 << 20
+#: Pieces remembered in a worker, pieces in a call of the library, and ids gathered before a block is written.
+REMEMBERED, AT_ONCE, BLOCK_IDS = 800_000, 1 << 13, 1 << 18
+#: Bytes of text encoded at once, of ids packed at once, and of text for a file.
+TEXT_BYTES, PACK_BYTES, FILE_BYTES = 8 << 20, 8 << 20, 32 << 20
 #: Texts that are encoded whole: any white space other than single spaces and newlines between words.
 _WHOLE = r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[ \n][ \n]|\A[ \n]|[ \n]\z"
-_MARKED = re.compile(r"( ?[^\W\d_]+)[.,;:!?]+\Z")
+#: Marks that may close a word, and a word that they may close.
+_MARKS, _LETTERS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~", r"\A ?\pL+\z"
 
 
 class Encoder:
-    """Ids of texts, by the tokenizer in a file. One a worker process, so that tasks share its memory."""
+    """Ids of texts, by the tokenizer in a file. One a worker process, so that tasks share its memory.
+
+    Remembered pieces are two Arrow arrays, of the pieces and of their ids' bytes: Arrow looks up a batch's occurrences in
+    the one and takes from the other, so Python meets new pieces only."""
 
     _own: dict[str, Encoder] = {}
 
@@ -65,8 +68,11 @@ class Encoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         newline = self.tokenizer.encode("\n", add_special_tokens=False).ids
         self.newline = newline[0] if len(newline) == 1 else None
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        #: Pieces that newlines can't tell apart.
+        self.known: dict[str, bytes] = {x: self._encode([x])[0] for x in ("", "\n")}
+        self.pieces, self.coded = pa.array(self.known.keys(), pa.large_string()), pa.array(self.known.values(), pa.large_binary())
+        #: The latest call that used each piece.
+        self.used, self.calls = np.zeros(len(self.pieces), np.int64), 0
 
     @classmethod
     def of(cls, path: str) -> Encoder:
@@ -78,58 +84,72 @@ class Encoder:
         kind = "H" if self.dtype.itemsize == 2 else "I"
         return [array(kind, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _encode_pieces(self, pieces: list[str]) -> list[bytes]:
+    def _encode_pieces(self, pieces: list[str]) -> pa.Array:
         """Many pieces in one call: joined by newlines, which are a token of their own between pieces and
         in none of them. If the newlines can't be told, each piece is encoded by itself."""
         ids = np.array(self.tokenizer.encode_batch_fast(["\n".join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
         cut = np.flatnonzero(ids == self.newline)
         if self.newline is None or len(cut) != len(pieces) - 1:
-            return self._encode(pieces)
-        raw, n = ids.tobytes(), self.dtype.itemsize
-        begin, end = [0, *((cut + 1) * n).tolist()], [*(cut * n).tolist(), len(raw)]
-        return [raw[a:b] for a, b in zip(begin, end, strict=True)]
-
-    def _learn(self, new: set[str]) -> None:
-        """Remember pieces. A letter followed by closing marks is a border as well, so words and marks
-        are encoded apart."""
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.older = {}, self.known
-        old = {x: self.older[x] for x in new if x in self.older}
-        self.known.update(old)
-        cut = {x: (x[: m.end(1)], x[m.end(1) :]) for x in new if x not in old and (m := _MARKED.match(x))}
-        parts = {y for x in cut.values() for y in x if y not in self.known} | {x for x in new if x not in old and x not in cut}
-        for alone in parts & {"", "\n"}:
-            self.known[alone] = self._encode([alone])[0]
-        parts = list(parts - {"", "\n"})
-        if parts:
-            self.known.update(zip(parts, self._encode_pieces(parts), strict=True))
-        self.known.update({x: self.known[a] + self.known[b] for x, (a, b) in cut.items()})
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian integers of ``dtype``. Python sees a piece once for all of the texts; its further occurrences are told apart by Arrow and
-        its ids copied by numpy."""
-        texts = pa.array(texts, pa.large_string())
+            return pa.array(self._encode(pieces), pa.large_binary())
+        ends = np.append(cut - np.arange(len(cut)), len(ids) - len(cut)) * self.dtype.itemsize
+        return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(pieces), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int64)), pa.py_buffer(np.delete(ids, cut))])
+
+    def _forget(self) -> None:
+        """Keep half of the pieces, those used last."""
+        rest = np.argpartition(-self.used[2:], REMEMBERED // 2)[: REMEMBERED // 2] + 2
+        keep = np.concatenate(([0, 1], np.sort(rest)))
+        self.pieces, self.coded, self.used = self.pieces.take(pa.array(keep)), self.coded.take(pa.array(keep)), self.used[keep]
+
+    def _learn(self, new: pa.Array) -> np.ndarray:
+        """Remember pieces; their places. Letters followed by closing marks have a border between them as well, so words and
+        marks are encoded apart."""
+        stem = pc.ascii_rtrim(new, characters=_MARKS)
+        cut = pc.and_(pc.not_equal(stem, new), pc.match_substring_regex(stem, _LETTERS))
+        stem, marked, whole = stem.filter(cut), new.filter(cut), new.filter(pc.invert(cut))
+        marks = pa.array([x[len(s) :] for x, s in zip(marked.to_pylist(), stem.to_pylist(), strict=True)], pa.large_string())
+        ends = pa.concat_arrays([stem, marks]).dictionary_encode()
+        asked = pa.concat_arrays([self.pieces, whole])
+        at = pc.index_in(ends.dictionary, asked)
+        first, asked = len(self.pieces), pa.concat_arrays([asked, ends.dictionary.filter(at.is_null())])
+        at = _placed(at, np.arange(len(asked) - at.null_count, len(asked)))[ends.indices.to_numpy()]
+        coded = pa.concat_arrays([self.coded, *(self._encode_pieces(asked.slice(k, AT_ONCE).to_pylist()) for k in range(first, len(asked), AT_ONCE))])
+        words, closing = (coded.take(pa.array(x)) for x in (at[: len(stem)], at[len(stem) :]))
+        self.pieces, self.coded = pa.concat_arrays([asked, marked]), pa.concat_arrays([coded, pc.binary_join_element_wise(words, closing, pa.scalar(b"", pa.large_binary()))])
+        self.used = np.concatenate((self.used, np.full(len(self.pieces) - first, self.calls)))
+        places = np.empty(len(new), np.int64)
+        is_cut = cut.to_numpy(zero_copy_only=False)
+        places[~is_cut], places[is_cut] = first + np.arange(len(whole)), len(asked) + np.arange(len(marked))
+        return places
+
+    def encode(self, texts: list[str] | pa.Array) -> list[bytes]:
+        """Ids as little-endian integers of ``dtype``."""
+        texts = pa.array(texts, pa.large_string()) if isinstance(texts, list) else texts.cast(pa.large_string())
+        if len(self.pieces) - 2 > REMEMBERED:
+            self._forget()
+        self.calls += 1
         odd = pc.match_substring_regex(texts, _WHOLE)
         whole = iter(self._encode(texts.filter(odd).to_pylist()))
-        apart = [t.replace("\n", "\0\n\0").replace(" ", "\0 ") for t in texts.filter(pc.invert(odd)).to_pylist()]
-        pieces = pc.split_pattern(pa.array(apart, pa.large_string()), "\0")
-        each = pieces.values.dictionary_encode()
-        known = each.dictionary.to_numpy(zero_copy_only=False).tolist()
-        new = {x for x in known if x not in self.known}
-        # Nothing of these texts may be forgotten meanwhile.
-        self._learn(set(known) if len(self.known) + len(new) > REMEMBERED else new)
-        ids = [self.known[x] for x in known]
-        size = np.array([len(x) for x in ids], np.int64) // self.dtype.itemsize
-        flat, begin = np.frombuffer(b"".join(ids), self.dtype), np.cumsum(size) - size
-        at = each.indices.to_numpy()
-        n = size[at]
-        ends = np.concatenate(([0], np.cumsum(n)))
-        out = flat[np.repeat(begin[at] - ends[:-1], n) + np.arange(ends[-1])]
+        apart = pc.replace_substring(pc.replace_substring(texts.filter(pc.invert(odd)), "\n", "\0\n\0"), " ", "\0 ")
+        pieces = pc.split_pattern(apart, "\0")
+        each = pieces.flatten()
+        at = pc.index_in(each, self.pieces)
+        new = each.filter(at.is_null()).dictionary_encode()
+        at = _placed(at, self._learn(new.dictionary)[new.indices.to_numpy()] if len(new) else [])
+        self.used[at] = self.calls
+        ids = self.coded.take(pa.array(at))
+        flat, ends = (np.frombuffer(x, t) for x, t in zip((ids.buffers()[2] or b"", ids.buffers()[1] or bytes(8)), (np.uint8, np.int64), strict=True))
         cut = ends[pieces.offsets.to_numpy()].tolist()
-        parts = (out[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False))
+        parts = (flat[a:b].tobytes() for a, b in zip(cut, cut[1:], strict=False))
         return [next(whole) if x else next(parts) for x in odd.to_pylist()]
 
 
+def _placed(at: pa.Array, rest: np.ndarray) -> np.ndarray:
+    """Places, with those of ``rest`` where there is none."""
+    out = at.fill_null(0).to_numpy().astype(np.int64)
+    out[at.is_null().to_numpy(zero_copy_only=False)] = rest
+    return out
+
+
 def part_bounds(docs: DataFrame, doc_id: str, parts: int) -> list:
     """Least ids of up to ``parts`` ranges of about equally many rows."""
     ids = docs.select(F.col(f"`{doc_id}`").alias("d")).where("d is not null")
@@ -150,6 +170,15 @@ def _unpacked(blob: bytes) -> pa.Table:
     return pa.ipc.open_stream(blob).read_all()
 
 
+def slices(batch: pa.RecordBatch, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (doc_id, text) with texts of so many bytes, or one row."""
+    ends, lo = np.concatenate(([0], np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy().astype(np.int64)))), 0
+    while lo < len(batch):
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + most, "right")) - 1)
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 def tokenize(docs: DataFrame, tokenizer: str, end: int, bounds: list, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (part, blob): documents of one range of ids, with the end id, packed by the hundred."""
 
@@ -165,9 +194,8 @@ def tokenize(docs: DataFrame, tokenizer: str, end: int, bounds: list, doc_id: st
 
         for batch in batches:
             kind = batch.column(0).type
-            for lo in range(0, len(batch), 512):
-                cut = batch.slice(lo, 512)
-                ids = encoder.encode([t or "" for t in cut.column(1).to_pylist()])
+            for cut in slices(batch, TEXT_BYTES):
+                ids = encoder.encode(pc.fill_null(cut.column(1), ""))
                 for d, x in zip(cut.column(0).to_pylist(), ids, strict=True):
                     held.setdefault(0 if d is None else bisect_right(bounds, d), []).append((d, x + tail))
                     size += len(x) + len(tail)

@@ -735,3 +735,33 @@ def test_pieces_are_met_once_for_many_texts(monkeypatch):
     e.known = Seen(e.known)
     e.encode(["one two one two one two two two"] * 50)
     assert len(asked) < 20
+
+
+def test_words_and_closing_marks_are_encoded_apart(monkeypatch):
+    """The library gets each word and each run of marks once, not each word with each run; ids are its own, also near an added token."""
+    P = pytest.importorskip("public_tokenizers")
+    e = token_files.Encoder(P.path("byte_bpe_50k.json"))
+    marks = ["$$$", "%%%", ".###", ",&&&", "'", "_", "?!", ")"]
+    words = [f"w{chr(97 + i)}ö" for i in range(20)]
+    texts = [" ".join(w + m for w in words) for m in marks]
+    odd = ["x<|endoftext|>", "a <|endoftext|>. b", "it's' x's, 12.5%% ²! a²! é\u0301! $$$ $ — x—!", "字。 字! слово!!", "|> x|>"]
+    want = [np.array(x.ids, e.dtype).tobytes() for x in e.tokenizer.encode_batch_fast(texts + odd, add_special_tokens=False)]
+    asked, encode = [], e._encode_pieces
+    monkeypatch.setattr(e, "_encode_pieces", lambda pieces: asked.extend(pieces) or encode(pieces))
+    assert e.encode(texts) == want[: len(texts)] and len(asked) <= len(words) + 1 + len(marks) and len(set(asked)) == len(asked)
+    assert e.encode(texts + odd) == want
+    n = len(asked)
+    assert e.encode(texts[::-1]) == want[: len(texts)][::-1] and len(asked) == n
+    # What is used lately is kept, and what is remembered is bounded.
+    monkeypatch.setattr(token_files, "REMEMBERED", 400)
+    for i in range(30):
+        assert len(e.encode([*texts, " ".join(f"n{i}x{j}" for j in range(30))])) == len(texts) + 1
+    assert len(asked) == n + 30 * 30 and len(e.pieces) < 400 + 200
+
+
+def test_texts_are_encoded_by_bytes():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(7)), pa.array(["a" * 5, None, "", "b" * 30, "c" * 4, "é" * 3, "d"])], ["doc_id", "text"])
+    cut = list(token_files.slices(batch, 10))
+    assert [x.column(0).to_pylist() for x in cut] == [[0, 1, 2], [3], [4, 5], [6]] and list(token_files.slices(batch.slice(0, 0), 10)) == []
