@@ -143,3 +143,21 @@ def test_genuine_pairs_are_scored_without_a_shuffle(templates, scored, text):
     twice = t.unionByName(t.where("cast(sample_id as long) % 7 = 0"))
     pairs_ = [sorted((r["a"], r["b"]) for r in scoring.score_genuine(twice, block=50, limit=k).collect()) for k in (0, 1 << 20)]
     assert pairs_[0] == pairs_[1] and scoring.score_genuine(t.limit(0), limit=-1).count() == 0
+
+
+def _neighbours(rows):
+    """Share of rows that have an id of the row before them."""
+    return sum(bool({x["a"], x["b"]} & {y["a"], y["b"]}) for x, y in zip(rows, rows[1:], strict=False)) / (len(rows) - 1)
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_all_impostor_pairs_come_tile_by_tile(spark, templates, text, monkeypatch):
+    """Where every pair is drawn, each comes once, beside others of its ids: written, they take few bytes."""
+    monkeypatch.setattr(splits, "BEFORE", 64, raising=False)
+    monkeypatch.setattr(splits, "AFTER", 150, raising=False)
+    monkeypatch.setattr(splits, "AT_ONCE", 1000, raising=False)
+    t = templates.withColumn("sample_id", templates["sample_id"].cast("string")) if text else templates
+    got = splits.impostor_pairs(t, 10**9, 3).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, splits.impostor_pairs(t, 10**9, 3, limit=0).collect()))
+    assert len(set(map(tuple, got))) == len(got) == 488 * 487 // 2 - 300 * 299 // 2 - 90 * 89 // 2 - 30 * 3 and _neighbours(got) > 0.9
+    assert splits.impostor_pairs(t.where("subject_id = 'S000'"), 9, 3).count() == 0
