@@ -161,3 +161,13 @@ def test_all_impostor_pairs_come_tile_by_tile(spark, templates, text, monkeypatc
     assert sorted(map(tuple, got)) == sorted(map(tuple, splits.impostor_pairs(t, 10**9, 3, limit=0).collect()))
     assert len(set(map(tuple, got))) == len(got) == 488 * 487 // 2 - 300 * 299 // 2 - 90 * 89 // 2 - 30 * 3 and _neighbours(got) > 0.9
     assert splits.impostor_pairs(t.where("subject_id = 'S000'"), 9, 3).count() == 0
+
+
+@pytest.mark.parametrize("text", [False, True])
+def test_many_drawn_impostor_pairs_come_tile_by_tile(spark, templates, text, monkeypatch):
+    """A third of all pairs: the same as by joins, and beside others of their ids."""
+    for name, value in (("BEFORE", 64), ("AFTER", 150), ("AT_ONCE", 1000)):
+        monkeypatch.setattr(splits, name, value, raising=False)
+    t = templates.withColumn("sample_id", templates["sample_id"].cast("string")) if text else templates
+    got = splits.impostor_pairs(t, 23000, 3).collect()
+    assert len(got) == 23000 and sorted(map(tuple, got)) == sorted(map(tuple, splits.impostor_pairs(t, 23000, 3, limit=0).collect())) and _neighbours(got) > 0.9
