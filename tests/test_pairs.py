@@ -171,3 +171,13 @@ def test_many_drawn_impostor_pairs_come_tile_by_tile(spark, templates, text, mon
     t = templates.withColumn("sample_id", templates["sample_id"].cast("string")) if text else templates
     got = splits.impostor_pairs(t, 23000, 3).collect()
     assert len(got) == 23000 and sorted(map(tuple, got)) == sorted(map(tuple, splits.impostor_pairs(t, 23000, 3, limit=0).collect())) and _neighbours(got) > 0.9
+
+
+def test_curves_of_large_templates_shuffle_no_scores(templates, scored, monkeypatch):
+    """Beyond what is broadcast at once templates come in pieces: counts are those of the rows, made in the task of a range."""
+    monkeypatch.setattr(pairs, "DEALT", 100)
+    monkeypatch.setattr(verification, "running_counts", lambda *a: pytest.fail("counts by score are shuffled"))
+    c = pairs.curve(templates, limit=0, dense=1 << 16, few=30000).counts
+    assert "Exchange" not in c._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.undo()
+    assert sorted(c.collect(), key=repr) == sorted(verification.running_counts(scored).collect(), key=repr)
